@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,6 @@ from ..schema import PITCH_SCHEMA, SEASONS
 from ..sources.landing import landed_schema, read_pitch_csv, read_player_csv
 from ..sources.tables import TABLES, append_pitches, conform_to_schema
 
-LEAGUES = ("major", "minor")
-
 
 def season_calendar(spark: SparkSession, seasons: Sequence[tuple] = SEASONS) -> DataFrame:
     """One row per league and season with its first and last day."""
@@ -60,13 +59,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 @dataclass(frozen=True)
 class Landing:
-    """Where files land and how pitches are typed."""
+    """Where files land and how pitches are typed.
+
+    Pitches land under ``<path>/<league>``, best in one folder per day (``day=YYYY-MM-DD``):
+    a load then opens the folders of its days only, however long the history is."""
 
     path: str
     schema: T.StructType
 
-    def pitches(self, spark: SparkSession, league: str) -> DataFrame:
-        return read_pitch_csv(spark, f"{self.path}/{league}", self.schema).withColumn("league", F.lit(league))
+    def pitches(self, spark: SparkSession, league: str, days: Sequence[dt.date]) -> DataFrame:
+        rows = read_pitch_csv(spark, f"{self.path}/{league}", self.schema, days)
+        return rows.where(F.col("game_date").isin(list(days))).withColumn("league", F.lit(league))
 
 
 def table_schema(landed: T.StructType) -> T.StructType:
@@ -85,14 +88,16 @@ def prepare(pitches: DataFrame, schema: T.StructType) -> DataFrame:
     return ready.withColumn("game_year", year).select(*schema.names)
 
 
-def pending(spark: SparkSession, landing: Landing, table: DataFrame, calendar: DataFrame, as_of: str) -> DataFrame:
-    """Landed rows of the days that are due. The table of days is calendar-sized."""
-    days = dates_to_load(calendar, marks(table), as_of)
-    landed = None
-    for league in LEAGUES:
-        part = landing.pitches(spark, league)
-        landed = part if landed is None else landed.unionByName(part)
-    return landed.join(days, ["league", "game_date"], "left_semi")
+def pending(
+    spark: SparkSession, landing: Landing, table: DataFrame, calendar: DataFrame, as_of: str
+) -> DataFrame | None:
+    """Landed rows of the days that are due, None when no day is. The list of days is as
+    long as the calendar at most and selects the files to open."""
+    due: dict[str, list[dt.date]] = {}
+    for row in dates_to_load(calendar, marks(table), as_of).collect():
+        due.setdefault(row["league"], []).append(row["game_date"])
+    parts = [landing.pitches(spark, league, sorted(days)) for league, days in sorted(due.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def incremental_append(
@@ -103,7 +108,8 @@ def incremental_append(
     schema = table_schema(landing.schema)
     table = read_table(spark, table_path, schema)
     rows = pending(spark, landing, table, season_calendar(spark, seasons), as_of)
-    append_pitches(prepare(rows, schema), table_path)
+    if rows is not None:
+        append_pitches(prepare(rows, schema), table_path)
 
 
 def load_players(spark: SparkSession, landing: Landing, base: str, kind: str) -> None:

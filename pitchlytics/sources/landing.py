@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,40 +23,55 @@ def typed(name: str, dtype: T.DataType) -> Column:
     """A text column as its table type; a missing-value token or unreadable text is NULL.
     Whole numbers may be written with a decimal point."""
     text = F.col(f"`{name}`")
-    text = F.when(~text.isin(*NULL_TOKENS), text)
     if isinstance(dtype, T.StringType):
-        value = text
+        value = F.when(~text.isin(*NULL_TOKENS), text)
     elif isinstance(dtype, T.IntegralType):
-        whole = F.round(text.try_cast("double"), 0).try_cast(dtype)
-        value = F.coalesce(text.try_cast(dtype), whole)
+        value = F.coalesce(text.try_cast(dtype), F.round(text.try_cast("double"), 0).try_cast(dtype))
+    elif isinstance(dtype, T.DoubleType):
+        number = text.try_cast(dtype)
+        value = F.when(~F.isnan(number), number)
     else:
         value = text.try_cast(dtype)
     return value.alias(name)
 
 
-def _files_by_header(spark: SparkSession, path: str, key: str) -> dict[str, list[str]]:
-    """Landed files grouped by their header line. Only file names and distinct headers come
-    to the driver, which lists the files of a scan anyway."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+def _files_by_header(
+    spark: SparkSession, path: str, key: str, days: Sequence[dt.date] | None
+) -> dict[tuple[str, ...], list[str]]:
+    """Landed files grouped by their header. Only file names and distinct headers come to
+    the driver, which lists the files of a scan anyway."""
+    lines = spark.read.text(path)
+    if days is not None and "day" in lines.columns:
+        lines = lines.where(F.col("day").isin(list(days)))
     fields = F.transform(F.split("value", ","), lambda f: F.trim(f, F.lit(' "\ufeff')))
-    headers = lines.where(F.col("value").contains(key)).where(F.array_contains(fields, key)).distinct()
-    out: dict[str, list[str]] = {}
+    headers = (
+        lines.where(F.col("value").contains(key))
+        .select(F.col("_metadata.file_path").alias("file"), fields.alias("fields"))
+        .where(F.array_contains("fields", key))
+        .distinct()
+    )
+    out: dict[tuple[str, ...], list[str]] = {}
     for row in headers.orderBy("file").collect():
-        out.setdefault(row["value"], []).append(row["file"])
+        out.setdefault(tuple(row["fields"]), []).append(row["file"])
     return out
 
 
-def read_landed_csv(spark: SparkSession, path: str, schema: T.StructType, key: str) -> DataFrame:
+def read_landed_csv(
+    spark: SparkSession, path: str, schema: T.StructType, key: str, days: Sequence[dt.date] | None = None
+) -> DataFrame:
     """Header CSV files as ``schema``, each column found by its name in its own file.
 
     Files may order columns differently, lack some or carry extra ones. A plain read of a
-    folder applies the first header to all files, so files are read per distinct header."""
+    folder applies the first header to all files, so files are read per distinct header.
+    ``days`` limits a folder laid out as ``day=YYYY-MM-DD`` to those days, and files of
+    other days are not opened."""
     out = None
-    for files in _files_by_header(spark, path, key).values():
-        raw = spark.read.option("header", True).option("escape", '"').csv(files)
+    for header, files in _files_by_header(spark, path, key, days).items():
+        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        raw = spark.read.schema(text).option("header", True).option("escape", '"').csv(files)
         part = raw.select(
             *(
-                typed(f.name, f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                typed(f.name, f.dataType) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name)
                 for f in schema.fields
             )
         )
@@ -73,9 +91,11 @@ def landed_schema(ids: str = "int") -> T.StructType:
     )
 
 
-def read_pitch_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Landed pitches, typed."""
-    return read_landed_csv(spark, path, schema or landed_schema(), key="game_pk")
+def read_pitch_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, days: Sequence[dt.date] | None = None
+) -> DataFrame:
+    """Landed pitches, typed; ``days`` as in ``read_landed_csv``."""
+    return read_landed_csv(spark, path, schema or landed_schema(), "game_pk", days)
 
 
 def read_player_csv(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:
@@ -83,5 +103,5 @@ def read_player_csv(spark: SparkSession, path: str, id_type: T.DataType | None =
     schema = T.StructType(
         [T.StructField("player_id", id_type or T.IntegerType()), T.StructField("player_name", T.StringType())]
     )
-    rows = read_landed_csv(spark, path, schema, key="player_id")
+    rows = read_landed_csv(spark, path, schema, "player_id")
     return one_name_per_player(rows.where(F.col("player_id").isNotNull()))

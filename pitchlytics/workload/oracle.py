@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+from ..schema import PITCH_SCHEMA
 from . import settings as S
 from .views import BATTERS_VIEW, PITCH_VIEW, PITCHERS_VIEW, SCORED_VIEW
 
@@ -180,22 +181,28 @@ FROM {" CROSS JOIN ".join(sources)}"""
     return " UNION ALL ".join(parts)
 
 
+def _lists(params: str) -> str:
+    """All draws of one effect in a list."""
+    return f"""SELECT term, k1, k2, k3, k4, list(value ORDER BY chain, draw) AS v
+FROM {params} GROUP BY term, k1, k2, k3, k4"""
+
+
 def _score(formula: str, frame: str, params: str, missing=()) -> str:
     """Mean over draws of the logistic of the summed effects, per row of the frame."""
     terms = [t for t in FORMULAS[formula] if t[0] not in missing]
     keys = list(dict.fromkeys(f"{k}_idx" for _, ks in terms for k in ks))
     cols = ", ".join(keys)
     joins = " ".join(
-        f"JOIN {params} t{i} ON t{i}.term = '{term}' AND t{i}.chain = t0.chain AND t{i}.draw = t0.draw "
-        + " ".join(f"AND t{i}.k{j} = c.{k}_idx" for j, k in enumerate(ks, 1))
+        f"LEFT JOIN (SELECT * FROM {params} WHERE term = '{term}') t{i} ON "
+        + (" AND ".join(f"t{i}.k{j} = c.{k}_idx" for j, k in enumerate(ks, 1)) or "true")
         for i, (term, ks) in enumerate(terms)
-        if i > 0
     )
-    logit = " + ".join(f"t{i}.value" for i in range(len(terms)))
+    effects = ", ".join(f"unnest(t{i}.v) AS e{i}" for i in range(len(terms)))
+    logit = " + ".join(f"e{i}" for i in range(len(terms)))
     return f"""SELECT batter, pitcher, is_whiff, {cols}, {r("score")} FROM {frame} JOIN (
-  SELECT {", ".join(f"c.{k}" for k in keys)}, avg(1 / (1 + exp(-({logit})))) AS score
-  FROM (SELECT DISTINCT {cols} FROM {frame}) c JOIN {params} t0 ON t0.term = 'intercept' {joins}
-  GROUP BY {", ".join(f"c.{k}" for k in keys)}) p USING ({cols})"""
+  SELECT {cols}, avg(1 / (1 + exp(-({logit})))) AS score FROM (
+    SELECT {", ".join(f"c.{k}" for k in keys)}, {effects} FROM (SELECT DISTINCT {cols} FROM {frame}) c {joins})
+  GROUP BY {cols}) p USING ({cols})"""
 
 
 CTES = {
@@ -248,6 +255,9 @@ CTES = {
     "enh_params": _params("enh", "enh_labels"),
     "hier_params": _params("hier", "hier_labels"),
     "two_params": _params("two", "two_labels"),
+    "enh_lists": _lists("enh_params"),
+    "hier_lists": _lists("hier_params"),
+    "two_lists": _lists("two_params"),
     # games
     "games": """SELECT game_pk, game_date, home_team, away_team FROM (
   SELECT *, row_number() OVER (PARTITION BY game_pk ORDER BY game_date NULLS LAST, home_team NULLS LAST, away_team NULLS LAST) AS rn
@@ -393,8 +403,6 @@ def _hand(view: str, player: str, attr: str, kind: str) -> str:
 
 
 def _conformed() -> str:
-    from ..schema import PITCH_SCHEMA
-
     have = [c.strip() for c in PITCH_COLUMNS.split(",")]
     cols = []
     for f in PITCH_SCHEMA.fields:
@@ -547,12 +555,12 @@ JOIN ({_labels("pitch_view", ("pitch_type",))}) t ON t.value IS NOT DISTINCT FRO
     "swing_cells": """SELECT batter_idx, league_idx, zone_idx, pitch_subtype_idx, p_throws_idx, pitcher_idx, stand_idx,
   batter_whiff_group_idx, zone_num_idx, count_bucket_idx, count(*) AS n, sum(is_whiff) AS whiffs
 FROM enh_frame GROUP BY ALL""",
-    "score_enhanced": _score("enh", "enh_held_frame", "enh_params"),
+    "score_enhanced": _score("enh", "enh_held_frame", "enh_lists"),
     "score_enhanced_core": _score(
-        "enh", "enh_held_frame", "enh_params", ("batter_league", "pitcher_league", "group_count")
+        "enh", "enh_held_frame", "enh_lists", ("batter_league", "pitcher_league", "group_count")
     ),
-    "score_2way": _score("two", "two_held_frame", "two_params"),
-    "score_hierarchical": _score("hier", "hier_held_frame", "hier_params"),
+    "score_2way": _score("two", "two_held_frame", "two_lists"),
+    "score_hierarchical": _score("hier", "hier_held_frame", "hier_lists"),
     "effect_draws": f"""SELECT o.term, o.k1, o.k2, o.k3, o.k4, o.block AS draw_block,
   {r(f"sum(CASE WHEN o.at % {S.BLOCK} = 0 THEN o.value * (abs(s.value) + 0.5) END)", "first_draw")},
   {r("sum(o.value * (abs(s.value) + 0.5))", "draw_sum")}

@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
@@ -81,10 +81,25 @@ def read_player_csv(spark, sf):
     return landing.read_player_csv(spark, f"{land(spark, sf)}/batters", LANDED["batter"].dataType)
 
 
-def pitch_table(spark: SparkSession, sf: str, path: str | None = None) -> str:
-    path = path or new_folder(spark, "pitches")
-    tables.append_pitches(views.pitch_view(spark, sf), path)
-    return path
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def pitch_table(spark: SparkSession, sf: str) -> str:
+    """Path of the stored pitch table with its derived columns, partitioned by league and
+    season. Written once per session; the queries on samples and models start from it, as
+    they would in production."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = new_folder(spark, "pitches")
+        tables.append_pitches(with_metrics(spark, sf), path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def stored_leagues(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    path = pitch_table(spark, sf)
+    major, minor = (tables.scan_pitches(spark, path, lg).drop("league") for lg in ("major", "minor"))
+    return major, minor
 
 
 @query
@@ -96,7 +111,7 @@ def scan_pitches(spark, sf):
 def create_tables(spark, sf):
     base = new_folder(spark, "warehouse")
     names = tables.create_tables(spark, base, f"pitchlytics_{uuid.uuid4().hex[:12]}")
-    major, minor = views.leagues(spark, sf)
+    major, minor = stored_leagues(spark, sf)
     content = {
         "pitchers": views.pitchers_view(spark, sf),
         "batters": views.batters_view(spark, sf),
@@ -514,9 +529,9 @@ def preview_games(spark, sf):
 
 
 def sample(spark: SparkSession, sf: str, window: tuple[str, str], variant=samples.ENHANCED) -> DataFrame:
-    major, minor = views.leagues(spark, sf)
+    major, minor = stored_leagues(spark, sf)
     return samples.swing_sample(
-        major, minor, S.YEAR, *window, min_batter=S.MIN_BATTER, min_pitcher=S.MIN_PITCHER, variant=variant
+        major, minor, S.YEAR, *window, S.MIN_BATTER, S.MIN_PITCHER, variant, year_col="game_year"
     )
 
 
@@ -621,6 +636,16 @@ def sizes_of(labels: DataFrame, variant) -> DataFrame:
     return labels.agg(*sizes).withColumns({"zone_idx": F.lit(2), "zone_num_idx": F.lit(13)})
 
 
+def made_up(salt: int) -> Callable[[Column], Column]:
+    def value(i: Column) -> Column:
+        at = F.col("draw_block") * S.BLOCK + i
+        chain, draw = F.floor(at / S.DRAWS).cast("int"), at % S.DRAWS
+        mixed = F.col("k1") * 31 + F.col("k2") * 17 + F.col("k3") * 11 + F.col("k4") * 5
+        return ((mixed + chain * 3 + draw * 7 + salt) % 100 - 50) / F.lit(100.0)
+
+    return value
+
+
 def made_up_draws(labels: DataFrame, variant, terms) -> DataFrame:
     """A parameter table with a value for every key combination of the fitted labels."""
     sizes = settle(sizes_of(labels, variant), "sizes")
@@ -634,13 +659,7 @@ def made_up_draws(labels: DataFrame, variant, terms) -> DataFrame:
         blocks = F.sequence(F.lit(0), F.lit(S.CHAINS * S.DRAWS // S.BLOCK - 1))
         rows = keys.withColumn("draw_block", F.explode(blocks))
 
-        def value(i, salt=salt):
-            at = F.col("draw_block") * S.BLOCK + i
-            chain, draw = F.floor(at / S.DRAWS).cast("int"), at % S.DRAWS
-            mixed = F.col("k1") * 31 + F.col("k2") * 17 + F.col("k3") * 11 + F.col("k4") * 5
-            return ((mixed + chain * 3 + draw * 7 + salt) % 100 - 50) / F.lit(100.0)
-
-        draws = F.transform(F.sequence(F.lit(0), F.lit(S.BLOCK - 1)), value)
+        draws = F.transform(F.sequence(F.lit(0), F.lit(S.BLOCK - 1)), made_up(salt))
         part = rows.select(F.lit(term.name).alias("term"), *M.KEY_COLUMNS, "draw_block", draws.alias("draws"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -8,8 +8,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.derive import advanced_metrics
-
 PITCH_VIEW = """
 SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS game_pk, CAST(o_orderdate AS DATE) AS game_date, year(o_orderdate) AS game_year,
   l_partkey % 50 AS batter, l_suppkey AS pitcher, l_linenumber AS inning,
@@ -80,9 +78,3 @@ def batters_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, SCORED_VIEW, pitch_view=pitch_view(spark, sf_dir))
 
-
-def leagues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The two league tables, with the derived columns in place."""
-    pitches = advanced_metrics(pitch_view(spark, sf_dir))
-    major, minor = (pitches.where(pitches.league == lg).drop("league") for lg in ("major", "minor"))
-    return major, minor
