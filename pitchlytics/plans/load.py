@@ -16,7 +16,7 @@ from ..operators.aggregates import metric_coverage
 from ..operators.derive import advanced_metrics, round_doubles
 from ..operators.joins import anti_join_new
 from ..schema import PITCH_SCHEMA, SEASONS
-from ..sources.landing import landed_schema, read_pitch_csv, read_player_csv
+from ..sources.landing import DayRange, in_ranges, landed_schema, read_pitch_csv, read_player_csv
 from ..sources.tables import TABLES, append_pitches, conform_to_schema
 
 
@@ -26,18 +26,22 @@ def season_calendar(spark: SparkSession, seasons: Sequence[tuple] = SEASONS) ->
     return spark.createDataFrame(rows, "league string, game_year int, start date, end date")
 
 
-def dates_to_load(calendar: DataFrame, latest: DataFrame, as_of: str) -> DataFrame:
-    """In-season days after each league's high-water mark, up to the day before ``as_of``.
-
-    ``latest`` is ``(league, latest_date)``; a league without a mark starts at its first
-    season. At most one row per league and day of the calendar comes out."""
+def ranges_to_load(calendar: DataFrame, latest: DataFrame, as_of: str) -> DataFrame:
+    """First and last due day per league and season: after the league's high-water mark, up
+    to the day before ``as_of``. ``latest`` is ``(league, latest_date)``; a league without a
+    mark starts at its first season."""
     before = F.date_sub(F.lit(dt.date.fromisoformat(as_of)), 1)
     ranges = calendar.join(latest, "league", "left").select(
         "league",
         F.greatest("start", F.date_add("latest_date", 1)).alias("first"),
         F.least("end", before).alias("last"),
     )
-    return ranges.where(F.col("first") <= F.col("last")).select(
+    return ranges.where(F.col("first") <= F.col("last"))
+
+
+def dates_to_load(calendar: DataFrame, latest: DataFrame, as_of: str) -> DataFrame:
+    """The due days one by one, at most one row per league and day of the calendar."""
+    return ranges_to_load(calendar, latest, as_of).select(
         "league", F.explode(F.sequence("first", "last")).alias("game_date")
     )
 
@@ -67,9 +71,9 @@ class Landing:
     path: str
     schema: T.StructType
 
-    def pitches(self, spark: SparkSession, league: str, days: Sequence[dt.date]) -> DataFrame:
-        rows = read_pitch_csv(spark, f"{self.path}/{league}", self.schema, days)
-        return rows.where(F.col("game_date").isin(list(days))).withColumn("league", F.lit(league))
+    def pitches(self, spark: SparkSession, league: str, ranges: Sequence[DayRange]) -> DataFrame:
+        rows = read_pitch_csv(spark, f"{self.path}/{league}", self.schema, ranges)
+        return rows.where(in_ranges("game_date", ranges)).withColumn("league", F.lit(league))
 
 
 def table_schema(landed: T.StructType) -> T.StructType:
@@ -91,12 +95,12 @@ def prepare(pitches: DataFrame, schema: T.StructType) -> DataFrame:
 def pending(
     spark: SparkSession, landing: Landing, table: DataFrame, calendar: DataFrame, as_of: str
 ) -> DataFrame | None:
-    """Landed rows of the days that are due, None when no day is. The list of days is as
-    long as the calendar at most and selects the files to open."""
-    due: dict[str, list[dt.date]] = {}
-    for row in dates_to_load(calendar, marks(table), as_of).collect():
-        due.setdefault(row["league"], []).append(row["game_date"])
-    parts = [landing.pitches(spark, league, sorted(days)) for league, days in sorted(due.items())]
+    """Landed rows of the days that are due, None when no day is. One range per season comes
+    to the driver and selects the files to open."""
+    due: dict[str, list[DayRange]] = {}
+    for row in ranges_to_load(calendar, marks(table), as_of).collect():
+        due.setdefault(row["league"], []).append((row["first"], row["last"]))
+    parts = [landing.pitches(spark, league, sorted(ranges)) for league, ranges in sorted(due.items())]
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,16 @@ NULL_TOKENS = (
 )
 
 
+#: First and last day of a stretch of days.
+DayRange = tuple[dt.date, dt.date]
+
+
+def in_ranges(day: str, ranges: Sequence[DayRange]) -> Column:
+    """Whether a day lies in one of the ranges."""
+    hits = (F.col(day).between(F.lit(first), F.lit(last)) for first, last in ranges)
+    return reduce(lambda a, b: a | b, hits, F.lit(False))
+
+
 def typed(name: str, dtype: T.DataType) -> Column:
     """A text column as its table type; a missing-value token or unreadable text is NULL.
     Whole numbers may be written with a decimal point."""
@@ -36,13 +47,13 @@ def typed(name: str, dtype: T.DataType) -> Column:
 
 
 def _files_by_header(
-    spark: SparkSession, path: str, key: str, days: Sequence[dt.date] | None
+    spark: SparkSession, path: str, key: str, days: Sequence[DayRange] | None
 ) -> dict[tuple[str, ...], list[str]]:
     """Landed files grouped by their header. Only file names and distinct headers come to
     the driver, which lists the files of a scan anyway."""
     lines = spark.read.text(path)
     if days is not None and "day" in lines.columns:
-        lines = lines.where(F.col("day").isin(list(days)))
+        lines = lines.where(in_ranges("day", days))
     fields = F.transform(F.split("value", ","), lambda f: F.trim(f, F.lit(' "\ufeff')))
     headers = (
         lines.where(F.col("value").contains(key))
@@ -57,13 +68,13 @@ def _files_by_header(
 
 
 def read_landed_csv(
-    spark: SparkSession, path: str, schema: T.StructType, key: str, days: Sequence[dt.date] | None = None
+    spark: SparkSession, path: str, schema: T.StructType, key: str, days: Sequence[DayRange] | None = None
 ) -> DataFrame:
     """Header CSV files as ``schema``, each column found by its name in its own file.
 
     Files may order columns differently, lack some or carry extra ones. A plain read of a
     folder applies the first header to all files, so files are read per distinct header.
-    ``days`` limits a folder laid out as ``day=YYYY-MM-DD`` to those days, and files of
+    ``days`` limits a folder laid out as ``day=YYYY-MM-DD`` to those ranges, and files of
     other days are not opened."""
     out = None
     for header, files in _files_by_header(spark, path, key, days).items():
@@ -92,7 +103,7 @@ def landed_schema(ids: str = "int") -> T.StructType:
 
 
 def read_pitch_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, days: Sequence[dt.date] | None = None
+    spark: SparkSession, path: str, schema: T.StructType | None = None, days: Sequence[DayRange] | None = None
 ) -> DataFrame:
     """Landed pitches, typed; ``days`` as in ``read_landed_csv``."""
     return read_landed_csv(spark, path, schema or landed_schema(), "game_pk", days)
