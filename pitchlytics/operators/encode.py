@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import settle
+from .ordered import ONE_TASK_ROWS, quantiles, running_totals
 
 # Group names from the lowest to the highest whiff rate.
 THREE_GROUPS = ("Low", "Medium", "High")
@@ -20,11 +21,10 @@ EDGE_DIGITS = 9
 UNSEEN = -1
 
 
-def _edges(counts: DataFrame, rate: str, q: int) -> Column:
+def _edges(counts: DataFrame, rate: str, q: int, one_task: bool) -> Column:
     """Rounded quantile edges of ``q`` groups from players per distinct rate, as a scalar
     subquery. Raises on equal edges."""
-    probs = F.array(*(F.lit(k / q) for k in range(q + 1)))
-    exact = counts.agg(F.percentile(rate, probs, F.col("players")).alias("e"))
+    exact = quantiles(counts, rate, "players", [k / q for k in range(q + 1)], one_task)
     rounded = exact.select(F.transform("e", lambda e: F.round(e, EDGE_DIGITS)).alias("e"))
     repeated = F.raise_error(F.lit("quantile edges are not unique")).cast("array<double>")
     return rounded.select(F.when(F.size(F.array_distinct("e")) < F.size("e"), repeated).otherwise(F.col("e"))).scalar()
@@ -38,18 +38,23 @@ def _group_of(rate: Column, edges: Column, names: Sequence[str]) -> Column:
     return out.otherwise(names[-1])
 
 
-def quantile_groups(rates: DataFrame, groups: Mapping[str, Sequence[str]], rate="whiff_rate") -> DataFrame:
+def quantile_groups(
+    rates: DataFrame,
+    groups: Mapping[str, Sequence[str]],
+    rate="whiff_rate",
+    one_task_rows: int = ONE_TASK_ROWS,
+) -> DataFrame:
     """Add one column per entry of ``groups``, the name of the quantile group of ``rate``.
 
     Groups are right-closed bins on linearly interpolated quantiles; equal edges raise.
-    ``rates`` has one row per player and is read twice (edges, then rows), so hand in a
-    settled table when it comes from a large scan. Edges are taken on counts per distinct
-    rate, which keeps the state of the exact percentile small.
-    """
+    ``rates`` has one row per player and is read several times (size, edges, rows), so hand
+    in a settled table when it comes from a large scan. Edges of more than ``one_task_rows``
+    players are found by rank in a range-partitioned order."""
     counts = rates.where(F.col(rate).isNotNull()).groupBy(rate).agg(F.count(F.lit(1)).alias("players"))
+    one_task = rates.count() <= one_task_rows
     out = rates
     for name, labels in groups.items():
-        edges = _edges(counts, rate, len(labels))
+        edges = _edges(counts, rate, len(labels), one_task)
         out = out.withColumn(name, _group_of(F.col(rate), edges, labels))
     return out
 
@@ -82,16 +87,20 @@ def value_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), lab
     )
 
 
-def labels_of(values: DataFrame) -> DataFrame:
+def labels_of(values: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """0-based index of each value in sorted order per column, a NULL value last.
 
-    ``values`` holds one row per distinct value; the largest column has one row per player."""
-    order = Window.partitionBy("col").orderBy(F.col("num").asc_nulls_last(), F.col("value").asc_nulls_last())
-    return values.select("col", "num", "value").distinct().select(
-        "col",
-        F.coalesce("value", F.col("num").cast("string")).alias("value"),
-        (F.row_number().over(order) - 1).alias("idx"),
-    )
+    ``values`` holds ``(col, num, value)`` and is settled here. Up to ``one_task_rows`` values
+    one task numbers a column; beyond that the order is range-partitioned."""
+    distinct = settle(values.select("col", "num", "value").distinct(), "values")
+    if distinct.count() <= one_task_rows:
+        order = Window.partitionBy("col").orderBy(F.col("num").asc_nulls_last(), F.col("value").asc_nulls_last())
+        numbered = distinct.withColumn("idx", (F.row_number().over(order) - 1).cast("bigint"))
+    else:
+        numbered = running_totals(distinct.withColumn("one", F.lit(1)), ["col"], ["num", "value"], ["one"])
+        numbered = numbered.withColumnRenamed("one_before", "idx")
+    text = F.coalesce("value", F.col("num").cast("string"))
+    return numbered.select("col", text.alias("value"), F.col("idx").cast("int").alias("idx"))
 
 
 def fit_labels(df: DataFrame, cols: Sequence[str]) -> DataFrame:

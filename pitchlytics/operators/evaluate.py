@@ -4,10 +4,8 @@ Every function takes ``scored`` (a 0/1 label and a score per row) and optional g
 columns; rows with a NULL group are left out.
 
 Ranking metrics never sort the rows. Rows are counted per distinct score (a map-side
-aggregate, so a score or group shared by very many rows costs one row per task), the counts
-are range-partitioned on (group, score) and that placement is written down. Each slice is
-then an equal share of the distinct scores, whatever their distribution, running totals are
-taken inside a slice, and one row per slice carries the totals across slices.
+aggregate, so a score or group shared by very many rows costs one row per task), and running
+totals over the distinct scores are taken in range-partitioned slices.
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import settle
+from .ordered import running_totals
 
 # Fixed value: machine epsilon of a double, the distance log loss keeps from 0 and 1.
 EPSILON = 2.220446049250313e-16
@@ -33,15 +32,6 @@ def _per_score(scored: DataFrame, label: str, score: str, by: Sequence[str]) ->
     )
 
 
-def _sliced(scored: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
-    """Counts per distinct score with the number of their range partition, as a table."""
-    counts = _per_score(scored, label, score, by)
-    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = counts.repartitionByRange(n, *by, "score").withColumn("slice", F.spark_partition_id())
-    # written, because a recomputed range partitioning may draw other boundaries
-    return settle(placed, "scores")
-
-
 def _log_loss(p: Column, y: Column) -> Column:
     q = F.least(F.greatest(p, F.lit(EPSILON)), F.lit(1.0 - EPSILON))
     return -F.when(y == 1, F.log(q)).otherwise(F.log(1.0 - q))
@@ -50,35 +40,16 @@ def _log_loss(p: Column, y: Column) -> Column:
 def _summary(scored: DataFrame, label: str, score: str, by: Sequence[str], cut: float = CUT) -> DataFrame:
     """One row per group with every overall metric, from one pass over the rows."""
     by = list(by)
-    counts = _sliced(scored, label, score, by)
+    ranked = running_totals(_per_score(scored, label, score, by), by, ["score"], ["neg"])
     p, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
-    before = Window.partitionBy(*by, "slice").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (
-        counts.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
-        .groupBy(*by, "slice")
-        .agg(
-            F.sum("pos").alias("pos"),
-            F.sum("neg").alias("neg"),
-            F.sum(pos * (F.col("below") + neg / 2.0)).alias("wins"),
-            F.sum(pos * F.pow(1.0 - p, F.lit(2.0)) + neg * F.pow(p, F.lit(2.0))).alias("squares"),
-            F.sum(pos * _log_loss(p, F.lit(1)) + neg * _log_loss(p, F.lit(0))).alias("losses"),
-            F.sum(F.when(p > cut, pos).otherwise(0)).alias("tp"),
-            F.sum(F.when(p > cut, neg).otherwise(0)).alias("fp"),
-        )
-    )
-    earlier = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        slices.withColumn("below", F.coalesce(F.sum("neg").over(earlier), F.lit(0)).cast("double"))
-        .groupBy(*by)
-        .agg(
-            F.sum("pos").alias("pos"),
-            F.sum("neg").alias("neg"),
-            F.sum(F.col("wins") + F.col("pos") * F.col("below")).alias("wins"),
-            F.sum("squares").alias("squares"),
-            F.sum("losses").alias("losses"),
-            F.sum("tp").alias("tp"),
-            F.sum("fp").alias("fp"),
-        )
+    totals = ranked.groupBy(*by).agg(
+        F.sum("pos").alias("pos"),
+        F.sum("neg").alias("neg"),
+        F.sum(pos * (F.col("neg_before") + neg / 2.0)).alias("wins"),
+        F.sum(pos * F.pow(1.0 - p, F.lit(2.0)) + neg * F.pow(p, F.lit(2.0))).alias("squares"),
+        F.sum(pos * _log_loss(p, F.lit(1)) + neg * _log_loss(p, F.lit(0))).alias("losses"),
+        F.sum(F.when(p > cut, pos).otherwise(0)).alias("tp"),
+        F.sum(F.when(p > cut, neg).otherwise(0)).alias("fp"),
     )
     n = pos + neg
     return totals.select(
@@ -213,35 +184,17 @@ def roc_curve(scored: DataFrame, label="is_whiff", score="score", group_cols: Se
     """False and true positive rate at each distinct score, with the (0, 0) start at a NULL
     threshold. Groups of one class have a NULL rate."""
     by = list(group_cols)
-    counts = _sliced(scored, label, score, by)
-    later = Window.partitionBy(*by).orderBy(F.col("slice").desc())
-    above, whole = later.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
-    slices = (
-        counts.groupBy(*by, "slice")
-        .agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-        .select(
-            *by,
-            "slice",
-            F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p_above"),
-            F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"),
-            F.sum("p").over(whole).cast("double").alias("p_all"),
-            F.sum("n").over(whole).cast("double").alias("n_all"),
-        )
-    )
-    down = Window.partitionBy(*by, "slice").orderBy(F.col("score").desc())
-    down = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = counts.join(slices, [*by, "slice"]).select(
-        *by,
-        F.col("score").alias("threshold"),
-        F.try_divide(F.col("n_above") + F.sum("neg").over(down), "n_all").alias("fpr"),
-        F.try_divide(F.col("p_above") + F.sum("pos").over(down), "p_all").alias("tpr"),
-    )
-    start = slices.select(*by).distinct() if by else slices.select("slice").limit(1).drop("slice")
-    return curve.unionByName(
-        start.select(
-            *by, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
-        )
-    )
+    ranked = running_totals(_per_score(scored, label, score, by), by, ["score"], ["pos", "neg"])
+
+    def at_or_above(c: str) -> Column:
+        return F.try_divide((F.col(f"{c}_all") - F.col(f"{c}_before")).cast("double"), F.col(f"{c}_all"))
+
+    # the lowest score of a group is its last point, so it also stands for the start
+    point = F.struct(F.col("score").alias("threshold"), at_or_above("neg").alias("fpr"), at_or_above("pos").alias("tpr"))
+    start = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    lowest = (F.col("pos_before") == 0) & (F.col("neg_before") == 0)
+    points = F.when(lowest, F.array(point, start)).otherwise(F.array(point))
+    return ranked.select(*by, F.explode(points).alias("p")).select(*by, "p.*")
 
 
 def roc_by_group(scored: DataFrame, by="pitch_subtype", label="is_whiff", score="score", k: int = 6) -> DataFrame:

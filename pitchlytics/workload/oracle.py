@@ -369,8 +369,8 @@ def _roc(by: str = "", where: str = "") -> str:
 TOP_TYPES = """(SELECT pitch_type FROM scored_view WHERE pitch_type IS NOT NULL GROUP BY pitch_type
   HAVING min(is_whiff) < max(is_whiff) ORDER BY count(*) DESC, pitch_type LIMIT 6)"""
 BIN = " + ".join(f"CASE WHEN score > {k} * CAST(0.1 AS DOUBLE) THEN 1 ELSE 0 END" for k in range(1, 10))
-TOTALS = f"""SELECT league, game_year, count(*) AS n, max(game_date) AS last_day, sum(pitcher) AS pitcher_sum,
-  {r("avg(round(plate_x, 4))", "mean_plate_x")}, sum(blast) AS blasts FROM loaded"""
+TOTALS = f"""SELECT league, game_year, count(*) AS n, max(game_date) AS last_day, CAST(sum(pitcher) AS BIGINT) AS pitcher_sum,
+  {r("avg(round(plate_x, 4))", "mean_plate_x")}, CAST(sum(blast) AS BIGINT) AS blasts FROM loaded"""
 
 
 def _modelled(frame: str, cols, zone_num: bool) -> str:
@@ -440,7 +440,7 @@ UNION ALL SELECT 'start_game', count(DISTINCT game_pk) FROM pitch_view""",
   CAST(NULL AS DOUBLE) AS HA_Adj_estimated_xISO, CAST(NULL AS INT) AS blast, CAST(NULL AS INT) AS is_zone,
   CAST(NULL AS VARCHAR) AS pitch_bucket, CAST(NULL AS VARCHAR) AS pitch_subtype FROM pitch_view""",
     "conform_to_schema": _conformed(),
-    "append_pitches": """SELECT league, game_year, count(*) AS n, sum(pitcher) AS pitcher_sum FROM pitch_view
+    "append_pitches": """SELECT league, game_year, count(*) AS n, CAST(sum(pitcher) AS BIGINT) AS pitcher_sum FROM pitch_view
 GROUP BY league, game_year""",
     "overwrite_table": "SELECT * FROM games",
     "insert_new_players": """SELECT player_id, player_name, CASE WHEN NOT contains(player_name, ',') THEN 'L' END AS stand
@@ -480,7 +480,7 @@ FROM pitch_view JOIN calendar USING (league, game_year) GROUP BY league, game_ye
 WHERE count_bucket IS NOT NULL""",
     "advanced_metrics": f"""SELECT {ID}, {r("phi")}, {r("estimated_iso_using_speedangle")}, {r("HA_factor")},
   {r("HA_Adj_estimated_xISO")}, blast, is_zone, pitch_bucket, pitch_subtype FROM metrics""",
-    "blast_share": f"""SELECT pitch_bucket, count(blast) AS batted_balls, sum(blast) AS blasts,
+    "blast_share": f"""SELECT pitch_bucket, count(blast) AS batted_balls, CAST(sum(blast) AS BIGINT) AS blasts,
   {r("avg(HA_Adj_estimated_xISO)", "mean_xiso")} FROM metrics GROUP BY pitch_bucket""",
     "flip_player_name": f"""SELECT player_id, {FLIP} AS player_name FROM pitchers_view
 UNION ALL SELECT player_id, {FLIP} FROM batters_view""",
@@ -553,7 +553,7 @@ JOIN ({_labels("pitch_view", ("pitch_type",))}) t ON t.value IS NOT DISTINCT FRO
     "model_frame_2way": _modelled("two_frame", TWO, False),
     # model
     "swing_cells": """SELECT batter_idx, league_idx, zone_idx, pitch_subtype_idx, p_throws_idx, pitcher_idx, stand_idx,
-  batter_whiff_group_idx, zone_num_idx, count_bucket_idx, count(*) AS n, sum(is_whiff) AS whiffs
+  batter_whiff_group_idx, zone_num_idx, count_bucket_idx, count(*) AS n, CAST(sum(is_whiff) AS BIGINT) AS whiffs
 FROM enh_frame GROUP BY ALL""",
     "score_enhanced": _score("enh", "enh_held_frame", "enh_lists"),
     "score_enhanced_core": _score(
