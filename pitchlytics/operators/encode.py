@@ -21,13 +21,19 @@ EDGE_DIGITS = 9
 UNSEEN = -1
 
 
-def _edges(counts: DataFrame, rate: str, q: int, one_task: bool) -> Column:
-    """Rounded quantile edges of ``q`` groups from players per distinct rate, as a scalar
-    subquery. Raises on equal edges."""
-    exact = quantiles(counts, rate, "players", [k / q for k in range(q + 1)], one_task)
+def _edges(counts: DataFrame, rate: str, sizes: Sequence[int], one_task: bool) -> Column:
+    """Rounded quantile edges, one array per number of groups in ``sizes``, from players per
+    distinct rate, as one scalar subquery. Raises on equal edges."""
+    probs = [k / q for q in sizes for k in range(q + 1)]
+    exact = quantiles(counts, rate, "players", probs, one_task)
     rounded = exact.select(F.transform("e", lambda e: F.round(e, EDGE_DIGITS)).alias("e"))
     repeated = F.raise_error(F.lit("quantile edges are not unique")).cast("array<double>")
-    return rounded.select(F.when(F.size(F.array_distinct("e")) < F.size("e"), repeated).otherwise(F.col("e"))).scalar()
+    arrays, start = [], 1
+    for q in sizes:
+        own = F.slice("e", start, q + 1)
+        arrays.append(F.when(F.size(F.array_distinct(own)) < F.size(own), repeated).otherwise(own))
+        start += q + 1
+    return rounded.select(F.array(*arrays)).scalar()
 
 
 def _group_of(rate: Column, edges: Column, names: Sequence[str]) -> Column:
@@ -52,11 +58,10 @@ def quantile_groups(
     players are found by rank in a range-partitioned order."""
     counts = rates.where(F.col(rate).isNotNull()).groupBy(rate).agg(F.count(F.lit(1)).alias("players"))
     one_task = rates.count() <= one_task_rows
-    out = rates
-    for name, labels in groups.items():
-        edges = _edges(counts, rate, len(labels), one_task)
-        out = out.withColumn(name, _group_of(F.col(rate), edges, labels))
-    return out
+    edges = _edges(counts, rate, [len(names) for names in groups.values()], one_task)
+    return rates.withColumns(
+        {name: _group_of(F.col(rate), edges[i], names) for i, (name, names) in enumerate(groups.items())}
+    )
 
 
 def _is_integer(dtype: str) -> bool:
