@@ -51,18 +51,34 @@ def with_metrics(spark: SparkSession, sf: str) -> DataFrame:
 # --- scans, sources, sinks ------------------------------------------------------------
 
 
+#: What a session has already written, by kind: landed files and the stored pitch table.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def written_once(spark: SparkSession, sf: str, kind: str, write: Callable[[str], None]) -> str:
+    """Path of an input that many queries start from, written once per session."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _WRITTEN:
+        path = new_folder(spark, kind)
+        write(path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
 def land(spark: SparkSession, sf: str) -> str:
-    """Write the driver tables as landed CSV files, one folder per league and player kind.
-    The minor files carry their columns in another order."""
-    path = new_folder(spark, "landing")
-    pitches = views.pitch_view(spark, sf)
-    order = [c for c in pitches.columns if c != "league"]
-    for league, columns in (("major", order), ("minor", order[::-1])):
-        rows = pitches.where(F.col("league") == league).select(*columns)
-        rows.write.option("header", True).csv(f"{path}/{league}")
-    for kind, players in (("pitchers", views.pitchers_view), ("batters", views.batters_view)):
-        players(spark, sf).write.option("header", True).csv(f"{path}/{kind}")
-    return path
+    """The driver tables as landed CSV files, one folder per league and player kind. The
+    minor files carry their columns in another order."""
+
+    def write(path: str) -> None:
+        pitches = views.pitch_view(spark, sf)
+        order = [c for c in pitches.columns if c != "league"]
+        for league, columns in (("major", order), ("minor", order[::-1])):
+            rows = pitches.where(F.col("league") == league).select(*columns)
+            rows.write.option("header", True).csv(f"{path}/{league}")
+        for kind, players in (("pitchers", views.pitchers_view), ("batters", views.batters_view)):
+            players(spark, sf).write.option("header", True).csv(f"{path}/{kind}")
+
+    return written_once(spark, sf, "landing", write)
 
 
 LANDED = landing.landed_schema("bigint")
@@ -81,19 +97,10 @@ def read_player_csv(spark, sf):
     return landing.read_player_csv(spark, f"{land(spark, sf)}/batters", LANDED["batter"].dataType)
 
 
-_STORED: dict[tuple[str, str], str] = {}
-
-
 def pitch_table(spark: SparkSession, sf: str) -> str:
-    """Path of the stored pitch table with its derived columns, partitioned by league and
-    season. Written once per session; the queries on samples and models start from it, as
-    they would in production."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORED:
-        path = new_folder(spark, "pitches")
-        tables.append_pitches(with_metrics(spark, sf), path)
-        _STORED[key] = path
-    return _STORED[key]
+    """The stored pitch table with its derived columns, partitioned by league and season.
+    The queries on samples and models start from it, as they would in production."""
+    return written_once(spark, sf, "pitches", lambda path: tables.append_pitches(with_metrics(spark, sf), path))
 
 
 def stored_leagues(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
