@@ -18,8 +18,8 @@ def swings_only(df: DataFrame) -> DataFrame:
 
 
 def date_window(df: DataFrame, start: str, end: str, date_col="game_date", year_col: str | None = None) -> DataFrame:
-    """Rows of an inclusive date range. Name ``year_col`` on a table partitioned by year, so
-    that the range also prunes partitions."""
+    """Rows of an inclusive date range. Name ``year_col`` on a table partitioned by the year
+    of the date, so that the range also prunes partitions."""
     first, last = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
     keep = F.col(date_col).between(F.lit(first), F.lit(last))
     if year_col is not None:

@@ -194,7 +194,7 @@ def score_2way(frame: DataFrame, params: DataFrame) -> DataFrame:
 # --- fit ------------------------------------------------------------------------------
 
 
-def fit(cells: DataFrame, terms: Sequence[Term], max_iter: int = 200) -> DataFrame:
+def fit(cells: DataFrame, terms: Sequence[Term], max_iter: int = 200, tol: float = 1e-8) -> DataFrame:
     """Maximum a posteriori effects as a parameter table with one draw.
 
     A logistic regression on one-hot keys with a unit normal prior on each coefficient; the
@@ -243,7 +243,7 @@ def fit(cells: DataFrame, terms: Sequence[Term], max_iter: int = 200) -> DataFra
         regParam=1.0 / float(top["_total"]),
         elasticNetParam=0.0,
         maxIter=max_iter,
-        tol=1e-9,
+        tol=tol,
     ).fit(features.select("label", "weight", "features"))
     return _parameter_table(cells, terms, size, widths, seen, model)
 

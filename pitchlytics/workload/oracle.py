@@ -187,7 +187,7 @@ def _lists(params: str) -> str:
 FROM {params} GROUP BY term, k1, k2, k3, k4"""
 
 
-def _score(formula: str, frame: str, params: str, missing=()) -> str:
+def _score(formula: str, frame: str, params: str, missing=(), extra: str = "") -> str:
     """Mean over draws of the logistic of the summed effects, per row of the frame."""
     terms = [t for t in FORMULAS[formula] if t[0] not in missing]
     keys = list(dict.fromkeys(f"{k}_idx" for _, ks in terms for k in ks))
@@ -199,7 +199,7 @@ def _score(formula: str, frame: str, params: str, missing=()) -> str:
     )
     effects = ", ".join(f"unnest(t{i}.v) AS e{i}" for i in range(len(terms)))
     logit = " + ".join(f"e{i}" for i in range(len(terms)))
-    return f"""SELECT batter, pitcher, is_whiff, {cols}, {r("score")} FROM {frame} JOIN (
+    return f"""SELECT batter, pitcher, is_whiff, {extra}{cols}, {r("score")} FROM {frame} JOIN (
   SELECT {cols}, avg(1 / (1 + exp(-({logit})))) AS score FROM (
     SELECT {", ".join(f"c.{k}" for k in keys)}, {effects} FROM (SELECT DISTINCT {cols} FROM {frame}) c {joins})
   GROUP BY {cols}) p USING ({cols})"""
@@ -415,6 +415,18 @@ def _conformed() -> str:
     return f"SELECT {', '.join(cols)} FROM pitch_view"
 
 
+def _held_report() -> str:
+    """Overall metrics and some per subtype and zone, from the scored hold-out."""
+    parts = [f"SELECT 'all' AS \"group\", metric, value FROM ({_report()})"]
+    for by in ("pitch_subtype", "zone"):
+        table = _by_group(by, False)
+        for m in ("n", "auc", "log_loss", "f1_whiff"):
+            parts.append(
+                f"SELECT concat('{by}=', CAST({by} AS VARCHAR)), '{m}', CAST({m} AS DOUBLE) FROM ({table})"
+            )
+    return " UNION ALL ".join(parts).replace("scored_view", "scored_held")
+
+
 SUMMARY = f"""SELECT {PARAM_KEYS}, {r("mean")}, {r("sd")}, {r("hdi_low")}, {r("hdi_high")}, {r("r_hat")} FROM (
   SELECT {PARAM_KEYS}, avg(value) AS mean, stddev_samp(value) AS sd FROM enh_params GROUP BY {PARAM_KEYS}) JOIN (
   SELECT {PARAM_KEYS}, lo AS hdi_low, hi AS hdi_high FROM (
@@ -568,6 +580,8 @@ FROM (SELECT *, chain * {S.DRAWS} + draw AS at, (chain * {S.DRAWS} + draw) // {S
 JOIN enh_params s ON s.term = o.term AND s.chain = o.chain AND s.draw = o.draw AND s.k1 + s.k2 + s.k3 + s.k4 = 0
 GROUP BY o.term, o.k1, o.k2, o.k3, o.k4, o.block""",
     "posterior_summary": SUMMARY,
+    "rebuild_start_game": "SELECT * FROM start_games",
+    "evaluate_hold_out": _held_report(),
     # evaluation
     "auc": f"SELECT {r('auc')} FROM ({_auc()})",
     "auc_by_league": f"SELECT league, {r('auc')} FROM ({_auc('league')})",
@@ -600,6 +614,8 @@ GROUP BY is_whiff, bin, low, width""",
     "evaluation_report": _report(),
     "evaluation_report_by_league": _report("league"),
 }
+CTES["scored_held"] = f"""SELECT is_whiff, score, pitch_subtype, zone FROM (
+  {_score("enh", "enh_held_frame", "enh_lists", extra="pitch_subtype, zone, ")})"""
 CTES["l"] = _labels(
     f"(SELECT * FROM pitch_view WHERE league = 'major' AND game_date BETWEEN DATE '{S.TRAIN[0]}' AND DATE '{S.TRAIN[1]}')",
     ("batter", "pitcher"),

@@ -20,7 +20,7 @@ from ..operators import games as G
 from ..operators import joins as J
 from ..operators import model as M
 from ..operators import players as R
-from ..plans import load, samples
+from ..plans import load, modelling, samples
 from ..schema import DERIVED_SCHEMA, LANDED_COLUMNS, PITCH_SCHEMA
 from ..sources import landing, tables
 from ..storage import new_folder, settle
@@ -727,6 +727,39 @@ def posterior_summary(spark, sf):
     return rounded(M.posterior_summary(long, by=["term", *M.KEY_COLUMNS]))
 
 
+@query
+def evaluate_hold_out(spark, sf):
+    """Hold-out evaluation of the enhanced model under the made-up posterior."""
+    encoding = samples.fit_encoding(train_sample(spark, sf))
+    params = settle(made_up_draws(encoding.labels, samples.ENHANCED, M.ENHANCED), "params")
+    trained = modelling.Trained(encoding, params)
+    held = sample(spark, sf, S.HOLD_OUT)
+    scored = rounded(modelling.score_hold_out(held, trained, samples.ENHANCED, M.ENHANCED))
+    saved = modelling.evaluate(scored, new_folder(spark, "evaluation"))
+    overall = saved["metrics"].select(F.lit("all").alias("group"), "metric", "value")
+    for name, by in (("by_pitch_subtype", "pitch_subtype"), ("by_zone", "zone")):
+        group = F.concat_ws("=", F.lit(by), F.col(by).cast("string")).alias("group")
+        wide = saved[name].select(group, F.col("n").cast("double").alias("n"), "auc", "log_loss", "f1_whiff")
+        overall = overall.unionByName(wide.unpivot("group", ["n", "auc", "log_loss", "f1_whiff"], "metric", "value"))
+    return rounded(overall)
+
+
+@query
+def train_and_evaluate(spark, sf):
+    """Fit the two-way model on the training window, save and load it, score the hold-out."""
+    path = new_folder(spark, "model")
+    variant, terms = samples.TWO_WAY, M.TWO_WAY
+    modelling.save_trained(modelling.train(train_sample(spark, sf, variant), variant, terms), path)
+    trained = modelling.load_trained(spark, path, variant)
+    scored = modelling.score_hold_out(sample(spark, sf, S.HOLD_OUT, variant), trained, variant, terms)
+    return V.evaluation_report(scored).withColumn("value", F.round("value", 3))
+
+
+@query
+def rebuild_start_game(spark, sf):
+    return modelling.rebuild_start_game(views.pitch_view(spark, sf), new_folder(spark, "start_game"))
+
+
 # --- evaluation -----------------------------------------------------------------------
 
 
