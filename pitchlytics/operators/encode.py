@@ -95,9 +95,9 @@ def value_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), lab
 def labels_of(values: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """0-based index of each value in sorted order per column, a NULL value last.
 
-    ``values`` holds ``(col, num, value)`` and is settled here. Up to ``one_task_rows`` values
+    ``values`` holds ``(col, num, value)`` and is read twice. Up to ``one_task_rows`` values
     one task numbers a column; beyond that the order is range-partitioned."""
-    distinct = settle(values.select("col", "num", "value").distinct(), "values")
+    distinct = values.select("col", "num", "value").distinct()
     if distinct.count() <= one_task_rows:
         order = Window.partitionBy("col").orderBy(F.col("num").asc_nulls_last(), F.col("value").asc_nulls_last())
         numbered = distinct.withColumn("idx", (F.row_number().over(order) - 1).cast("bigint"))
@@ -110,7 +110,7 @@ def labels_of(values: DataFrame, one_task_rows: int = ONE_TASK_ROWS) -> DataFram
 
 def fit_labels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Label table ``(col, value, idx)``: integers in numeric order, text in byte order."""
-    return labels_of(value_counts(df, cols))
+    return labels_of(settle(value_counts(df, cols), "values"))
 
 
 def apply_labels(df: DataFrame, labels: DataFrame, cols: Sequence[str], fit_missing: bool = False) -> DataFrame:

@@ -24,10 +24,9 @@ def running_totals(
     the rows however they are spread over groups and values. Totals run inside a slice; one
     row per group and slice carries them across slices. ``by`` must not be NULL, NULLs in
     ``order`` come last and rows should be distinct in ``by`` and ``order``."""
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ordering = [F.col(c).asc_nulls_last() for c in order]
-    placed = df.repartitionByRange(n, *by, *ordering).withColumn("slice", F.spark_partition_id())
+    # no partition number: adaptive execution merges neighbouring ranges of a small input
+    placed = df.repartitionByRange(*by, *ordering).withColumn("slice", F.spark_partition_id())
     placed = settle(placed, "slices")
 
     whole = Window.partitionBy(*by)

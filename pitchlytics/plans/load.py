@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -66,13 +66,16 @@ class Landing:
     """Where files land and how pitches are typed.
 
     Pitches land under ``<path>/<league>``, best in one folder per day (``day=YYYY-MM-DD``):
-    a load then opens the folders of its days only, however long the history is."""
+    a load then opens the folders of its days only, however long the history is. ``headers``
+    names the shared header of a league's files, which saves a pass over their text."""
 
     path: str
     schema: T.StructType
+    headers: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
     def pitches(self, spark: SparkSession, league: str, ranges: Sequence[DayRange]) -> DataFrame:
-        rows = read_pitch_csv(spark, f"{self.path}/{league}", self.schema, ranges)
+        header = self.headers.get(league)
+        rows = read_pitch_csv(spark, f"{self.path}/{league}", self.schema, ranges, header)
         return rows.where(in_ranges("game_date", ranges)).withColumn("league", F.lit(league))
 
 

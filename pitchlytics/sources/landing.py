@@ -67,25 +67,47 @@ def _files_by_header(
     return out
 
 
+def texts(header: Sequence[str]) -> T.StructType:
+    """A file schema with every column as text."""
+    return T.StructType([T.StructField(c, T.StringType()) for c in header])
+
+
+def as_schema(raw: DataFrame, header: Sequence[str], schema: T.StructType) -> DataFrame:
+    """Text columns as the table columns, NULL for those the file lacks."""
+    return raw.select(
+        *(
+            typed(f.name, f.dataType) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        )
+    )
+
+
 def read_landed_csv(
-    spark: SparkSession, path: str, schema: T.StructType, key: str, days: Sequence[DayRange] | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    key: str,
+    days: Sequence[DayRange] | None = None,
+    header: Sequence[str] | None = None,
 ) -> DataFrame:
     """Header CSV files as ``schema``, each column found by its name in its own file.
 
     Files may order columns differently, lack some or carry extra ones. A plain read of a
-    folder applies the first header to all files, so files are read per distinct header.
+    folder applies the first header to all files, so a first pass over the text finds the
+    headers and files are read per distinct header. Give ``header`` where all files share
+    it: they are read in one pass, and a file with another header fails the read.
+
     ``days`` limits a folder laid out as ``day=YYYY-MM-DD`` to those ranges, and files of
     other days are not opened."""
+    reader = spark.read.option("header", True).option("escape", '"')
+    if header is not None:
+        raw = reader.schema(texts(header)).option("enforceSchema", False).csv(path)
+        if days is not None and "day" in raw.columns:
+            raw = raw.where(in_ranges("day", days))
+        return as_schema(raw, header, schema)
     out = None
-    for header, files in _files_by_header(spark, path, key, days).items():
-        text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        raw = spark.read.schema(text).option("header", True).option("escape", '"').csv(files)
-        part = raw.select(
-            *(
-                typed(f.name, f.dataType) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name)
-                for f in schema.fields
-            )
-        )
+    for found, files in _files_by_header(spark, path, key, days).items():
+        part = as_schema(reader.schema(texts(found)).csv(files), found, schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -103,10 +125,14 @@ def landed_schema(ids: str = "int") -> T.StructType:
 
 
 def read_pitch_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, days: Sequence[DayRange] | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    days: Sequence[DayRange] | None = None,
+    header: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Landed pitches, typed; ``days`` as in ``read_landed_csv``."""
-    return read_landed_csv(spark, path, schema or landed_schema(), "game_pk", days)
+    """Landed pitches, typed; ``days`` and ``header`` as in ``read_landed_csv``."""
+    return read_landed_csv(spark, path, schema or landed_schema(), "game_pk", days, header)
 
 
 def read_player_csv(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:

@@ -10,27 +10,21 @@ from pyspark.sql import types as T
 
 from ..plans.load import dates_to_load, prepare, season_calendar, table_schema
 from ..schema import SEASONS
-from ..sources.landing import typed
+from ..sources.landing import as_schema, texts
 from ..sources.tables import PARTITIONS
 
 
 def landed_stream(spark: SparkSession, path: str, header: Sequence[str], schema: T.StructType) -> DataFrame:
     """A stream of landed files that all have the column order ``header``. A file whose
     header differs stops the stream instead of being read by position."""
-    text = T.StructType([T.StructField(c, T.StringType()) for c in header])
     raw = (
-        spark.readStream.schema(text)
+        spark.readStream.schema(texts(header))
         .option("header", True)
         .option("enforceSchema", False)
         .option("escape", '"')
         .csv(path)
     )
-    return raw.select(
-        *(
-            typed(f.name, f.dataType) if f.name in header else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        )
-    )
+    return as_schema(raw, header, schema)
 
 
 def stream_append(

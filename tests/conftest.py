@@ -27,3 +27,12 @@ def rows():
         return sorted((tuple(r) for r in picked.collect()), key=lambda t: tuple((v is None, v) for v in t))
 
     return collect
+
+
+@pytest.fixture
+def many_slices(spark):
+    """Keep small inputs in as many range partitions as a large one would have."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, "true")

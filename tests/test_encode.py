@@ -12,7 +12,7 @@ RATES = [0.1, 0.2, 0.2, 0.3, 0.5, 0.7, 0.9]
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_quantile_groups(frame, rows, limit):
+def test_quantile_groups(frame, rows, limit, many_slices):
     df = frame("player int, whiff_rate double", list(enumerate(RATES)))
     got = E.quantile_groups(df, {"g": E.THREE_GROUPS}, one_task_rows=limit)
     assert [r[1] for r in rows(got, "player", "g")] == ["Low"] * 3 + ["Medium"] * 2 + ["High"] * 2
@@ -26,7 +26,7 @@ def test_equal_edges_raise(frame, limit):
 
 
 @pytest.mark.parametrize("one_task", [True, False])
-def test_quantiles_against_numpy(frame, one_task):
+def test_quantiles_against_numpy(frame, one_task, many_slices):
     rng = random.Random(5)
     values = [round(rng.random(), 2) for _ in range(500)] + [0.25] * 300
     df = frame("v double", [(v,) for v in values]).groupBy("v").agg(F.count(F.lit(1)).alias("w"))
@@ -35,7 +35,7 @@ def test_quantiles_against_numpy(frame, one_task):
     assert got == pytest.approx(list(np.quantile(values, probs)))
 
 
-def test_running_totals_with_a_group_that_holds_most_rows(frame):
+def test_running_totals_with_a_group_that_holds_most_rows(frame, many_slices):
     data = [("big", i, i % 7) for i in range(900)] + [("small", i, 1) for i in range(50)]
     random.Random(1).shuffle(data)
     got = running_totals(frame("g string, k int, n int", data), ["g"], ["k"], ["n"]).collect()
@@ -49,7 +49,7 @@ def test_running_totals_with_a_group_that_holds_most_rows(frame):
 
 
 @pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_labels_sort_numbers_as_numbers(frame, rows, limit):
+def test_labels_sort_numbers_as_numbers(frame, rows, limit, many_slices):
     df = frame("p int, g string", [(10, "Low"), (9, "High"), (9, "Medium"), (100, None)])
     got = E.labels_of(E.value_counts(df, ["p", "g"]), one_task_rows=limit)
     assert rows(got.where("col = 'p'"), "idx", "value") == [(0, "9"), (1, "10"), (2, "100")]

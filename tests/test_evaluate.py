@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from pitchlytics.operators import evaluate as V
+from pitchlytics.operators import ordered
 
 SCHEMA = "is_whiff int, score double, zone int"
 SMALL = [(0, 0.1, 1), (0, 0.4, 1), (1, 0.4, 1), (1, 0.8, 1)]
@@ -39,6 +40,7 @@ def test_small_example(frame):
     assert (rates.accuracy, rates.sensitivity, rates.specificity) == (0.75, 0.5, 1.0)
 
 
+@pytest.mark.usefixtures("many_slices")
 def test_auc_against_all_pairs(frame):
     data = scored()
     df = frame(SCHEMA, data)
@@ -71,6 +73,15 @@ def test_report_agrees_with_single_metrics(frame):
     assert report["sensitivity"] == report["recall_whiff"]
 
 
+@pytest.mark.usefixtures("many_slices")
+def test_scores_really_lie_in_several_slices(spark, frame, monkeypatch):
+    slices = []
+    settle = ordered.settle
+    monkeypatch.setattr(ordered, "settle", lambda df, label: slices.append(settle(df, label)) or slices[-1])
+    V.auc(frame(SCHEMA, scored(900))).collect()
+    assert slices[0].select("slice").distinct().count() > 3
+
+
 def test_log_loss_at_the_ends(frame):
     got = V.log_loss(frame(SCHEMA, [(1, 0.0, 1), (0, 0.0, 1)])).first().log_loss
     assert got == pytest.approx(-math.log(V.EPSILON) / 2)
@@ -88,6 +99,7 @@ def test_undefined_precision_is_zero(frame):
     assert (report[1].precision, report[1].recall, report[1].f1) == (0.0, 0.0, 0.0)
 
 
+@pytest.mark.usefixtures("many_slices")
 def test_roc_curve_points_and_area(frame):
     data = scored(900)
     curve = sorted((r.fpr, r.tpr) for r in V.roc_curve(frame(SCHEMA, data)).collect())

@@ -111,6 +111,16 @@ def test_a_load_opens_the_due_days_only(spark, landed):
     assert opened == {"day=2000-04-02", "day=2000-04-05"}
 
 
+def test_a_known_header_is_read_in_one_pass(spark, rows, landed):
+    ranges = [(dt.date(2000, 4, 2), dt.date(2000, 4, 5))]
+    path = str(landed / "minor")
+    searched = landing.read_pitch_csv(spark, path, days=ranges)
+    known = landing.read_pitch_csv(spark, path, days=ranges, header=HEADER[::-1])
+    assert rows(known) == rows(searched) and known.count() == 4
+    with pytest.raises(Exception):
+        landing.read_pitch_csv(spark, path, days=ranges, header=HEADER).collect()
+
+
 def test_stream_takes_each_file_once(spark, landed, tmp_path):
     table, progress = str(tmp_path / "t"), str(tmp_path / "progress")
     args = (spark, str(landed), "major", HEADER, table, progress, "2001-07-01", landing.landed_schema(), SEASONS)
