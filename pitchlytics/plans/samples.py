@@ -32,6 +32,7 @@ SAMPLE_COLUMNS = (
 class Variant:
     """What a model variant takes from the sample and how it encodes it."""
 
+    name: str
     columns: tuple[str, ...] = SAMPLE_COLUMNS
     required: tuple[str, ...] = REQUIRED
     #: quantile groups per player column: {group column: names from low to high}
@@ -43,6 +44,7 @@ class Variant:
 
 
 ENHANCED = Variant(
+    "enhanced",
     groups={"batter": {"batter_whiff_group": THREE_GROUPS}},
     labels=(
         "batter", "pitcher", "stand", "pitch_subtype", "p_throws", "league",
@@ -50,6 +52,7 @@ ENHANCED = Variant(
     ),
 )
 HIERARCHICAL = Variant(
+    "hierarchical",
     groups={
         "batter": {"whiff_group_3": THREE_GROUPS, "whiff_group_6": SIX_GROUPS},
         "pitcher": {"pitcher_whiff_group_3": THREE_GROUPS, "pitcher_whiff_group_6": SIX_GROUPS},
@@ -61,6 +64,7 @@ HIERARCHICAL = Variant(
     ),
 )
 TWO_WAY = Variant(
+    "two_way",
     columns=tuple(c for c in SAMPLE_COLUMNS if c not in ("zone", "league")),
     required=tuple(c for c in REQUIRED if c != "zone"),
     labels=("batter", "pitcher", "stand", "pitch_subtype", "p_throws", "count_bucket"),

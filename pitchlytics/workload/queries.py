@@ -672,11 +672,24 @@ def made_up_draws(labels: DataFrame, variant, terms) -> DataFrame:
     return out
 
 
+def stored_model(spark: SparkSession, sf: str, variant, terms) -> modelling.Trained:
+    """Encoding of the training sample and its made-up posterior, saved and loaded as a
+    trained model would be."""
+
+    def write(path: str) -> None:
+        encoding = samples.fit_encoding(train_sample(spark, sf, variant), variant)
+        params = made_up_draws(encoding.labels, variant, terms)
+        modelling.save_trained(modelling.Trained(encoding, params), path)
+
+    path = written_once(spark, sf, f"model_{variant.name}", write)
+    return modelling.load_trained(spark, path, variant)
+
+
 def scoring_inputs(spark, sf, variant, terms) -> tuple[DataFrame, DataFrame]:
-    """The hold-out frame and the settled parameter table of a model variant."""
-    encoding = samples.fit_encoding(train_sample(spark, sf, variant), variant)
-    frame = samples.model_frame(sample(spark, sf, S.HOLD_OUT, variant), variant, encoding)
-    return frame, settle(made_up_draws(encoding.labels, variant, terms), "params")
+    """The hold-out frame and the parameter table of a model variant."""
+    trained = stored_model(spark, sf, variant, terms)
+    held = sample(spark, sf, S.HOLD_OUT, variant)
+    return samples.model_frame(held, variant, trained.encoding), trained.params
 
 
 def scored_by(name: str, variant, terms, missing=()) -> None:
@@ -698,8 +711,7 @@ scored_by("score_hierarchical", samples.HIERARCHICAL, M.HIERARCHICAL)
 
 
 def enhanced_draws(spark, sf) -> DataFrame:
-    labels = samples.fit_encoding(train_sample(spark, sf), samples.ENHANCED).labels
-    return settle(made_up_draws(labels, samples.ENHANCED, M.ENHANCED), "params")
+    return stored_model(spark, sf, samples.ENHANCED, M.ENHANCED).params
 
 
 @query
@@ -730,9 +742,7 @@ def posterior_summary(spark, sf):
 @query
 def evaluate_hold_out(spark, sf):
     """Hold-out evaluation of the enhanced model under the made-up posterior."""
-    encoding = samples.fit_encoding(train_sample(spark, sf))
-    params = settle(made_up_draws(encoding.labels, samples.ENHANCED, M.ENHANCED), "params")
-    trained = modelling.Trained(encoding, params)
+    trained = stored_model(spark, sf, samples.ENHANCED, M.ENHANCED)
     held = sample(spark, sf, S.HOLD_OUT)
     scored = rounded(modelling.score_hold_out(held, trained, samples.ENHANCED, M.ENHANCED))
     saved = modelling.evaluate(scored, new_folder(spark, "evaluation"))
