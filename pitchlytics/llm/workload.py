@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pitchlytics.llm import tokenfile
-from pitchlytics.llm.helpers import read_table
+from pitchlytics.llm import credentials, mixing, shuffling, tokenfile, warc
+from pitchlytics.llm.helpers import read_table, whole_text
+
+
+#: Weights of the sources in order, repeating.
+MIX_WEIGHTS = (5, 2, 1)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -16,13 +21,58 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed patterns and noise-like strings in all documents."""
+    found = credentials.find_secrets(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_random")
+
+
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled, written in 16 shards and read back."""
+    written = shuffling.write_shards(read_table(spark, sf_dir, "documents"), 16, seed=42)
+    return written.select(
+        "doc_id", shuffling.size_of().alias("size"), F.crc32(F.encode(whole_text(), "UTF-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written as patched frame-of-reference blocks and read back."""
     return tokenfile.read_tokens(tokenfile.write_tokens(read_table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"), F.array("source"), MIX_WEIGHTS, share=1.5, passes=2, seed=42)
+    return mixed.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_times")).alias("taken"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, read back through the index."""
+    index = warc.write_archives(read_table(spark, sf_dir, "pages"))
+    return warc.read_records(index, with_payload=False).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op2_shards": op2_shards,
     "op3_token_ids": op3_token_ids,
+    "op4_mix": op4_mix,
+    "op10_warc": op10_warc,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # Base32 of SHA-1: four letters from every five hex digits.
+    "op10_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+        SELECT page_id, payload_bytes,
+            array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((CAST('0x' || substr(p.h, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+            CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM p JOIN f ON p.h = f.h
+    """,
+}
