@@ -169,21 +169,27 @@ def mix(docs: DataFrame, sources: Column, weights: Sequence[float], *, share: fl
         narrow.withColumn("cell", cell).join(F.broadcast(edge), ["p", "cell"])
         .withColumn("upto", F.sum("size").over(Window.partitionBy("p").orderBy(order)))
     )
+    crossing = F.min(F.when(F.col("upto") > F.col("left"), F.struct(order, "u", "size")))
     cut = settle(
-        edge.select("p", "cell", "left").join(
-            inside.where("upto <= left").groupBy("p").agg(F.max(order).alias("cut"), F.max("upto").alias("got")), "p", "left")
-        .select("p", "cell", "cut", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left")), "cuts")
-    beyond = (cell > F.col("cell")) | ((cell == F.col("cell")) & (F.col("cut").isNull() | (order > F.col("cut"))))
-    off = F.abs(F.col("size") - F.col("left"))
-    last = (
-        narrow.withColumnRenamed("cell", "c").join(F.broadcast(cut), "p").where(beyond & (off < F.col("left")))
-        .groupBy("p").agg(F.min(F.struct(off, "u")).getField("u").alias("last"))
+        inside.groupBy("p", "cell").agg(
+            F.max(F.when(F.col("upto") <= F.col("left"), order)).alias("cut"), crossing.alias("next"),
+            F.min(F.col("left") - F.when(F.col("upto") <= F.col("left"), F.col("upto")).otherwise(0)).alias("left"))
+        .select("p", "cell", "cut", "left", F.col("next.u").alias("next"), (F.col("next.size") - F.col("left")).alias("over")), "cuts")
+    # What is left over closes with the one further document of the nearest size, or with the
+    # next document less the one taken whose size is nearest to the excess.
+    under = (F.col("c") < F.col("cell")) | ((F.col("c") == F.col("cell")) & F.coalesce(order <= F.col("cut"), F.lit(False)))
+    off = F.abs(F.col("size") - F.when(under, F.col("over")).otherwise(F.col("left")))
+    closing = (
+        narrow.withColumn("c", cell).join(F.broadcast(cut), "p").where(off < F.col("left"))
+        .groupBy("p").agg(F.min(F.struct(off.alias("off"), under.alias("swap"), "u", "next")).alias("best"))
+        .select("p", F.when(F.col("best.swap"), F.col("best.next")).otherwise(F.col("best.u")).alias("add"),
+                F.when(F.col("best.swap"), F.col("best.u")).alias("drop"))
     )
-    marks = settle(plan_of.join(cut.drop("left"), "p", "left").join(last, "p", "left"), "marks")
+    marks = settle(plan_of.join(cut.select("p", "cell", "cut"), "p", "left").join(closing, "p", "left"), "marks")
 
     u, here = F.col("mix_u"), F.shiftrightunsigned(F.col("mix_u"), 64 - RANGE_BITS)
     before = (here < F.col("mix_cell")) | ((here == F.col("mix_cell")) & (u.bitwiseXOR(F.lit(-(2**63))) <= F.col("mix_cut")))
-    extra = F.coalesce(before, F.lit(False)) | F.coalesce(u == F.col("mix_last"), F.lit(False))
+    extra = (F.coalesce(before, F.lit(False)) & ~u.eqNullSafe(F.col("mix_drop"))) | u.eqNullSafe(F.col("mix_add"))
     kept = [c for c in docs.columns if not c.startswith("mix_")]
     marks = marks.select(F.col("p").alias("mix_pattern"), *[F.col(c).alias(f"mix_{c}") for c in marks.columns if c != "p"])
     return (
