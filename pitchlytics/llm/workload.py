@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlytics.llm import credentials, mixing, shuffling, tokenfile, warc
+from pitchlytics.llm import credentials, languages, merkle, mixing, shuffling, tokenfile, warc
 from pitchlytics.llm.helpers import read_table, whole_text
 
 
@@ -21,6 +21,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(id_col: str = "doc_id"):
+    """A quarter of the documents by a checksum of their id; a null id counts as empty."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return F.crc32(F.encode(key, "UTF-8")) % 4 == 2
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed patterns and noise-like strings in all documents."""
     found = credentials.find_secrets(read_table(spark, sf_dir, "documents"))
@@ -48,6 +54,18 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_times")).alias("taken"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts and how like their neighbours are."""
+    return merkle.compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
+def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
+    judged = languages.predict(docs, languages.learn(docs.where("NOT held_out")))
+    return judged.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records, read back through the index."""
     index = warc.write_archives(read_table(spark, sf_dir, "pages"))
@@ -60,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shards": op2_shards,
     "op3_token_ids": op3_token_ids,
     "op4_mix": op4_mix,
+    "op6_fingerprints": op6_fingerprints,
+    "op8_languages": op8_languages,
     "op10_warc": op10_warc,
 }
 
