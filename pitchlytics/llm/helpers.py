@@ -60,3 +60,27 @@ def mixed64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
+
+
+_WORD_CODES: list[np.ndarray] = []
+
+
+def word_codes(text: str) -> np.ndarray:
+    """Per code point its lower-case letter or its digit, a space for all that is neither."""
+    if not _WORD_CODES:
+        table = np.full(0x10000, 32, np.uint32)
+        for i in range(0x10000):
+            c = chr(i)
+            if c.isalnum():
+                table[i] = ord(c.lower()[0])
+        _WORD_CODES.append(table)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    wide = codes >= 0x10000
+    if not wide.any():
+        return _WORD_CODES[0][codes]
+    found = _WORD_CODES[0][np.where(wide, 32, codes)]
+    for c in np.unique(codes[wide]):
+        x = chr(int(c))
+        if x.isalnum():
+            found[codes == c] = ord(x.lower()[0])
+    return found

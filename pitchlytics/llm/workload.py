@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlytics.llm import credentials, languages, merkle, mixing, shuffling, tokenfile, warc
+from pitchlytics.llm import credentials, decontaminate, languages, licences, merkle, mixing, shuffling, tokenfile, warc
 from pitchlytics.llm.helpers import read_table, whole_text
 
 
@@ -59,6 +59,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_next(read_table(spark, sf_dir, "documents"))
 
 
+def op7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of all documents that hold a benchmark item."""
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from three quarters of them."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
@@ -66,6 +71,25 @@ def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def file_path(id_col: str = "doc_id"):
+    """A place for each document in a tree of three levels by its id, a hundred to a folder.
+    The first of ten thousand, of a thousand and of a hundred are their folder's licence files."""
+    id_ = F.col(id_col)
+    a, b, c = (F.concat(F.lit(x), F.floor(id_ / n).cast("string")) for x, n in (("a", 10_000), ("b", 1_000), ("c", 100)))
+    file = F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), id_.cast("string"), F.lit(".txt"))
+    licence = F.lit("LICENSE")
+    return (
+        F.when(id_ % 10_000 == 0, F.concat_ws("/", a, licence)).when(id_ % 1_000 == 0, F.concat_ws("/", a, b, licence))
+        .when(id_ % 100 == 0, F.concat_ws("/", a, b, c, licence)).when(id_.isNotNull(), F.concat_ws("/", a, b, c, file))
+    )
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and inherited licences of all documents, as files in a tree."""
+    files = read_table(spark, sf_dir, "documents").select("doc_id", file_path().alias("path"), "text")
+    return licences.scan_licences(files)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records, read back through the index."""
     index = warc.write_archives(read_table(spark, sf_dir, "pages"))
@@ -79,7 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_ids": op3_token_ids,
     "op4_mix": op4_mix,
     "op6_fingerprints": op6_fingerprints,
+    "op7_leaks": op7_leaks,
     "op8_languages": op8_languages,
+    "op9_licences": op9_licences,
     "op10_warc": op10_warc,
 }
 
