@@ -25,6 +25,8 @@ from pitchlytics.storage import settle
 
 DIMENSIONS = 1024
 GRAM = 3
+#: Deviation of the cosine of two unrelated vectors.
+NOISE = DIMENSIONS ** -0.5
 SPACE = 32
 UNKNOWN = "und"
 #: Characters whose profiles are made in one matrix product.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlytics.llm import credentials, decontaminate, languages, licences, merkle, mixing, shuffling, tokenfile, warc
+from pitchlytics.llm import credentials, decontaminate, languages, licences, merkle, mixing, nearcopies, shuffling, tokenfile, warc
 from pitchlytics.llm.helpers import read_table, whole_text
 
 
@@ -54,6 +54,11 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_times")).alias("taken"))
 
 
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document."""
+    return nearcopies.classed(read_table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, of their edited texts and how like their neighbours are."""
     return merkle.compare_with_next(read_table(spark, sf_dir, "documents"))
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shards": op2_shards,
     "op3_token_ids": op3_token_ids,
     "op4_mix": op4_mix,
+    "op5_near_copies": op5_near_copies,
     "op6_fingerprints": op6_fingerprints,
     "op7_leaks": op7_leaks,
     "op8_languages": op8_languages,
