@@ -149,7 +149,7 @@ def mix(docs: DataFrame, sources: Column, weights: Sequence[float], *, share: fl
     flow = route(capacity, quota, passes)
     plan = []
     for p, size in capacity.items():
-        take = sum(flow[p].values())
+        take = sum(flow[p].values(), 0.0)
         whole = min(passes, int((take + 1e-6) // size)) if size else 0
         first = by_code_point(p)[0] if p else None
         plan.append((list(p), whole, take - whole * size if whole < passes else 0.0, sizes.get(first), quota.get(first)))
