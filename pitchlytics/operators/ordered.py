@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from ..storage import settle
 
-#: Rows up to which one task may order a whole group; larger inputs are cut into slices.
-ONE_TASK_ROWS = 1_000_000
-
 
 def running_totals(
     df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]
@@ -49,14 +46,9 @@ def _sum(c: str, window) -> Column:
     return F.coalesce(F.sum(c).over(window), F.lit(0))
 
 
-def quantiles(
-    counts: DataFrame, value: str, weight: str, probs: Sequence[float], one_task: bool = True
-) -> DataFrame:
+def quantiles(counts: DataFrame, value: str, weight: str, probs: Sequence[float]) -> DataFrame:
     """One row ``e``: linearly interpolated quantiles of ``value`` occurring ``weight`` times,
-    one row per distinct value. ``one_task`` merges the values in one task; otherwise each
-    quantile is found by its rank in running totals."""
-    if one_task:
-        return counts.agg(F.percentile(value, F.array(*(F.lit(p) for p in probs)), F.col(weight)).alias("e"))
+    one row per distinct value. Each is found by its rank in running totals. NULL without rows."""
     ranked = running_totals(counts, [], [value], [weight])
     total, first = F.col(f"{weight}_all"), F.col(f"{weight}_before")
     ends = []
@@ -71,4 +63,4 @@ def quantiles(
         place = (total - 1) * F.lit(p)
         lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
         edges.append(lo + (hi - lo) * (place - F.floor(place)))
-    return found.select(F.array(*edges).alias("e"))
+    return found.select(F.when(total.isNotNull(), F.array(*edges)).alias("e"))

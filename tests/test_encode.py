@@ -11,27 +11,24 @@ from pitchlytics.plans import samples
 RATES = [0.1, 0.2, 0.2, 0.3, 0.5, 0.7, 0.9]
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_quantile_groups(frame, rows, limit, many_slices):
+def test_quantile_groups(frame, rows, many_slices):
     df = frame("player int, whiff_rate double", list(enumerate(RATES)))
-    got = E.quantile_groups(df, {"g": E.THREE_GROUPS}, one_task_rows=limit)
+    got = E.quantile_groups(df, {"g": E.THREE_GROUPS})
     assert [r[1] for r in rows(got, "player", "g")] == ["Low"] * 3 + ["Medium"] * 2 + ["High"] * 2
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_equal_edges_raise(frame, limit):
+def test_equal_edges_raise(frame):
     df = frame("player int, whiff_rate double", list(enumerate([0.0, 0.0, 0.0, 0.0, 1.0])))
     with pytest.raises(Exception, match="not unique"):
-        E.quantile_groups(df, {"g": E.THREE_GROUPS}, one_task_rows=limit).collect()
+        E.quantile_groups(df, {"g": E.THREE_GROUPS}).collect()
 
 
-@pytest.mark.parametrize("one_task", [True, False])
-def test_quantiles_against_numpy(frame, one_task, many_slices):
+def test_quantiles_against_numpy(frame, many_slices):
     rng = random.Random(5)
     values = [round(rng.random(), 2) for _ in range(500)] + [0.25] * 300
     df = frame("v double", [(v,) for v in values]).groupBy("v").agg(F.count(F.lit(1)).alias("w"))
     probs = [0.0, 1 / 6, 1 / 3, 0.5, 0.9, 1.0]
-    got = quantiles(df, "v", "w", probs, one_task).first()["e"]
+    got = quantiles(df, "v", "w", probs).first()["e"]
     assert got == pytest.approx(list(np.quantile(values, probs)))
 
 
@@ -48,10 +45,9 @@ def test_running_totals_with_a_group_that_holds_most_rows(frame, many_slices):
         assert {r.n_all for r in got if r.g == group} == {total}
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_labels_sort_numbers_as_numbers(frame, rows, limit, many_slices):
+def test_labels_sort_numbers_as_numbers(frame, rows, many_slices):
     df = frame("p int, g string", [(10, "Low"), (9, "High"), (9, "Medium"), (100, None)])
-    got = E.labels_of(E.value_counts(df, ["p", "g"]), one_task_rows=limit)
+    got = E.labels_of(E.value_counts(df, ["p", "g"]))
     assert rows(got.where("col = 'p'"), "idx", "value") == [(0, "9"), (1, "10"), (2, "100")]
     assert rows(got.where("col = 'g'"), "idx", "value") == [(0, "High"), (1, "Low"), (2, "Medium"), (3, None)]
 
@@ -64,6 +60,22 @@ def test_apply_labels(frame, rows):
     assert rows(got, "g", "g_idx", "h_idx") == [("Low", 1, 0), ("X", -1, 1), (None, -1, 0)]
 
 
+def test_long_and_short_label_lists_agree(frame, rows, monkeypatch):
+    df = frame("p int, g string", [(i % 40, f"g{i % 3}" if i % 5 else None) for i in range(200)])
+    labels = E.fit_labels(df.where("p < 30"), ["p", "g"])
+    short = E.apply_labels(df, labels, ["p", "g"])
+    assert "Join" not in short._jdf.queryExecution().executedPlan().toString()
+    expected = rows(short)
+    monkeypatch.setattr(E, "LITERAL_LABELS", 0)
+    assert rows(E.apply_labels(df, labels, ["p", "g"])) == expected
+    assert {r[2] for r in expected if r[0] >= 30} == {-1}
+
+
+def test_no_players_no_edges(frame):
+    df = frame("player int, whiff_rate double", [(1, None)])
+    assert E.quantile_groups(df, {"g": E.THREE_GROUPS}).first().g is None
+
+
 SAMPLE = (
     "batter int, pitcher int, stand string, pitch_subtype string, is_zone int, zone int, p_throws string, "
     "balls int, strikes int, league string, is_whiff int"
