@@ -1,7 +1,8 @@
 """Classification metrics as distributed jobs.
 
 Every function takes ``scored`` (a 0/1 label and a score per row) and optional group
-columns; rows with a NULL group are left out.
+columns; rows with a NULL group are left out. A row without a score or a label fails the
+metric, unless ``unscored="drop"`` leaves such rows out; the report then counts them.
 
 Ranking metrics never sort the rows. Rows are counted per distinct score (a map-side
 aggregate, so a score or group shared by very many rows costs one row per task), and running
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import settle
@@ -23,9 +24,26 @@ EPSILON = 2.220446049250313e-16
 CUT = 0.5
 
 
-def _per_score(scored: DataFrame, label: str, score: str, by: Sequence[str]) -> DataFrame:
-    """Positives and negatives per (group, distinct score)."""
+def _scored(scored: DataFrame, label: str, score: str, by: Sequence[str] = (), unscored: str = "raise") -> DataFrame:
+    """The rows that count: in a group, with a label and a score."""
+    if unscored not in ("raise", "drop"):
+        raise ValueError("unscored is 'raise' or 'drop'")
     rows = scored.dropna(subset=list(by)) if by else scored
+    if unscored == "drop":
+        return rows.dropna(subset=[label, score])
+    types = dict(rows.dtypes)
+    missing = F.col(label).isNull() | F.col(score).isNull()
+
+    def checked(c: str) -> Column:
+        wrong = F.raise_error(F.lit("a row has no score or no label")).cast(types[c])
+        return F.when(missing, wrong).otherwise(F.col(c))
+
+    return rows.withColumns({c: checked(c) for c in (label, score)})
+
+
+def _per_score(scored: DataFrame, label: str, score: str, by: Sequence[str], unscored: str) -> DataFrame:
+    """Positives and negatives per (group, distinct score)."""
+    rows = _scored(scored, label, score, by, unscored)
     y = F.col(label).cast("bigint")
     return rows.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")
@@ -37,10 +55,12 @@ def _log_loss(p: Column, y: Column) -> Column:
     return -F.when(y == 1, F.log(q)).otherwise(F.log(1.0 - q))
 
 
-def _summary(scored: DataFrame, label: str, score: str, by: Sequence[str], cut: float = CUT) -> DataFrame:
+def _summary(
+    scored: DataFrame, label: str, score: str, by: Sequence[str], cut: float = CUT, unscored: str = "raise"
+) -> DataFrame:
     """One row per group with every overall metric, from one pass over the rows."""
     by = list(by)
-    ranked = running_totals(_per_score(scored, label, score, by), by, ["score"], ["neg"])
+    ranked = running_totals(_per_score(scored, label, score, by, unscored), by, ["score"], ["neg"])
     p, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
     totals = ranked.groupBy(*by).agg(
         F.sum("pos").alias("pos"),
@@ -65,26 +85,32 @@ def _summary(scored: DataFrame, label: str, score: str, by: Sequence[str], cut:
     )
 
 
-def auc(scored: DataFrame, label="is_whiff", score="score", group_cols: Sequence[str] = ()) -> DataFrame:
+def auc(
+    scored: DataFrame, label="is_whiff", score="score", group_cols: Sequence[str] = (), unscored: str = "raise"
+) -> DataFrame:
     """Area under the ROC curve, ties counted half, NULL for a group of one class."""
-    return _summary(scored, label, score, group_cols).select(*group_cols, "auc")
+    return _summary(scored, label, score, group_cols, unscored=unscored).select(*group_cols, "auc")
 
 
-def brier_score(scored: DataFrame, label="is_whiff", score="score", group_cols: Sequence[str] = ()) -> DataFrame:
-    rows = scored.dropna(subset=list(group_cols)) if group_cols else scored
+def brier_score(
+    scored: DataFrame, label="is_whiff", score="score", group_cols: Sequence[str] = (), unscored: str = "raise"
+) -> DataFrame:
+    rows = _scored(scored, label, score, group_cols, unscored)
     error = F.pow(F.col(score) - F.col(label), F.lit(2.0))
     return rows.groupBy(*group_cols).agg(F.avg(error).alias("brier_score"))
 
 
-def log_loss(scored: DataFrame, label="is_whiff", score="score", group_cols: Sequence[str] = ()) -> DataFrame:
-    rows = scored.dropna(subset=list(group_cols)) if group_cols else scored
+def log_loss(
+    scored: DataFrame, label="is_whiff", score="score", group_cols: Sequence[str] = (), unscored: str = "raise"
+) -> DataFrame:
+    rows = _scored(scored, label, score, group_cols, unscored)
     return rows.groupBy(*group_cols).agg(F.avg(_log_loss(F.col(score), F.col(label))).alias("log_loss"))
 
 
 def confusion_matrix(
-    scored: DataFrame, label="is_whiff", score="score", cut: float = CUT, group_cols: Sequence[str] = ()
+    scored: DataFrame, label="is_whiff", score="score", cut: float = CUT, group_cols: Sequence[str] = (), unscored: str = "raise"
 ) -> DataFrame:
-    rows = scored.dropna(subset=list(group_cols)) if group_cols else scored
+    rows = _scored(scored, label, score, group_cols, unscored)
     said, true = F.col(score) > cut, F.col(label) == 1
 
     def cell(said_it: Column, name: str) -> Column:
@@ -106,10 +132,10 @@ def _class_rates(hit: str, false_hit: str, miss: str) -> tuple[Column, Column, C
 
 
 def classification_report(
-    scored: DataFrame, label="is_whiff", score="score", cut: float = CUT, group_cols: Sequence[str] = ()
+    scored: DataFrame, label="is_whiff", score="score", cut: float = CUT, group_cols: Sequence[str] = (), unscored: str = "raise"
 ) -> DataFrame:
     """Precision, recall, F1 and support, one row per class."""
-    cells = confusion_matrix(scored, label, score, cut, group_cols)
+    cells = confusion_matrix(scored, label, score, cut, group_cols, unscored)
     rows = []
     for cls, hit, false_hit, miss in ((0, "tn", "fn", "fp"), (1, "tp", "fp", "fn")):
         precision, recall, f1 = _class_rates(hit, false_hit, miss)
@@ -125,6 +151,22 @@ def classification_report(
     return cells.select(*group_cols, F.explode(F.array(*rows)).alias("r")).select(*group_cols, "r.*")
 
 
+def classification_averages(
+    scored: DataFrame, label="is_whiff", score="score", cut: float = CUT, group_cols: Sequence[str] = (), unscored: str = "raise"
+) -> DataFrame:
+    """Precision, recall and F1 over both classes: their plain mean (``macro``) and their mean
+    by support (``weighted``)."""
+    report = classification_report(scored, label, score, cut, group_cols, unscored)
+    names = ("precision", "recall", "f1")
+    means = report.groupBy(*group_cols).agg(
+        *(F.avg(c).alias(f"macro_{c}") for c in names),
+        *(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(f"weighted_{c}") for c in names),
+        F.sum("support").alias("support"),
+    )
+    kinds = [F.struct(F.lit(k).alias("average"), *(F.col(f"{k}_{c}").alias(c) for c in names), "support") for k in ("macro", "weighted")]
+    return means.select(*group_cols, F.explode(F.array(*kinds)).alias("r")).select(*group_cols, "r.*")
+
+
 def _rates() -> list[Column]:
     tn, fp, fn, tp = (F.col(c).cast("double") for c in ("tn", "fp", "fn", "tp"))
     return [
@@ -135,17 +177,18 @@ def _rates() -> list[Column]:
 
 
 def rate_summary(
-    scored: DataFrame, label="is_whiff", score="score", cut: float = CUT, group_cols: Sequence[str] = ()
+    scored: DataFrame, label="is_whiff", score="score", cut: float = CUT, group_cols: Sequence[str] = (), unscored: str = "raise"
 ) -> DataFrame:
     """Accuracy, sensitivity and specificity."""
-    return confusion_matrix(scored, label, score, cut, group_cols).select(*group_cols, *_rates())
+    return confusion_matrix(scored, label, score, cut, group_cols, unscored).select(*group_cols, *_rates())
 
 
 def evaluation_report(
-    scored: DataFrame, label="is_whiff", score="score", cut: float = CUT, group_cols: Sequence[str] = ()
+    scored: DataFrame, label="is_whiff", score="score", cut: float = CUT, group_cols: Sequence[str] = (), unscored: str = "raise"
 ) -> DataFrame:
-    """Every overall metric as ``(*group_cols, metric, value)``."""
-    table = _summary(scored, label, score, group_cols, cut)
+    """Every overall metric as ``(*group_cols, metric, value)``, and ``n_unscored`` where rows
+    may be left out."""
+    table = _summary(scored, label, score, group_cols, cut, unscored)
     values = {c: F.col(c).cast("double") for c in ("n", "auc", "brier_score", "log_loss", "tn", "fp", "fn", "tp")}
     for cls, cells in (("no_whiff", ("tn", "fn", "fp")), ("whiff", ("tp", "fp", "fn"))):
         for metric, value in zip(("precision", "recall", "f1"), _class_rates(*cells)):
@@ -153,14 +196,20 @@ def evaluation_report(
     for name, value in zip(("accuracy", "sensitivity", "specificity"), _rates()):
         values[name] = value
     wide = table.select(*group_cols, *(v.alias(k) for k, v in values.items()))
-    return wide.unpivot(list(group_cols), list(values), "metric", "value")
+    report = wide.unpivot(list(group_cols), list(values), "metric", "value")
+    if unscored == "raise":
+        return report
+    rows = scored.dropna(subset=list(group_cols)) if group_cols else scored
+    left_out = F.count_if(F.col(label).isNull() | F.col(score).isNull()).cast("double").alias("value")
+    return report.unionByName(rows.groupBy(*group_cols).agg(F.lit("n_unscored").alias("metric"), left_out))
 
 
 def metrics_by_group(
-    scored: DataFrame, by: str, label="is_whiff", score="score", cut: float = CUT, both_classes: bool = True
+    scored: DataFrame, by: str, label="is_whiff", score="score", cut: float = CUT, both_classes: bool = True,
+    unscored: str = "raise",
 ) -> DataFrame:
     """Metrics per value of ``by``; values with a single class are left out."""
-    table = _summary(scored, label, score, [by], cut).where(F.col("auc").isNotNull())
+    table = _summary(scored, label, score, [by], cut, unscored).where(F.col("auc").isNotNull())
     out = [by, "n", "auc", "brier_score", "log_loss"]
     names = ("precision", "recall", "f1")
     out += [v.alias(f"{m}_whiff") for m, v in zip(names, _class_rates("tp", "fp", "fn"))]
@@ -175,16 +224,19 @@ def top_pitch_types(metrics: DataFrame, by="pitch_subtype", k: int = 6) -> DataF
 
 
 def rank_groups_by_auc(metrics: DataFrame, by="pitch_subtype") -> DataFrame:
-    """Group metrics with their place by AUC, unknown last. One row per group comes in."""
-    order = Window.orderBy(F.col("auc").desc_nulls_last(), F.col(by).asc_nulls_last())
-    return metrics.withColumn("auc_rank", F.row_number().over(order))
+    """Group metrics with their place by AUC, unknown last, by name on ties."""
+    keyed = metrics.withColumns({"_falling": -F.col("auc"), "_one": F.lit(1)})
+    ranked = running_totals(keyed, [], ["_falling", by], ["_one"])
+    return ranked.withColumn("auc_rank", (F.col("_one_before") + 1).cast("int")).select(*metrics.columns, "auc_rank")
 
 
-def roc_curve(scored: DataFrame, label="is_whiff", score="score", group_cols: Sequence[str] = ()) -> DataFrame:
+def roc_curve(
+    scored: DataFrame, label="is_whiff", score="score", group_cols: Sequence[str] = (), unscored: str = "raise"
+) -> DataFrame:
     """False and true positive rate at each distinct score, with the (0, 0) start at a NULL
     threshold. Groups of one class have a NULL rate."""
     by = list(group_cols)
-    ranked = running_totals(_per_score(scored, label, score, by), by, ["score"], ["pos", "neg"])
+    ranked = running_totals(_per_score(scored, label, score, by, unscored), by, ["score"], ["pos", "neg"])
 
     def at_or_above(c: str) -> Column:
         return F.try_divide((F.col(f"{c}_all") - F.col(f"{c}_before")).cast("double"), F.col(f"{c}_all"))
@@ -197,12 +249,13 @@ def roc_curve(scored: DataFrame, label="is_whiff", score="score", group_cols: Se
     return ranked.select(*by, F.explode(points).alias("p")).select(*by, "p.*")
 
 
-def roc_by_group(scored: DataFrame, by="pitch_subtype", label="is_whiff", score="score", k: int = 6) -> DataFrame:
+def roc_by_group(
+    scored: DataFrame, by="pitch_subtype", label="is_whiff", score="score", k: int = 6, unscored: str = "raise"
+) -> DataFrame:
     """ROC curves of the ``k`` largest groups that hold both classes."""
-    y = F.col(label)
+    y, scored = F.col(label), _scored(scored, label, score, [by], unscored)
     sizes = (
-        scored.where(F.col(by).isNotNull())
-        .groupBy(by)
+        scored.groupBy(by)
         .agg(F.count(F.lit(1)).alias("n"), F.min(y).alias("low"), F.max(y).alias("high"))
         .where(F.col("low") < F.col("high"))
     )
@@ -210,9 +263,11 @@ def roc_by_group(scored: DataFrame, by="pitch_subtype", label="is_whiff", score=
     return roc_curve(scored.join(top, by, "left_semi"), label, score, [by])
 
 
-def calibration_curve(scored: DataFrame, label="is_whiff", score="score", bins: int = 10) -> DataFrame:
+def calibration_curve(
+    scored: DataFrame, label="is_whiff", score="score", bins: int = 10, unscored: str = "raise"
+) -> DataFrame:
     """Mean score and share of positives per uniform, right-closed score bin."""
-    p = F.col(score)
+    p, scored = F.col(score), _scored(scored, label, score, unscored=unscored)
     bin_no = F.lit(0)
     for k in range(1, bins):
         bin_no = bin_no + (p > k * (1.0 / bins)).cast("int")
@@ -221,10 +276,14 @@ def calibration_curve(scored: DataFrame, label="is_whiff", score="score", bins:
     )
 
 
-def score_histogram(scored: DataFrame, label="is_whiff", score="score", bins: int = 30) -> DataFrame:
+def score_histogram(
+    scored: DataFrame, label="is_whiff", score="score", bins: int = 30, unscored: str = "raise"
+) -> DataFrame:
     """Density histogram of the scores of each class between its own extremes. All bins are
-    listed, the last one is closed."""
-    p = F.col(score)
+    listed, the last one is closed. A label other than 0 and 1 fails."""
+    p, scored = F.col(score), _scored(scored, label, score, unscored=unscored)
+    other = F.raise_error(F.lit("a label is not 0 or 1")).cast(dict(scored.dtypes)[label])
+    scored = scored.withColumn(label, F.when(F.col(label).isin(0, 1), F.col(label)).otherwise(other))
     # one row per class, two in all, so it may be broadcast
     extremes = (
         scored.groupBy(label)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import evaluate as V
 from ..operators.aggregates import swing_cells
@@ -68,7 +69,8 @@ def evaluate(scored: DataFrame, path: str) -> dict[str, DataFrame]:
     if "zone" in kept:
         tables["by_zone"] = V.metrics_by_group(scored, "zone", both_classes=False)
         reports.append("by_zone")
-    save_eval_tables(path, V.evaluation_report(scored), V.residuals(scored), **tables)
+    rate = scored.agg(F.lit("whiff_rate").alias("metric"), F.avg("is_whiff").alias("value"))
+    save_eval_tables(path, V.evaluation_report(scored).unionByName(rate), V.residuals(scored), **tables)
     saved = load_tables(scored.sparkSession, path, ["metrics", "predictions", *tables])
     for name in reports:
         write_report_csv(saved[name], f"{path}/{name}_csv")

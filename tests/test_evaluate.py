@@ -82,6 +82,40 @@ def test_scores_really_lie_in_several_slices(spark, frame, monkeypatch):
     assert slices[0].select("slice").distinct().count() > 3
 
 
+SINGLE = (V.auc, V.brier_score, V.log_loss, V.confusion_matrix, V.classification_report, V.classification_averages, V.rate_summary,
+          V.evaluation_report, V.roc_curve, V.calibration_curve, V.score_histogram)
+
+
+@pytest.mark.parametrize("metric", [*SINGLE, lambda df, **k: V.metrics_by_group(df, "zone", **k), lambda df, **k: V.roc_by_group(df, "zone", **k)])
+def test_unscored_rows_fail_or_are_left_out(frame, rows, metric):
+    data = scored(60)
+    plain = frame(SCHEMA, data)
+    gaps = frame(SCHEMA, [*data, (1, None, 1), (0, None, 5), (None, 0.4, 2)])
+    with pytest.raises(Exception, match="no score or no label"):
+        metric(gaps).collect()
+    left = metric(gaps, unscored="drop")
+    if "metric" in left.columns:
+        assert [tuple(r) for r in left.where("metric = 'n_unscored'").collect()] == [("n_unscored", 3.0)]
+        left = left.where("metric <> 'n_unscored'")
+    assert str(rows(left)) == str(rows(metric(plain)))
+    with pytest.raises(ValueError):
+        metric(plain, unscored="keep")
+
+
+def test_averages_over_classes(frame):
+    df = frame(SCHEMA, SMALL + [(0, 0.9, 1)])
+    report = {r["class"]: r for r in V.classification_report(df).collect()}
+    got = {r.average: r for r in V.classification_averages(df).collect()}
+    for c in ("precision", "recall", "f1"):
+        assert got["macro"][c] == pytest.approx((report[0][c] + report[1][c]) / 2)
+        assert got["weighted"][c] == pytest.approx((3 * report[0][c] + 2 * report[1][c]) / 5)
+
+
+def test_other_labels_fail_the_histogram(frame):
+    with pytest.raises(Exception, match="not 0 or 1"):
+        V.score_histogram(frame(SCHEMA, [(2, 0.5, 1)])).collect()
+
+
 def test_log_loss_at_the_ends(frame):
     got = V.log_loss(frame(SCHEMA, [(1, 0.0, 1), (0, 0.0, 1)])).first().log_loss
     assert got == pytest.approx(-math.log(V.EPSILON) / 2)
