@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, VectorAssembler
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import settle
@@ -245,6 +245,8 @@ def fit(cells: DataFrame, terms: Sequence[Term], max_iter: int = 200, tol: float
         maxIter=max_iter,
         tol=tol,
     ).fit(features.select("label", "weight", "features"))
+    if model.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the fit did not converge in {max_iter} iterations")
     return _parameter_table(cells, terms, size, widths, seen, model)
 
 
@@ -276,6 +278,26 @@ def _parameter_table(cells, terms, size, widths, seen, model) -> DataFrame:
     )
 
 
+def gradient(cells: DataFrame, params: DataFrame, terms: Sequence[Term]) -> DataFrame:
+    """Slope of the penalised log likelihood at a fit, per effect that has data: ``(term, k1,
+    k2, k3, k4, n, slope)``. It is the sum of whiffs less those expected, less effect over
+    squared scale; the intercept has no penalty. Zero at the optimum."""
+    spread = [
+        F.struct(F.lit(t.name).alias("term"), *(F.col(t.keys[i]).cast("int").alias(k) if i < len(t.keys) else F.lit(0).alias(k)
+                                                for i, k in enumerate(KEY_COLUMNS)))
+        for t in (INTERCEPT, *terms)
+    ]
+    scored = score(cells, params, terms, "_p").select("n", "whiffs", "_p", F.explode(F.array(*spread)).alias("e"))
+    missed = F.sum(F.col("whiffs") - F.col("n") * F.col("_p"))
+    sums = scored.groupBy("e").agg(missed.alias("missed"), F.sum("n").alias("n")).select("e.*", "missed", "n")
+    scales = [F.lit(x) for t in terms for x in (t.name, 1.0 / t.scale**2)]
+    pull = F.coalesce(F.element_at(F.create_map(*scales), F.col("term")), F.lit(0.0))
+    effects = params.select("term", *KEY_COLUMNS, F.col("draws")[0].alias("effect"))
+    return sums.join(effects, ["term", *KEY_COLUMNS]).select(
+        "term", *KEY_COLUMNS, "n", (F.col("missed") - pull * F.col("effect")).alias("slope")
+    )
+
+
 def fit_enhanced(cells: DataFrame, missing: Iterable[str] = ()) -> DataFrame:
     return fit(cells, without(ENHANCED, missing))
 
@@ -292,46 +314,50 @@ def posterior_summary(draws: DataFrame, by: Sequence[str] = ("param",), prob: fl
     R-hat per parameter. ``draws`` is long: ``(*by, chain, draw, value)``.
 
     The interval spans ``floor(prob * n)`` steps of the sorted draws; the lowest one wins a
-    tie. R-hat compares the halves of every chain, an odd middle draw is left out."""
+    tie. R-hat compares the halves of every chain, an odd middle draw is left out. The draws
+    of a parameter, a number fixed by the sampler, are gathered once into an array."""
     by = list(by)
-    per_param = Window.partitionBy(*by)
-    ordered = per_param.orderBy("value")
-    n = F.count(F.lit(1)).over(per_param)
-    span = F.floor(F.lit(prob) * F.col("n")).cast("int")
-    ranked = draws.select(*by, "value", F.row_number().over(ordered).alias("rank"), n.alias("n"))
-
-    # the draw `span` places up has its own rank, so the two ends meet in an equi-join
-    lower = ranked.select(*by, F.col("value").alias("lo"), (F.col("rank") + span).alias("rank"))
-    upper = ranked.select(*by, F.col("value").alias("hi"), "rank")
-    narrowest = F.min(F.struct((F.col("hi") - F.col("lo")).alias("width"), "lo", "hi"))
-    interval = (
-        lower.join(upper, [*by, "rank"])
-        .groupBy(*by)
-        .agg(narrowest.alias("i"))
-        .select(*by, F.col("i.lo").alias("hdi_low"), F.col("i.hi").alias("hdi_high"))
-    )
-    moments = draws.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-
-    per_chain = Window.partitionBy(*by, "chain")
-    place = F.row_number().over(per_chain.orderBy("draw"))
-    length = F.count(F.lit(1)).over(per_chain)
-    halves = (
-        draws.select(*by, "chain", "value", place.alias("place"), length.alias("length"))
-        .withColumn("half", F.floor(F.col("length") / 2))
-        .withColumn(
-            "part",
-            F.when(F.col("place") <= F.col("half"), 0).when(F.col("place") > F.col("length") - F.col("half"), 1),
-        )
-        .where(F.col("part").isNotNull())
-        .groupBy(*by, "chain", "part")
-        .agg(
-            F.avg("value").alias("m"),
-            F.var_samp("value").alias("v"),
-            F.count(F.lit(1)).cast("double").alias("len"),
-        )
+    kept = draws.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("chain", "draw", "value"))).alias("_draws"))
+    kept = kept.withColumn("_all", F.array_sort(F.transform("_draws", lambda x: x["value"])))
+    n = F.size("_all")
+    span = F.floor(F.lit(prob) * n).cast("int")
+    widths = F.transform(
+        F.sequence(F.lit(1), n - span),
+        lambda i: F.struct(
+            (F.element_at("_all", i + span) - F.element_at("_all", i)).alias("width"),
+            F.element_at("_all", i).alias("lo"), F.element_at("_all", i + span).alias("hi")),
     )
-    within, between, length = F.avg("v"), F.var_samp("m"), F.max("len")
-    r_hat = halves.groupBy(*by).agg(
-        F.sqrt(F.try_divide((length - 1) / length * within + between, within)).alias("r_hat")
+
+    def of_chain(chain: Column) -> Column:
+        values = F.transform(F.filter("_draws", lambda x: x["chain"] == chain), lambda x: x["value"])
+        half = F.floor(F.size(values) / 2).cast("int")
+        return F.array(F.slice(values, F.lit(1), half), F.slice(values, F.size(values) - half + 1, half))
+
+    chains = F.array_distinct(F.transform("_draws", lambda x: x["chain"]))
+    kept = kept.withColumns({
+        "_narrowest": F.array_min(widths),
+        "_halves": F.filter(F.flatten(F.transform(chains, of_chain)), lambda h: F.size(h) > 0),
+    })
+    spreads = F.filter(F.transform("_halves", _variance), lambda v: v.isNotNull())
+    kept = kept.withColumns({"_within": _mean(spreads), "_between": _variance(F.transform("_halves", _mean))})
+    length = F.array_max(F.transform("_halves", F.size)).cast("double")
+    return kept.select(
+        *by,
+        _mean(F.col("_all")).alias("mean"),
+        F.sqrt(_variance(F.col("_all"))).alias("sd"),
+        F.col("_narrowest.lo").alias("hdi_low"),
+        F.col("_narrowest.hi").alias("hdi_high"),
+        F.sqrt(F.try_divide((length - 1) / length * F.col("_within") + F.col("_between"), F.col("_within"))).alias("r_hat"),
     )
-    return moments.join(interval, by, "left").join(r_hat, by, "left")
+
+
+def _mean(values: Column) -> Column:
+    """Mean of an array, NULL of an empty one."""
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda total, x: total + x), F.size(values))
+
+
+def _variance(values: Column) -> Column:
+    """Sample variance of an array, NULL below two values."""
+    middle = _mean(values)
+    squares = F.aggregate(values, F.lit(0.0), lambda total, x: total + (x - middle) * (x - middle))
+    return F.when(F.size(values) > 1, squares / (F.size(values) - 1))

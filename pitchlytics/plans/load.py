@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.aggregates import metric_coverage
-from ..operators.derive import advanced_metrics, round_doubles
+from ..operators.derive import advanced_metrics, flip_player_name, round_doubles
 from ..operators.joins import anti_join_new
 from ..schema import PITCH_SCHEMA, SEASONS
 from ..sources.landing import DayRange, in_ranges, landed_schema, read_pitch_csv, read_player_csv
-from ..sources.tables import TABLES, append_pitches, conform_to_schema
+from ..operators.players import player_hand
+from ..sources.tables import (
+    LOAD, PARTITIONS, TABLES, append_pitches, conform_to_schema, newest_seasons, overwrite_table, read_pitches,
+)
+from ..storage import settle
 
 
 def season_calendar(spark: SparkSession, seasons: Sequence[tuple] = SEASONS) -> DataFrame:
@@ -51,10 +55,23 @@ def marks(table: DataFrame) -> DataFrame:
     return table.groupBy("league").agg(F.max("game_date").alias("latest_date"))
 
 
+def stored_marks(spark: SparkSession, path: str, table: DataFrame) -> DataFrame:
+    """``marks`` of a stored table from its newest season only; from all of it if a league's
+    newest season holds no rows."""
+    newest = newest_seasons(spark, path)
+    if not newest:
+        return marks(table)
+    last = reduce(lambda a, b: a | b, ((F.col("league") == lg) & (F.col("game_year") == y) for lg, y in newest.items()))
+    found = marks(table.where(last)).collect()  # one row per league
+    if {r["league"] for r in found if r["latest_date"] is not None} != newest.keys():
+        return marks(table)
+    return spark.createDataFrame([tuple(r) for r in found], "league string, latest_date date")
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet table, empty before its first write."""
     try:
-        return spark.read.parquet(path)
+        return read_pitches(spark, path)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
@@ -96,12 +113,12 @@ def prepare(pitches: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def pending(
-    spark: SparkSession, landing: Landing, table: DataFrame, calendar: DataFrame, as_of: str
+    spark: SparkSession, landing: Landing, latest: DataFrame, calendar: DataFrame, as_of: str
 ) -> DataFrame | None:
     """Landed rows of the days that are due, None when no day is. One range per season comes
     to the driver and selects the files to open."""
     due: dict[str, list[DayRange]] = {}
-    for row in ranges_to_load(calendar, marks(table), as_of).collect():
+    for row in ranges_to_load(calendar, latest, as_of).collect():
         due.setdefault(row["league"], []).append((row["first"], row["last"]))
     parts = [landing.pitches(spark, league, sorted(ranges)) for league, ranges in sorted(due.items())]
     return reduce(DataFrame.unionByName, parts) if parts else None
@@ -114,7 +131,8 @@ def incremental_append(
     again, so a second run with the same files appends nothing."""
     schema = table_schema(landing.schema)
     table = read_table(spark, table_path, schema)
-    rows = pending(spark, landing, table, season_calendar(spark, seasons), as_of)
+    latest = stored_marks(spark, table_path, table)
+    rows = pending(spark, landing, latest, season_calendar(spark, seasons), as_of)
     if rows is not None:
         append_pitches(prepare(rows, schema), table_path)
 
@@ -137,10 +155,32 @@ def pipeline_run(
     as_of: str,
     seasons: Sequence[tuple] = SEASONS,
     landed: T.StructType | None = None,
+    headers: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Players, then both leagues with derived columns, then the coverage report."""
-    landing = Landing(landing_path, landed or landed_schema())
+    landing = Landing(landing_path, landed or landed_schema(), headers or {})
     for kind in ("pitchers", "batters"):
         load_players(spark, landing, base, kind)
     incremental_append(spark, landing, f"{base}/pitches", as_of, seasons)
     return metric_coverage(read_table(spark, f"{base}/pitches", table_schema(landing.schema)))
+
+
+def clean_players(spark: SparkSession, base: str) -> None:
+    """Write back both player tables with the hand seen in the stored pitches and the name as
+    first name, last name. Names without a comma stay, so running it again changes no name."""
+    pitches = read_pitches(spark, f"{base}/pitches")
+    for kind, player, attr in (("pitchers", "pitcher", "p_throws"), ("batters", "batter", "stand")):
+        path = f"{base}/{kind}"
+        players = spark.read.parquet(path)
+        clean = flip_player_name(player_hand(players, pitches, player, attr)).select(players.columns)
+        overwrite_table(settle(clean, kind), path)
+
+
+def refresh_metrics(spark: SparkSession, path: str) -> None:
+    """Derive the columns of a stored pitch table again, as after a change of a formula. The
+    new rows are written aside and then replace their partitions; layout and loads stay."""
+    stored = spark.read.parquet(path)
+    fresh = settle(advanced_metrics(stored).select(stored.columns), "refreshed")
+    layout = [*PARTITIONS, LOAD]
+    writer = fresh.hint("rebalance", *layout).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*layout).parquet(path)

@@ -31,38 +31,36 @@ def in_ranges(day: str, ranges: Sequence[DayRange]) -> Column:
 
 
 def typed(name: str, dtype: T.DataType) -> Column:
-    """A text column as its table type; a missing-value token or unreadable text is NULL.
-    Whole numbers may be written with a decimal point."""
+    """A text column as its table type. A missing-value token is NULL, any other text that the
+    type can't hold fails the read. Whole numbers may be written with a decimal point."""
     text = F.col(f"`{name}`")
     if isinstance(dtype, T.StringType):
-        value = F.when(~text.isin(*NULL_TOKENS), text)
-    elif isinstance(dtype, T.IntegralType):
-        value = F.coalesce(text.try_cast(dtype), F.round(text.try_cast("double"), 0).try_cast(dtype))
-    elif isinstance(dtype, T.DoubleType):
-        number = text.try_cast(dtype)
-        value = F.when(~F.isnan(number), number)
-    else:
-        value = text.try_cast(dtype)
+        return F.when(~text.isin(*NULL_TOKENS), text).alias(name)
+    value = text.try_cast(dtype)
+    if isinstance(dtype, T.IntegralType):
+        value = F.coalesce(value, F.round(text.try_cast("double"), 0).try_cast(dtype))
+    wrong = F.raise_error(F.concat(F.lit(f"{name}: unreadable "), text)).cast(dtype)
+    value = F.when(text.isNull() | F.trim(text).isin(*NULL_TOKENS), F.lit(None).cast(dtype)).otherwise(F.coalesce(value, wrong))
     return value.alias(name)
 
 
 def _files_by_header(
-    spark: SparkSession, path: str, key: str, days: Sequence[DayRange] | None
+    spark: SparkSession, path: str, days: Sequence[DayRange] | None
 ) -> dict[tuple[str, ...], list[str]]:
-    """Landed files grouped by their header. Only file names and distinct headers come to
-    the driver, which lists the files of a scan anyway."""
+    """Landed files grouped by their first line. The lines are reduced to one per file before
+    they move; only file names and headers come to the driver, which lists the files of a scan
+    anyway."""
     lines = spark.read.text(path)
     if days is not None and "day" in lines.columns:
         lines = lines.where(in_ranges("day", days))
-    fields = F.transform(F.split("value", ","), lambda f: F.trim(f, F.lit(' "\ufeff')))
-    headers = (
-        lines.where(F.col("value").contains(key))
-        .select(F.col("_metadata.file_path").alias("file"), fields.alias("fields"))
-        .where(F.array_contains("fields", key))
-        .distinct()
+    placed = lines.select(
+        F.col("_metadata.file_path").alias("file"), "value",
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"),
     )
+    first = placed.groupBy("file").agg(F.min_by("value", "place").alias("value"))
+    fields = F.transform(F.split("value", ","), lambda f: F.trim(f, F.lit(' "\ufeff')))
     out: dict[tuple[str, ...], list[str]] = {}
-    for row in headers.orderBy("file").collect():
+    for row in first.select("file", fields.alias("fields")).orderBy("file").collect():
         out.setdefault(tuple(row["fields"]), []).append(row["file"])
     return out
 
@@ -86,16 +84,16 @@ def read_landed_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
-    key: str,
     days: Sequence[DayRange] | None = None,
     header: Sequence[str] | None = None,
 ) -> DataFrame:
     """Header CSV files as ``schema``, each column found by its name in its own file.
 
-    Files may order columns differently, lack some or carry extra ones. A plain read of a
-    folder applies the first header to all files, so a first pass over the text finds the
-    headers and files are read per distinct header. Give ``header`` where all files share
-    it: they are read in one pass, and a file with another header fails the read.
+    Files may order columns differently, lack any or carry extra ones; a column that a file
+    lacks is NULL in its rows. A plain read of a folder applies the first header to all files,
+    so a first pass over the text finds the headers and files are read per distinct header.
+    Give ``header`` where all files share it: they are read in one pass, and a file with
+    another header fails the read.
 
     ``days`` limits a folder laid out as ``day=YYYY-MM-DD`` to those ranges, and files of
     other days are not opened."""
@@ -106,8 +104,11 @@ def read_landed_csv(
             raw = raw.where(in_ranges("day", days))
         return as_schema(raw, header, schema)
     out = None
-    for found, files in _files_by_header(spark, path, key, days).items():
-        part = as_schema(reader.schema(texts(found)).csv(files), found, schema)
+    by_header = _files_by_header(spark, path, days)
+    for found, files in by_header.items():
+        # files of one header in all are read as the folder, without their list
+        source = path if len(by_header) == 1 and days is None else files
+        part = as_schema(reader.schema(texts(found)).csv(source), found, schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -132,7 +133,7 @@ def read_pitch_csv(
     header: Sequence[str] | None = None,
 ) -> DataFrame:
     """Landed pitches, typed; ``days`` and ``header`` as in ``read_landed_csv``."""
-    return read_landed_csv(spark, path, schema or landed_schema(), "game_pk", days, header)
+    return read_landed_csv(spark, path, schema or landed_schema(), days, header)
 
 
 def read_player_csv(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:
@@ -140,5 +141,5 @@ def read_player_csv(spark: SparkSession, path: str, id_type: T.DataType | None =
     schema = T.StructType(
         [T.StructField("player_id", id_type or T.IntegerType()), T.StructField("player_name", T.StringType())]
     )
-    rows = read_landed_csv(spark, path, schema, "player_id")
+    rows = read_landed_csv(spark, path, schema)
     return one_name_per_player(rows.where(F.col("player_id").isNotNull()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,10 @@ from .. import schema as S
 
 PARTITIONS = ("league", "game_year")
 
+#: Innermost partition of a pitch table: the load that wrote the rows. A load that is written
+#: again under the same name replaces itself.
+LOAD = "load"
+
 #: The tables of the data model. Both leagues share one pitch schema; ``blast`` is the
 #: column added after the declared ones.
 TABLES = {
@@ -62,7 +67,7 @@ def conform_to_schema(df: DataFrame, schema: T.StructType, keep: Iterable[str] =
 def scan_pitches(spark: SparkSession, path: str, league: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Pitches of one league, only the named columns, tagged with the league. On a table
     partitioned by league the tag is a partition filter."""
-    df = spark.read.parquet(path)
+    df = read_pitches(spark, path)
     if "league" in df.columns:
         df = df.where(F.col("league") == league)
     else:
@@ -70,11 +75,32 @@ def scan_pitches(spark: SparkSession, path: str, league: str, columns: Sequence[
     return df.select(*dict.fromkeys([*columns, "league"])) if columns else df
 
 
-def append_pitches(df: DataFrame, path: str, partitions: Sequence[str] = PARTITIONS) -> None:
-    """Append to a table partitioned by league and season. The rebalance hint lets adaptive
-    execution merge small partitions and split a season that holds most of the rows, so
-    files come out evenly sized."""
-    df.hint("rebalance", *partitions).write.mode("append").partitionBy(*partitions).parquet(path)
+def append_pitches(df: DataFrame, path: str, load: str | None = None, partitions: Sequence[str] = PARTITIONS) -> None:
+    """Add rows to a table partitioned by league, season and load. The rebalance hint lets
+    adaptive execution merge small partitions and split a season that holds most of the rows,
+    so files come out evenly sized. Rows of a ``load`` that was written before are replaced,
+    those of other loads stay; without a name the load is a new one."""
+    named = df.withColumn(LOAD, F.lit(load or f"load-{uuid.uuid4().hex}"))
+    writer = named.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partitions, LOAD).parquet(path)
+
+
+def read_pitches(spark: SparkSession, path: str) -> DataFrame:
+    """A stored pitch table without the load column."""
+    return spark.read.parquet(path).drop(LOAD)
+
+
+def newest_seasons(spark: SparkSession, path: str) -> dict[str, int]:
+    """Last season of each league from the partition folders, without opening a file."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/league=*/game_year=*")
+    found: dict[str, int] = {}
+    for status in pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []:
+        season = status.getPath()
+        league, year = season.getParent().getName().partition("=")[2], season.getName().partition("=")[2]
+        if year.isdigit():
+            found[league] = max(int(year), found.get(league, 0))
+    return found
 
 
 def overwrite_table(df: DataFrame, path: str) -> None:
@@ -84,7 +110,7 @@ def overwrite_table(df: DataFrame, path: str) -> None:
 
 def write_report_csv(df: DataFrame, path: str) -> None:
     """A report (one row per metric or group) as a single CSV file with header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def save_tables(tables: Mapping[str, DataFrame], path: str) -> None:

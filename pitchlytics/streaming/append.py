@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from ..plans.load import dates_to_load, prepare, season_calendar, table_schema
 from ..schema import SEASONS
 from ..sources.landing import as_schema, texts
-from ..sources.tables import PARTITIONS
+from ..sources.tables import append_pitches
 
 
 def landed_stream(spark: SparkSession, path: str, header: Sequence[str], schema: T.StructType) -> DataFrame:
@@ -41,20 +42,24 @@ def stream_append(
     """Append the in-season rows of all files not yet processed, up to the day before
     ``as_of``, and return when done.
 
-    The stream's own progress log remembers the files and the file sink commits each batch
-    once, so a lost executor or a restarted driver never appends a row twice. Days are judged
-    by the calendar only: a late file for an old day is still taken. Files that landed after
-    the call are left to the next one."""
+    The stream's own progress log remembers the files. Each batch is written as a load of its
+    own, named by stream and batch, so a batch that is replayed after a lost executor or a
+    restarted driver replaces what it wrote before. The table has no sink log: batch loads and
+    readers see the same rows. Days are judged by the calendar only: a late file for an old day
+    is still taken. Files that landed after the call are left to the next one."""
     unmarked = spark.createDataFrame([], "league string, latest_date date")
     days = dates_to_load(season_calendar(spark, seasons), unmarked, as_of)
     schema = table_schema(landed)
     rows = landed_stream(spark, f"{landing}/{league}", header, landed).withColumn("league", F.lit(league))
+    stream = hashlib.sha256(progress_path.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, number: int) -> None:
+        append_pitches(batch, table_path, load=f"stream-{stream}-{number}")
+
     query = (
         prepare(rows.join(days, ["league", "game_date"], "left_semi"), schema)
-        .writeStream.format("parquet")
-        .option("path", table_path)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", progress_path)
-        .partitionBy(*PARTITIONS)
         .trigger(availableNow=True)
         .start()
     )

@@ -11,6 +11,7 @@ from ..schema import PITCH_SCHEMA
 from . import settings as S
 from .views import BATTERS_VIEW, PITCH_VIEW, PITCHERS_VIEW, SCORED_VIEW
 
+# Descriptions, pitch codes, counts and group names, and the constants in the formulas below.
 SWINGS = (
     "('swinging_strike', 'swinging_strike_blocked', 'foul', 'hit_into_play', 'foul_tip', "
     "'hit_into_play_no_out', 'hit_into_play_score', 'foul_bunt')"
@@ -395,11 +396,11 @@ PITCH_COLUMNS = (
 PARAM_KEYS = "term, k1, k2, k3, k4"
 
 
-def _hand(view: str, player: str, attr: str, kind: str) -> str:
+def _hand(view: str, player: str, attr: str, kind: str, pitches: str = "pitch_view") -> str:
     return f"""SELECT player_id, player_name, hand, '{kind}' AS kind FROM {view} LEFT JOIN (
   SELECT {player} AS player_id, {attr} AS hand FROM (
     SELECT {player}, {attr}, row_number() OVER (PARTITION BY {player} ORDER BY count(*) DESC, {attr}) AS rn
-    FROM pitch_view WHERE {attr} IS NOT NULL GROUP BY {player}, {attr}) WHERE rn = 1) USING (player_id)"""
+    FROM {pitches} WHERE {attr} IS NOT NULL GROUP BY {player}, {attr}) WHERE rn = 1) USING (player_id)"""
 
 
 def _conformed() -> str:
@@ -418,6 +419,7 @@ def _conformed() -> str:
 def _held_report() -> str:
     """Overall metrics and some per subtype and zone, from the scored hold-out."""
     parts = [f"SELECT 'all' AS \"group\", metric, value FROM ({_report()})"]
+    parts.append("SELECT 'all', 'whiff_rate', round(avg(is_whiff), 9) + 0.0 FROM scored_view")
     for by in ("pitch_subtype", "zone"):
         table = _by_group(by, False)
         for m in ("n", "auc", "log_loss", "f1_whiff"):
@@ -437,16 +439,82 @@ SUMMARY = f"""SELECT {PARAM_KEYS}, {r("mean")}, {r("sd")}, {r("hdi_low")}, {r("h
     SELECT {PARAM_KEYS}, chain, draw < {S.DRAWS // 2} AS half, avg(value) AS m, var_samp(value) AS v
     FROM enh_params GROUP BY {PARAM_KEYS}, chain, draw < {S.DRAWS // 2}) GROUP BY {PARAM_KEYS}) USING ({PARAM_KEYS})"""
 
+DERIVED = (
+    "phi", "estimated_iso_using_speedangle", "HA_factor", "HA_Adj_estimated_xISO", "blast", "is_zone", "pitch_bucket", "pitch_subtype",
+)
+GAME_COLUMNS = ["game_pk", "game_date", "home_team", "away_team", "home_starting_pitcher", "away_starting_pitcher"] + [
+    f"{side}_batter_{k}" for side in ("home", "away") for k in range(1, 10)
+]
+
+
+def _content(name: str, source: str, columns, key: str, where: str = "") -> str:
+    """Rows, filled cells and the sum of the key of a table."""
+    filled = " + ".join(f"count({c})" for c in columns)
+    return f"""SELECT '{name}' AS table_name, count(*) AS n_rows, CAST({filled} AS BIGINT) AS n_filled,
+  CAST(sum({key}) AS BIGINT) AS key_sum FROM {source} {where}"""
+
+
+def _stationary(formula: str, frame: str) -> str:
+    """Every effect that has data, as stationary."""
+    parts = []
+    for term, keys in FORMULAS[formula]:
+        cols = [f"{keys[i]}_idx AS k{i + 1}" if i < len(keys) else f"0 AS k{i + 1}" for i in range(4)]
+        parts.append(f"SELECT DISTINCT '{term}' AS term, {', '.join(cols)}, TRUE AS stationary FROM {frame}")
+    return " UNION ALL ".join(parts)
+
+
+def _gathered() -> str:
+    """Sum of all draws of each term over the distinct cells of the hold-out, per block."""
+    terms = [t for t in FORMULAS["enh"] if t[1]]
+    cols = ", ".join(dict.fromkeys(f"{k}_idx" for _, ks in terms for k in ks))
+    parts = []
+    for term, keys in terms:
+        on = " AND ".join(f"k{i} = c.{k}_idx" for i, k in enumerate(keys, 1))
+        parts.append(f"""SELECT draw_block, '{term}' AS term, count(*) AS found, {r("sum(s)", "effect_sum")} FROM (
+  SELECT DISTINCT {cols} FROM enh_held_frame) c JOIN (SELECT k1, k2, k3, k4, (chain * {S.DRAWS} + draw) // {S.BLOCK} AS draw_block, sum(value) AS s
+  FROM enh_params WHERE term = '{term}' GROUP BY ALL) p ON {on} GROUP BY draw_block""")
+    return " UNION ALL ".join(parts)
+
+
+def _saved() -> str:
+    """What an evaluation saves, cell by cell, six digits."""
+    table = _by_group("pitch_type", True)
+    names = ["n", "auc", "brier_score", "log_loss", *(n for n, _ in WHIFF_RATES + NO_WHIFF_RATES)]
+    parts = [f"SELECT 'all' AS \"group\", metric, round(value, 6) + 0.0 AS value FROM ({_report()})"]
+    for name, value in (("scores", "count(score)"), ("score_sum", "sum(score)"), ("whiffs", "sum(is_whiff)")):
+        parts.append(f"SELECT 'predictions', '{name}', round(CAST({value} AS DOUBLE), 6) + 0.0 FROM scored_view")
+    parts += [f"SELECT pitch_type, '{m}', round(CAST({m} AS DOUBLE), 6) + 0.0 FROM ({table})" for m in names]
+    return " UNION ALL ".join(parts)
+
+
+def _params_of(labels: str) -> str:
+    """Rows per label column and parameter rows per term."""
+
+    def size(c: str) -> str:
+        return {"zone": "2", "zone_num": "13"}.get(c, f"(SELECT count(*) FROM {labels} WHERE col = '{c}')")
+
+    blocks = S.CHAINS * S.DRAWS // S.BLOCK
+    parts = [f"SELECT col, count(*) AS n FROM {labels} GROUP BY col"]
+    parts += [f"SELECT '{t}', {' * '.join([str(blocks), *map(size, keys)])}" for t, keys in FORMULAS["enh"]]
+    return " UNION ALL ".join(parts)
+
+
 ORACLE = {
     # scans, sources, sinks
     "read_pitch_csv": f"SELECT {PITCH_COLUMNS}, {', '.join(r(c) for c in DOUBLES)} FROM pitch_view",
     "read_player_csv": "SELECT player_id, min(player_name) AS player_name FROM batters_view GROUP BY player_id",
     "scan_pitches": "SELECT game_pk, batter, pitcher, description, league FROM pitch_view WHERE league = 'minor'",
-    "create_tables": """SELECT 'pitchers' AS table_name, count(*) AS n_rows FROM pitchers_view
-UNION ALL SELECT 'batters', count(*) FROM batters_view
-UNION ALL SELECT 'pitches_major', count(*) FROM pitch_view WHERE league = 'major'
-UNION ALL SELECT 'pitches_minor', count(*) FROM pitch_view WHERE league = 'minor'
-UNION ALL SELECT 'start_game', count(DISTINCT game_pk) FROM pitch_view""",
+    "read_pitch_csv_mixed": f"SELECT {PITCH_COLUMNS.replace(', league', '')}, {', '.join(r(c) for c in DOUBLES)} FROM pitch_view",
+    "build_pitch_table": "SELECT league, game_year, count(*) AS n, CAST(sum(blast) AS BIGINT) AS blasts FROM metrics GROUP BY league, game_year",
+    "build_model": _params_of("enh_labels"),
+    "create_tables": " UNION ALL ".join(
+        [_content(f"{kind}s", f"{kind}s_view", ("player_id", "player_name"), "player_id") for kind in ("pitcher", "batter")]
+        + [
+            _content(f"pitches_{lg}", "metrics", (*PITCH_COLUMNS.replace(", league", "").split(", "), *DOUBLES, *DERIVED), "game_pk", f"WHERE league = '{lg}'")
+            for lg in ("major", "minor")
+        ]
+        + [_content("start_game", "start_games", GAME_COLUMNS, "game_pk")]
+    ),
     "add_columns_if_missing": f"""SELECT {ID}, description, CAST(NULL AS DOUBLE) AS phi,
   CAST(NULL AS DOUBLE) AS estimated_iso_using_speedangle, CAST(NULL AS DOUBLE) AS HA_factor,
   CAST(NULL AS DOUBLE) AS HA_Adj_estimated_xISO, CAST(NULL AS INT) AS blast, CAST(NULL AS INT) AS is_zone,
@@ -458,10 +526,7 @@ GROUP BY league, game_year""",
     "insert_new_players": """SELECT player_id, player_name, CASE WHEN NOT contains(player_name, ',') THEN 'L' END AS stand
 FROM batters_view""",
     "write_report_csv": _by_group("pitch_type", True),
-    "save_eval_tables": f"""SELECT 'auc' AS metric, {r("auc", "value")} FROM ({_auc()})
-UNION ALL SELECT 'n', CAST(count(*) AS DOUBLE) FROM scored_view
-UNION ALL SELECT 'mean_score', round(avg(score), 9) + 0.0 FROM scored_view
-UNION ALL SELECT 'rows_in_groups', CAST(sum(n) AS DOUBLE) FROM ({_by_group("pitch_type", True)})""",
+    "save_eval_tables": _saved(),
     "save_labels": f"SELECT * FROM ({_labels('train', ('batter', 'pitcher', 'stand', 'pitch_subtype'))})",
     "register_frame": "SELECT league, description, count(*) AS n FROM pitch_view GROUP BY league, description",
     # incremental load
@@ -474,7 +539,12 @@ FROM pitch_view JOIN calendar USING (league, game_year) GROUP BY league, game_ye
   FROM calendar c LEFT JOIN (SELECT league, max(game_date) AS latest FROM pitch_view
     WHERE league = 'major' AND game_date < DATE '{S.FIRST_AS_OF}' GROUP BY league) USING (league))""",
     "incremental_append": f"{TOTALS} GROUP BY league, game_year",
-    "incremental_append_stream": f"{TOTALS} WHERE league = 'major' GROUP BY league, game_year",
+    "incremental_append_stream": f"{TOTALS} GROUP BY league, game_year",
+    "clean_players": f"""SELECT player_id, {FLIP} AS player_name, hand, kind FROM (
+  {_hand("pitchers_view", "pitcher", "p_throws", "pitcher", "loaded")}
+  UNION ALL {_hand("batters_view", "batter", "stand", "batter", "loaded")})""",
+    "refresh_metrics": f"""SELECT {ID}, {r("phi")}, {r("estimated_iso_using_speedangle")}, {r("HA_factor")},
+  {r("HA_Adj_estimated_xISO")}, blast, is_zone, pitch_bucket, pitch_subtype FROM metrics""",
     "pipeline_run": """SELECT league, count(HA_Adj_estimated_xISO) AS with_metric, count(*) AS total FROM loaded GROUP BY league""",
     # derived columns
     "round_doubles": f"SELECT {ID}, {', '.join(f'round(round({c}, 4), 9) + 0.0 AS {c}' for c in DOUBLES[:6])} FROM pitch_view",
@@ -520,9 +590,7 @@ LEFT JOIN pitchers_view a ON a.player_id = away_starting_pitcher""",
     + _hand("batters_view", "batter", "stand", "batter"),
     "attach_groups": "SELECT batter, pitcher, zone, is_whiff, batter_whiff_group FROM enh_train",
     "fk_violations": f"SELECT {ID}, league FROM pitch_view WHERE batter NOT IN (SELECT player_id FROM batters_view)",
-    "gather_effect": f"""SELECT batter, pitcher, pitch_subtype, zone, is_whiff, draw_block, {r("effect_sum")} FROM enh_held_frame JOIN (
-  SELECT k1, k2, (chain * {S.DRAWS} + draw) // {S.BLOCK} AS draw_block, sum(value) AS effect_sum
-  FROM enh_params WHERE term = 'pitcher_subtype' GROUP BY ALL) ON k1 = pitcher_idx AND k2 = pitch_subtype_idx""",
+    "gather_effect": _gathered(),
     # aggregates
     "row_count": "SELECT count(*) AS n_rows FROM pitch_view",
     "metric_coverage": """SELECT league, count(HA_Adj_estimated_xISO) AS with_metric, count(*) AS total
@@ -567,6 +635,10 @@ JOIN ({_labels("pitch_view", ("pitch_type",))}) t ON t.value IS NOT DISTINCT FRO
     "swing_cells": """SELECT batter_idx, league_idx, zone_idx, pitch_subtype_idx, p_throws_idx, pitcher_idx, stand_idx,
   batter_whiff_group_idx, zone_num_idx, count_bucket_idx, count(*) AS n, CAST(sum(is_whiff) AS BIGINT) AS whiffs
 FROM enh_frame GROUP BY ALL""",
+    "fit_enhanced": _stationary("enh", "enh_frame"),
+    "fit_hierarchical": _stationary("hier", "hier_frame"),
+    "train_and_evaluate": """SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(is_whiff) AS DOUBLE) AS whiffs, CAST(17 AS DOUBLE) AS metrics,
+  TRUE AS beats_the_rate FROM two_held_frame""",
     "score_enhanced": _score("enh", "enh_held_frame", "enh_lists"),
     "score_enhanced_core": _score(
         "enh", "enh_held_frame", "enh_lists", ("batter_league", "pitcher_league", "group_count")
@@ -593,6 +665,15 @@ GROUP BY o.term, o.k1, o.k2, o.k3, o.k4, o.block""",
   {support} AS support FROM (SELECT {CELLS} FROM scored_view)"""
         for cls, rates, support in ((0, NO_WHIFF_RATES, "tn + fp"), (1, WHIFF_RATES, "fn + tp"))
     ),
+    "classification_averages": " UNION ALL ".join(
+        f"SELECT '{kind}' AS average, "
+        + ", ".join(
+            r(f"(({NO_WHIFF_RATES[i][1]}) * {no} + ({WHIFF_RATES[i][1]}) * {yes}) / CAST({no} + {yes} AS DOUBLE)", name)
+            for i, name in enumerate(("precision", "recall", "f1"))
+        )
+        + f", tn + fp + fn + tp AS support FROM (SELECT {CELLS} FROM scored_view)"
+        for kind, no, yes in (("macro", "1", "1"), ("weighted", "(tn + fp)", "(fn + tp)"))
+    ),
     "rate_summary": f"SELECT {', '.join(r(e, n) for n, e in RATES)} FROM (SELECT {CELLS} FROM scored_view)",
     "metrics_by_group": _by_group("pitch_type", True),
     "metrics_by_zone": _by_group("zone", False),
@@ -613,9 +694,12 @@ GROUP BY is_whiff, bin, low, width""",
     "residuals": f"SELECT game_pk, batter, pitcher, {r('score')}, {r('is_whiff - score', 'residual')} FROM scored_view",
     "evaluation_report": _report(),
     "evaluation_report_by_league": _report("league"),
+    "evaluation_report_unscored": _report().replace("scored_view", "scored_some")
+    + " UNION ALL SELECT 'n_unscored', CAST(count(*) AS DOUBLE) FROM scored_view WHERE pitcher % 7 = 0",
 }
 CTES["scored_held"] = f"""SELECT is_whiff, score, pitch_subtype, zone FROM (
   {_score("enh", "enh_held_frame", "enh_lists", extra="pitch_subtype, zone, ")})"""
+CTES["scored_some"] = "SELECT * FROM scored_view WHERE pitcher % 7 <> 0"
 CTES["l"] = _labels(
     f"(SELECT * FROM pitch_view WHERE league = 'major' AND game_date BETWEEN DATE '{S.TRAIN[0]}' AND DATE '{S.TRAIN[1]}')",
     ("batter", "pitcher"),

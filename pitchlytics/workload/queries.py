@@ -65,16 +65,20 @@ def written_once(spark: SparkSession, sf: str, kind: str, write: Callable[[str],
     return _WRITTEN[key]
 
 
+def headers(spark: SparkSession, sf: str) -> dict[str, list[str]]:
+    """Column order of each league's landed files; the minor ones have it turned round."""
+    order = [c for c in views.pitch_view(spark, sf).columns if c != "league"]
+    return {"major": order, "minor": order[::-1]}
+
+
 def land(spark: SparkSession, sf: str) -> str:
-    """The driver tables as landed CSV files, one folder per league and player kind. The
-    minor files carry their columns in another order."""
+    """The driver tables as landed CSV files, one folder per league and day and per player kind."""
 
     def write(path: str) -> None:
-        pitches = views.pitch_view(spark, sf)
-        order = [c for c in pitches.columns if c != "league"]
-        for league, columns in (("major", order), ("minor", order[::-1])):
-            rows = pitches.where(F.col("league") == league).select(*columns)
-            rows.write.option("header", True).csv(f"{path}/{league}")
+        pitches = views.pitch_view(spark, sf).withColumn("day", F.col("game_date").cast("string"))
+        for league, columns in headers(spark, sf).items():
+            rows = pitches.where(F.col("league") == league).select(*columns, "day").repartition("day")
+            rows.write.partitionBy("day").option("header", True).csv(f"{path}/{league}")
         for kind, players in (("pitchers", views.pitchers_view), ("batters", views.batters_view)):
             players(spark, sf).write.option("header", True).csv(f"{path}/{kind}")
 
@@ -86,10 +90,21 @@ LANDED = landing.landed_schema("bigint")
 
 @query
 def read_pitch_csv(spark, sf):
-    path = land(spark, sf)
-    major, minor = (landing.read_pitch_csv(spark, f"{path}/{lg}", LANDED) for lg in ("major", "minor"))
-    filled = [c for c in views.pitch_view(spark, sf).columns if c != "league"]
-    return rounded(J.union_leagues(major, minor).select(*filled, "league"))
+    path, orders = land(spark, sf), headers(spark, sf)
+    major, minor = (
+        landing.read_pitch_csv(spark, f"{path}/{lg}", LANDED, header=orders[lg]) for lg in ("major", "minor")
+    )
+    return rounded(J.union_leagues(major, minor).select(*orders["major"], "league"))
+
+
+@query
+def read_pitch_csv_mixed(spark, sf):
+    """Files of two column orders in one read, which looks for their headers."""
+    path, pitches, orders = new_folder(spark, "mixed"), views.pitch_view(spark, sf), headers(spark, sf)
+    for league, order in orders.items():
+        rows = pitches.where(F.col("league") == league).select(*order)
+        rows.write.mode("append").option("header", True).csv(path)
+    return rounded(landing.read_pitch_csv(spark, path, LANDED).select(*orders["major"]))
 
 
 @query
@@ -109,6 +124,16 @@ def stored_leagues(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return major, minor
 
 
+@query
+def build_pitch_table(spark, sf):
+    """Rows of a pitch table that is derived and written anew."""
+    path = new_folder(spark, "pitches")
+    tables.append_pitches(with_metrics(spark, sf), path)
+    return spark.read.parquet(path).groupBy("league", "game_year").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("blast").cast("bigint").alias("blasts")
+    )
+
+
 @query
 def scan_pitches(spark, sf):
     return tables.scan_pitches(spark, pitch_table(spark, sf), "minor", ["game_pk", "batter", "pitcher", "description"])
@@ -131,7 +156,11 @@ def create_tables(spark, sf):
         short = name.split(".")[1]
         schema = spark.table(name).schema
         tables.conform_to_schema(content[short], schema, schema.names).write.insertInto(name)
-        rows = spark.table(name).agg(F.lit(short).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))
+        table = spark.table(name)
+        filled = F.sum(sum((F.col(c).isNotNull().cast("long") for c in table.columns), F.lit(0)))
+        key = F.sum(F.coalesce("game_pk" if "game_pk" in table.columns else "player_id", F.lit(0)).cast("long"))
+        rows = table.agg(
+            F.lit(short).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), filled.alias("n_filled"), key.alias("key_sum"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -195,12 +224,13 @@ def save_eval_tables(spark, sf):
         by_pitch_type=V.metrics_by_group(scored, "pitch_type"),
     )
     saved = tables.load_tables(spark, path, ["metrics", "predictions", "by_pitch_type"])
-    overall = saved["metrics"].where(F.col("metric").isin("auc", "n")).select("metric", "value")
-    mean = saved["predictions"].agg(F.lit("mean_score").alias("metric"), F.avg("score").alias("value"))
-    groups = saved["by_pitch_type"].agg(
-        F.lit("rows_in_groups").alias("metric"), F.sum("n").cast("double").alias("value")
-    )
-    return rounded(overall.unionByName(mean).unionByName(groups))
+    overall = saved["metrics"].select(F.lit("all").alias("group"), "metric", "value")
+    sums = (F.count("score").cast("double").alias("scores"), F.sum("score").alias("score_sum"), F.sum("is_whiff").cast("double").alias("whiffs"))
+    predicted = saved["predictions"].agg(F.lit("predictions").alias("group"), *sums)
+    wide = saved["by_pitch_type"].withColumn("n", F.col("n").cast("double")).withColumnRenamed("pitch_type", "group")
+    for df in (predicted, wide):
+        overall = overall.unionByName(df.unpivot("group", [c for c in df.columns if c != "group"], "metric", "value"))
+    return rounded(overall, 6)
 
 
 @query
@@ -262,7 +292,7 @@ def table_totals(table: DataFrame) -> DataFrame:
 @query
 def incremental_append(spark, sf):
     """Two loads a year apart and a third that finds nothing new."""
-    source = load.Landing(land(spark, sf), LANDED)
+    source = load.Landing(land(spark, sf), LANDED, headers(spark, sf))
     path = new_folder(spark, "pitches")
     for as_of in (S.FIRST_AS_OF, S.AS_OF, S.AS_OF):
         load.incremental_append(spark, source, path, as_of, S.SEASONS)
@@ -271,17 +301,48 @@ def incremental_append(spark, sf):
 
 @query
 def incremental_append_stream(spark, sf):
-    path, table, progress = land(spark, sf), new_folder(spark, "pitches"), new_folder(spark, "progress")
-    header = [c for c in views.pitch_view(spark, sf).columns if c != "league"]
-    for _ in range(2):  # the second run finds no new file
-        stream.stream_append(spark, path, "major", header, table, progress, S.AS_OF, LANDED, S.SEASONS)
+    """One table filled by both leagues' streams, by two batch loads a year later, the second
+    of which finds nothing new, and by the streams again, which find no new file."""
+    path, table, orders = land(spark, sf), new_folder(spark, "pitches"), headers(spark, sf)
+    progress = {lg: new_folder(spark, "progress") for lg in orders}
+
+    def streams() -> None:
+        for lg, order in orders.items():
+            stream.stream_append(spark, path, lg, order, table, progress[lg], S.FIRST_AS_OF, LANDED, S.SEASONS)
+
+    streams()
+    for _ in range(2):
+        load.incremental_append(spark, load.Landing(path, LANDED, orders), table, S.AS_OF, S.SEASONS)
+    streams()
     return table_totals(spark.read.parquet(table))
 
 
 @query
 def pipeline_run(spark, sf):
     base = new_folder(spark, "base")
-    return load.pipeline_run(spark, land(spark, sf), base, S.AS_OF, S.SEASONS, LANDED)
+    return load.pipeline_run(spark, land(spark, sf), base, S.AS_OF, S.SEASONS, LANDED, headers(spark, sf))
+
+
+@query
+def clean_players(spark, sf):
+    """Both player tables after a load and the clean-up."""
+    base = new_folder(spark, "base")
+    load.pipeline_run(spark, land(spark, sf), base, S.AS_OF, S.SEASONS, LANDED, headers(spark, sf))
+    load.clean_players(spark, base)
+    pitchers, batters = (spark.read.parquet(f"{base}/{kind}") for kind in ("pitchers", "batters"))
+    kinds = (pitchers.withColumnRenamed("p_throws", "hand"), "pitcher"), (batters.withColumnRenamed("stand", "hand"), "batter")
+    first, second = (df.withColumn("kind", F.lit(kind)) for df, kind in kinds)
+    return first.unionByName(second)
+
+
+@query
+def refresh_metrics(spark, sf):
+    """Derived columns after a table with stale ones was refreshed."""
+    path = new_folder(spark, "pitches")
+    stale = with_metrics(spark, sf).withColumns({"phi": F.lit(0.0), "blast": F.lit(None).cast("int"), "pitch_bucket": F.lit("old")})
+    tables.append_pitches(stale, path)
+    load.refresh_metrics(spark, path)
+    return rounded(spark.read.parquet(path).select(*ID, *DERIVED_SCHEMA.names))
 
 
 # --- derived columns ------------------------------------------------------------------
@@ -428,13 +489,15 @@ def fk_violations(spark, sf):
 @query
 def gather_effect(spark, sf):
     frame, params = scoring_inputs(spark, sf, samples.ENHANCED, M.ENHANCED)
-    term = next(t for t in M.ENHANCED if t.name == "pitcher_subtype")
-    total = F.aggregate(term.name, F.lit(0.0), lambda a, x: a + x)
-    return rounded(
-        M.gather_effect(frame, params, term).select(
-            "batter", "pitcher", "pitch_subtype", "zone", "is_whiff", "draw_block", total.alias("effect_sum")
-        )
-    )
+    keys = M.key_columns(M.ENHANCED)
+    cells = settle(frame.select(*keys).distinct(), "cells")
+    out = None
+    for term in M.ENHANCED:
+        total = F.aggregate(term.name, F.lit(0.0), lambda a, x: a + x)
+        part = M.gather_effect(cells, params, term).groupBy("draw_block").agg(
+            F.lit(term.name).alias("term"), F.count(term.name).alias("found"), F.sum(total).alias("effect_sum"))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
 
 
 # --- aggregates -----------------------------------------------------------------------
@@ -624,23 +687,30 @@ def swing_cells(spark, sf):
     return A.swing_cells(frame_of(spark, sf, samples.ENHANCED), M.key_columns(M.ENHANCED))
 
 
-def fitted(name: str, variant, terms) -> None:
+def fitted(name: str, variant, terms, fit) -> None:
+    """Whether the fit is stationary in every effect that has data."""
+
     def run(spark, sf):
         cells = A.swing_cells(frame_of(spark, sf, variant), M.key_columns(terms))
-        params = M.fit(cells, terms)
-        return params.select("term", *M.KEY_COLUMNS, F.round(F.col("draws")[0], 4).alias("effect"))
+        cells = settle(cells, "cells")
+        slopes = M.gradient(cells, fit(cells), terms)
+        flat = F.abs("slope") <= FLAT * F.sqrt(F.col("n").cast("double"))
+        return slopes.select("term", *M.KEY_COLUMNS, flat.alias("stationary"))
 
     QUERIES[name] = run
 
 
-fitted("fit_enhanced", samples.ENHANCED, M.ENHANCED)
-fitted("fit_hierarchical", samples.HIERARCHICAL, M.HIERARCHICAL)
+#: Slope of a fit, in standard errors of a sum of as many swings, that counts as flat.
+FLAT = 0.05
 
+fitted("fit_enhanced", samples.ENHANCED, M.ENHANCED, M.fit_enhanced)
+fitted("fit_hierarchical", samples.HIERARCHICAL, M.HIERARCHICAL, M.fit_hierarchical)
 
-def sizes_of(labels: DataFrame, variant) -> DataFrame:
-    """One row with the number of values of every index column."""
-    sizes = [F.count_if(F.col("col") == c).cast("int").alias(f"{c}_idx") for c in variant.labels]
-    return labels.agg(*sizes).withColumns({"zone_idx": F.lit(2), "zone_num_idx": F.lit(13)})
+
+def sizes_of(labels: DataFrame, variant) -> dict[str, int]:
+    """Number of values of every index column."""
+    counts = {r["col"]: r["count"] for r in labels.groupBy("col").count().collect()}  # one row per column
+    return {f"{c}_idx": counts.get(c, 0) for c in variant.labels} | {"zone_idx": 2, "zone_num_idx": 13}
 
 
 def made_up(salt: int) -> Callable[[Column], Column]:
@@ -655,16 +725,17 @@ def made_up(salt: int) -> Callable[[Column], Column]:
 
 def made_up_draws(labels: DataFrame, variant, terms) -> DataFrame:
     """A parameter table with a value for every key combination of the fitted labels."""
-    sizes = settle(sizes_of(labels, variant), "sizes")
-    out = None
+    sizes, blocks, out = sizes_of(labels, variant), S.CHAINS * S.DRAWS // S.BLOCK, None
     for salt, term in enumerate((M.INTERCEPT, *terms)):
-        keys = sizes
-        for k, c in zip(M.KEY_COLUMNS, term.keys):
-            keys = keys.withColumn(k, F.explode(F.sequence(F.lit(0), F.col(c) - 1)))
-        for k in M.KEY_COLUMNS[len(term.keys) :]:
-            keys = keys.withColumn(k, F.lit(0))
-        blocks = F.sequence(F.lit(0), F.lit(S.CHAINS * S.DRAWS // S.BLOCK - 1))
-        rows = keys.withColumn("draw_block", F.explode(blocks))
+        # a partitioned range of codes, read as the digits of the keys and the block
+        total = blocks
+        for c in term.keys:
+            total *= sizes[c]
+        rest, digits = F.floor(F.col("id") / blocks), {}
+        for k, c in reversed(list(zip(M.KEY_COLUMNS, term.keys))):
+            digits[k], rest = rest % sizes[c], F.floor(rest / sizes[c])
+        keys = [digits.get(k, F.lit(0)).cast("int").alias(k) for k in M.KEY_COLUMNS]
+        rows = labels.sparkSession.range(total).select(*keys, (F.col("id") % blocks).cast("int").alias("draw_block"))
 
         draws = F.transform(F.sequence(F.lit(0), F.lit(S.BLOCK - 1)), made_up(salt))
         part = rows.select(F.lit(term.name).alias("term"), *M.KEY_COLUMNS, "draw_block", draws.alias("draws"))
@@ -685,6 +756,17 @@ def stored_model(spark: SparkSession, sf: str, variant, terms) -> modelling.Trai
     return modelling.load_trained(spark, path, variant)
 
 
+@query
+def build_model(spark, sf):
+    """Labels per column of an encoding that is fitted, saved with its parameters and loaded."""
+    path, variant = new_folder(spark, "model"), samples.ENHANCED
+    encoding = samples.fit_encoding(train_sample(spark, sf), variant)
+    modelling.save_trained(modelling.Trained(encoding, made_up_draws(encoding.labels, variant, M.ENHANCED)), path)
+    trained = modelling.load_trained(spark, path, variant)
+    labels = trained.encoding.labels.groupBy("col").agg(F.count(F.lit(1)).alias("n"))
+    return labels.unionByName(trained.params.groupBy(F.col("term").alias("col")).agg(F.count(F.lit(1)).alias("n")))
+
+
 def scoring_inputs(spark, sf, variant, terms) -> tuple[DataFrame, DataFrame]:
     """The hold-out frame and the parameter table of a model variant."""
     trained = stored_model(spark, sf, variant, terms)
@@ -756,13 +838,24 @@ def evaluate_hold_out(spark, sf):
 
 @query
 def train_and_evaluate(spark, sf):
-    """Fit the two-way model on the training window, save and load it, score the hold-out."""
+    """Fit the two-way model on the training window, save and load it, score the hold-out. The
+    sizes of the report, and whether the model beats the training rate."""
     path = new_folder(spark, "model")
     variant, terms = samples.TWO_WAY, M.TWO_WAY
-    modelling.save_trained(modelling.train(train_sample(spark, sf, variant), variant, terms), path)
+    sampled = train_sample(spark, sf, variant)
+    modelling.save_trained(modelling.train(sampled, variant, terms), path)
     trained = modelling.load_trained(spark, path, variant)
-    scored = modelling.score_hold_out(sample(spark, sf, S.HOLD_OUT, variant), trained, variant, terms)
-    return V.evaluation_report(scored).withColumn("value", F.round("value", 3))
+    scored = settle(modelling.score_hold_out(sample(spark, sf, S.HOLD_OUT, variant), trained, variant, terms), "scored")
+    report = V.evaluation_report(scored)
+    sizes = report.groupBy().agg(
+        F.max(F.when(F.col("metric") == "n", F.col("value"))).alias("n"),
+        F.sum(F.when(F.col("metric").isin("fn", "tp"), F.col("value"))).alias("whiffs"),
+        F.count("value").cast("double").alias("metrics"),
+        F.max(F.when(F.col("metric") == "log_loss", F.col("value"))).alias("loss"),
+    )
+    rate = sampled.agg(F.avg("is_whiff")).scalar()
+    plain = V.log_loss(scored.select("is_whiff", rate.alias("score"))).scalar()
+    return sizes.select("n", "whiffs", "metrics", (F.col("loss") < plain).alias("beats_the_rate"))
 
 
 @query
@@ -786,6 +879,7 @@ evaluated("brier_score", V.brier_score)
 evaluated("log_loss", V.log_loss)
 evaluated("confusion_matrix", V.confusion_matrix)
 evaluated("classification_report", V.classification_report)
+evaluated("classification_averages", V.classification_averages)
 evaluated("rate_summary", V.rate_summary)
 evaluated("metrics_by_group", lambda df: V.metrics_by_group(df, "pitch_type"))
 evaluated("metrics_by_zone", lambda df: V.metrics_by_group(df, "zone", both_classes=False))
@@ -798,3 +892,10 @@ evaluated("score_histogram", V.score_histogram)
 evaluated("residuals", lambda df: V.residuals(df).select("game_pk", "batter", "pitcher", "score", "residual"))
 evaluated("evaluation_report", V.evaluation_report)
 evaluated("evaluation_report_by_league", lambda df: V.evaluation_report(df, group_cols=["league"]))
+
+
+@query
+def evaluation_report_unscored(spark, sf):
+    """The report on a frame where every seventh pitcher has no score."""
+    gaps = F.when(F.col("pitcher") % 7 != 0, F.col("score"))
+    return rounded(V.evaluation_report(views.scored_view(spark, sf).withColumn("score", gaps), unscored="drop"))

@@ -9,7 +9,7 @@ FIRST_AS_OF, AS_OF = "2000-07-01", "2001-07-01"
 SEASONS = tuple(
     (league, year, f"{year}-04-01", f"{year}-09-30")
     for league in ("major", "minor")
-    for year in range(1998, 2002)
+    for year in range(1995, 2002)
 )
 
 # posterior draws made up from the label indexes: chains, draws per chain, draws per block

@@ -8,9 +8,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+# A batter is forty parts, so there are more at a larger scale; every tenth one has no player row.
+# The descriptions and pitch codes.
 PITCH_VIEW = """
 SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS game_pk, CAST(o_orderdate AS DATE) AS game_date, year(o_orderdate) AS game_year,
-  l_partkey % 50 AS batter, l_suppkey AS pitcher, l_linenumber AS inning,
+  CAST(floor(l_partkey / 40) AS BIGINT) AS batter, l_suppkey AS pitcher, l_linenumber AS inning,
   CAST(l_quantity AS INT) % 3 AS outs_when_up,
   CASE WHEN CAST(l_quantity AS INT) % 2 = 0 THEN 'Top' ELSE 'Bot' END AS inning_topbot,
   concat('T', CAST(o_custkey % 30 AS STRING)) AS home_team,
@@ -28,8 +30,8 @@ SELECT CAST(floor(l_orderkey / 10) AS BIGINT) AS game_pk, CAST(o_orderdate AS DA
   CASE WHEN CAST(l_quantity AS INT) % 9 IN (2, 5) THEN l_discount * 6 END AS estimated_ba_using_speedangle,
   CASE WHEN CAST(l_quantity AS INT) % 9 IN (2, 5) THEN l_discount * 6 + l_tax * 15 END AS estimated_slg_using_speedangle,
   CASE WHEN l_suppkey % 4 = 0 THEN 'L' ELSE 'R' END AS p_throws,
-  CASE WHEN l_partkey % 5 = 0 THEN CASE WHEN l_suppkey % 4 = 0 THEN 'R' ELSE 'L' END
-       WHEN l_partkey % 5 IN (1, 2) THEN 'L' ELSE 'R' END AS stand,
+  CASE WHEN floor(l_partkey / 40) % 5 = 0 THEN CASE WHEN l_suppkey % 4 = 0 THEN 'R' ELSE 'L' END
+       WHEN floor(l_partkey / 40) % 5 IN (1, 2) THEN 'L' ELSE 'R' END AS stand,
   l_linenumber % 4 AS balls, CAST(l_quantity AS INT) % 3 AS strikes,
   CASE l_linestatus WHEN 'F' THEN 'major' ELSE 'minor' END AS league
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -40,8 +42,9 @@ SELECT s_suppkey AS player_id, concat(s_name, ', N', CAST(s_nationkey AS STRING)
 """
 
 BATTERS_VIEW = """
-SELECT p_partkey AS player_id, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE replace(p_name, ' ', ', ') END AS player_name
-FROM part WHERE p_partkey < 45
+SELECT player_id, CASE WHEN player_id % 3 = 0 THEN full_name ELSE replace(full_name, ' ', ', ') END AS player_name
+FROM (SELECT CAST(floor(p_partkey / 40) AS BIGINT) AS player_id, min(p_name) AS full_name FROM part GROUP BY 1) grouped
+WHERE player_id % 10 <> 9
 """
 
 SCORED_VIEW = """

@@ -34,18 +34,36 @@ def test_columns_are_found_by_name_in_each_file(spark, rows, tmp_path):
     write(tmp_path / "a.csv", HEADER, [line("2000-04-01", 1, x="NA", pitch="null", zone="5.0")])
     turned = HEADER[::-1]
     write(tmp_path / "b.csv", turned, [line("2000-04-02", 2, x="nan", zone="")[::-1]])
-    write(tmp_path / "c.csv", [*HEADER, "extra"], [[*line("2000-04-03", 3, x="bad"), "1"]])
+    write(tmp_path / "c.csv", [*HEADER, "extra"], [[*line("2000-04-03", 3, x="0.5"), "1"]])
     write(tmp_path / "d.csv", ['"game_pk"', '"game_date"'], [["4", '"2000-04-04"']])
     got = rows(landing.read_pitch_csv(spark, str(tmp_path)), "game_pk", "game_date", "plate_x", "pitch_type", "zone", "pitcher")
     day = dt.date(2000, 4, 1)
     assert got == [
         (1, day, None, None, 5, 8),
         (2, day + dt.timedelta(1), None, "FF", None, 8),
-        (3, day + dt.timedelta(2), None, "FF", 5, 8),
+        (3, day + dt.timedelta(2), 0.5, "FF", 5, 8),
         (4, day + dt.timedelta(3), None, None, None, None),
     ]
 
 
+@pytest.mark.parametrize("bad", [{"x": "abc"}, {"zone": "five"}, {"day": "2000-13-01"}])
+def test_unreadable_cells_fail(spark, tmp_path, bad):
+    cells = {"day": "2000-04-01", **bad}
+    write(tmp_path / "a.csv", HEADER, [line(cells.pop("day"), 1, **cells)])
+    with pytest.raises(Exception, match="unreadable"):
+        landing.read_pitch_csv(spark, str(tmp_path)).collect()
+
+
+def test_files_without_the_key_keep_their_rows(spark, rows, tmp_path):
+    write(tmp_path / "a.csv", HEADER, [line("2000-04-01", 1), [*line("2000-04-01", 1)[:6], "game_pk", "5", "2000"]])
+    write(tmp_path / "b.csv", ["GAME_PK", *HEADER[1:]], [line("2000-04-02", 2)])
+    write(tmp_path / "c.csv", HEADER[1:], [line("2000-04-03", 3)[1:]])
+    (tmp_path / "empty.csv").write_text("")
+    got = rows(landing.read_pitch_csv(spark, str(tmp_path)), "game_date", "game_pk", "pitch_type")
+    day = dt.date(2000, 4, 1)
+    assert got == [(day, 1, "FF"), (day, 1, "game_pk"), (day + dt.timedelta(1), None, "FF"), (day + dt.timedelta(2), None, "FF")]
+
+
 def test_players_are_read_once_each(spark, rows, tmp_path):
     write(tmp_path / "p.csv", ["player_name", "player_id"], [['"Smith, Bob"', "2"], ['"Ada, Al"', "2"], ["Zed", "1"], ["x", ""]])
     assert rows(landing.read_player_csv(spark, str(tmp_path)), "player_id", "player_name") == [(1, "Zed"), (2, "Ada, Al")]
@@ -133,6 +151,40 @@ def test_stream_takes_each_file_once(spark, landed, tmp_path):
     assert spark.read.parquet(table).count() == 9
 
 
+def test_stream_and_batch_share_a_table(spark, rows, landed, tmp_path):
+    table, progress = str(tmp_path / "t"), str(tmp_path / "progress")
+    source = load.Landing(str(landed), landing.landed_schema())
+    args = (spark, str(landed), "major", HEADER, table, progress, "2000-04-03", landing.landed_schema(), SEASONS)
+    stream_append(*args)
+    assert spark.read.parquet(table).count() == 4
+    for _ in range(2):
+        load.incremental_append(spark, source, table, "2001-07-01", SEASONS)
+        assert rows(spark.read.parquet(table).groupBy("league").count()) == [("major", 8), ("minor", 8)]
+    stream_append(*args)
+    assert spark.read.parquet(table).count() == 16
+    assert not list((tmp_path / "t").glob("_spark_metadata"))
+
+
+def test_a_load_written_twice_replaces_itself(spark, frame, tmp_path):
+    df = frame("a int, league string, game_year int", [(1, "major", 2000), (2, "minor", 2001)])
+    for name in ("x", "x", "y"):
+        tables.append_pitches(df, str(tmp_path / "t"), load=name)
+    assert tables.read_pitches(spark, str(tmp_path / "t")).count() == 4
+    assert tables.newest_seasons(spark, str(tmp_path / "t")) == {"major": 2000, "minor": 2001}
+    assert tables.newest_seasons(spark, str(tmp_path / "none")) == {}
+
+
+def test_clean_players_and_refresh(spark, rows, landed, tmp_path):
+    base = str(tmp_path / "base")
+    load.pipeline_run(spark, str(landed), base, "2001-07-01", SEASONS)
+    for _ in range(2):
+        load.clean_players(spark, base)
+        assert rows(spark.read.parquet(f"{base}/pitchers"), "player_id", "player_name", "p_throws") == [(7, "A B", None), (8, "C", None)]
+    before = rows(spark.read.parquet(f"{base}/pitches").drop("load"))
+    load.refresh_metrics(spark, f"{base}/pitches")
+    assert rows(spark.read.parquet(f"{base}/pitches").drop("load")) == before
+
+
 def test_stream_refuses_another_column_order(spark, landed, tmp_path):
     args = (str(landed), "minor", HEADER, str(tmp_path / "t"), str(tmp_path / "p"), "2001-07-01")
     with pytest.raises(Exception):
