@@ -20,13 +20,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchlytics.storage import settle
@@ -144,71 +144,75 @@ def edited(text: str, other: str) -> str:
 FIELDS = [
     ("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
-    ("kind", pa.string()), ("part", pa.int32()), ("text", pa.string()),
 ]
 SCHEMA = ("id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-          "near_edited double, near_next double, kind string, part int, text string")
+          "near_edited double, near_next double")
 
 
 def _row(id_: int | None, text: str, own: str, following: str, its: str) -> tuple:
     changed = edited(text, following)
     print_ = fingerprint(changed)
     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-    return id_, len(text), digest, own, print_, likeness(own, print_), likeness(own, its), None, None, None
+    return id_, len(text), digest, own, print_, likeness(own, print_), likeness(own, its)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), FIELDS, strict=True)], [n for n, _ in FIELDS])
 
 
-def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: fingerprint, that of the text edited by its next document's start, and how
-    like the edited and the next document are.
+def _place(id_: int | None, tie: int) -> tuple[bool, int, int]:
+    """Sort key: descending id, null ids last, then the hash of the text."""
+    return id_ is None, 0 if id_ is None else ~id_, tie
+
 
-    One range shuffle puts the rows in order; a task walks its part and knows every next
-    document but the last's. Each part's first and last rows are kept aside and joined, which
-    adds two rows per part."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def in_order_with_next_head(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``text``, ``part`` and ``ghost``: the rows dealt to parts by their order, sorted
+    within each, and the first row of every part once more, as a ghost at the end of the part
+    before. The last part ends in the first part's ghost.
+
+    Ids and text hashes alone are sorted first; one bound per part, whose number is that of the
+    shuffle partitions, comes to the driver. The texts are shuffled once."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col("id").desc_nulls_last(), F.col("tie").asc()]
-    ordered = (
-        docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("id", "text")
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    placed = settle(rows.select("id", "tie").repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()), "order")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.bitwise_not("id").alias("place"), "tie", "id"))
+    heads = placed.groupBy("part").agg(first.alias("x")).select("x.id", "x.tie").collect()
+    bounds = sorted(_place(r["id"], r["tie"]) for r in heads)
+
+    def route(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        out = []
+        for id_, tie in zip(ids.to_pylist(), ties.to_pylist(), strict=True):
+            place = _place(id_, tie)
+            part = bisect_right(bounds, place) - 1
+            out.append([part, (part - 1) % len(bounds)] if place == bounds[part] else [part])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    routed = rows.withColumn("parts", F.arrow_udf(route, "array<int>")("id", "tie"))
+    dealt = routed.select("id", "text", "tie", F.posexplode("parts").alias("ghost", "part"))
+    return dealt.repartitionById(max(1, len(bounds)), "part").sortWithinPartitions("ghost", *keys).select("id", "text", "ghost")
+
+
+def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: fingerprint, that of the text edited by its next document's start, and how
+    like the edited and the next document are. A task walks one part in order."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, out, size = TaskContext.get().partitionId(), None, [], 0
+        last, out, size = None, [], 0
         for batch in batches:
-            for id_, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+            for id_, text, ghost in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("ghost").to_pylist(), strict=True):
                 text = text.as_py()
                 own = fingerprint(text)
-                if last is None:
-                    out.append((id_, *[None] * 6, "head", part, text))
-                else:
+                if last is not None:
                     out.append(_row(*last, text, own))
-                last, size = (id_, text, own), size + len(text)
-                if size > 4 << 20:
+                # Equal rows at the head of a part give equal ghosts; the first one counts.
+                last, size = None if ghost else (id_, text, own), size + len(text)
+                if out and size > 4 << 20:
                     yield _batch(out)
                     out, size = [], 0
-        if last is not None:
-            out.append((last[0], *[None] * 6, "tail", part, last[1]))
         if out:
             yield _batch(out)
 
-    walked = settle(ordered.mapInArrow(walk, SCHEMA), "walked")
-    tails, heads = (walked.where(F.col("kind") == k).select("part", "id", "text") for k in ("tail", "head"))
-    # Part numbers only: one per task of the walk.
-    order = Window.orderBy("part")
-    follows = tails.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("to"))
-    seams = (
-        tails.join(follows, "part").join(heads.select(F.col("part").alias("to"), F.col("text").alias("next")), "to").select("id", "text", "next")
-    )
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            yield _batch([_row(i, t, fingerprint(t), n, fingerprint(n)) for i, t, n in rows])
-
-    result = walked.where("kind IS NULL").unionByName(seams.mapInArrow(close, SCHEMA)).drop("kind", "part", "text")
-    return result.withColumnRenamed("id", id_col)
+    walked = in_order_with_next_head(docs, id_col, text_col).mapInArrow(walk, SCHEMA)
+    return walked.withColumnRenamed("id", id_col)
