@@ -126,7 +126,7 @@ def _added(columns: Sequence[str]) -> Column:
     first, *rest = (F.col(c) for c in columns)
     if not rest:
         return first
-    known = reduce(lambda a, b: a & b, (c.isNotNull() for c in rest))
+    known = reduce(lambda a, b: a & b, (c.isNotNull() for c in (first, *rest)))
     return F.when(known, F.transform(first, lambda x, i: reduce(lambda a, c: a + c[i], rest, x)))
 
 
@@ -134,12 +134,11 @@ def _added(columns: Sequence[str]) -> Column:
 
 
 def _parts(terms: Sequence[Term]) -> list[list[Term]]:
-    """Terms that share a player are summed per player first, the others together."""
-    parts: dict[str, list[Term]] = {}
+    """Terms that share a player are summed per player first, the others together and last."""
+    parts: dict[str, list[Term]] = {"batter_idx": [], "pitcher_idx": [], "groups": []}
     for t in terms:
-        lead = t.keys[0] if t.keys[0] in ("batter_idx", "pitcher_idx") else "groups"
-        parts.setdefault(lead, []).append(t)
-    return list(parts.values())
+        parts[t.keys[0] if t.keys[0] in parts else "groups"].append(t)
+    return [part for part in parts.values() if part]
 
 
 def score(frame: DataFrame, params: DataFrame, terms: Sequence[Term], name: str = "score") -> DataFrame:
@@ -147,30 +146,35 @@ def score(frame: DataFrame, params: DataFrame, terms: Sequence[Term], name: str
     the summed effects. NULL where a parameter is missing.
 
     Swings are collapsed to distinct index combinations first. The effects of a batter, of a
-    pitcher and of the groups are each summed on their own, far smaller, distinct keys, so a
-    cell meets three arrays per draw block and not one per term. Cells and blocks spread the
-    work over tasks; only (sum, count) leaves a block."""
+    pitcher and of the groups are each summed on their own, far smaller, distinct keys and
+    settled, so that the planner knows their sizes. Cells meet the players first, with keys
+    only; the groups, which levels bound and not players, come last and carry the intercept, so
+    no cell is joined on its block alone. Only (sum, count) leaves a block."""
     keys = key_columns(terms)
     cells = settle(frame.select(*keys).distinct(), "cells")
-    intercept = effects_of(params, INTERCEPT, "_intercept")
+    # As long as the chains and no longer, whatever the number of players.
+    intercept = settle(effects_of(params, INTERCEPT, "_intercept"), "intercept")
     blocks = intercept.agg(F.sort_array(F.collect_list("draw_block"))).scalar()
 
-    scored = cells.withColumn("draw_block", F.explode(blocks)).join(intercept, "draw_block")
-    sums = ["_intercept"]
-    for i, part in enumerate(_parts(terms)):
+    scored = cells.withColumn("draw_block", F.explode(blocks))
+    parts = _parts(terms)
+    for i, part in enumerate(parts):
         part_keys = key_columns(part)
         summed = cells.select(*part_keys).distinct().withColumn("draw_block", F.explode(blocks))
         for t in part:
             summed = summed.join(effects_of(params, t, f"_{t.name}"), [*t.keys, "draw_block"], "left")
-        summed = summed.select(*part_keys, "draw_block", _added([f"_{t.name}" for t in part]).alias(f"_part{i}"))
+        columns, kept = [f"_{t.name}" for t in part], [*part_keys, "draw_block"]
+        if part is parts[-1]:
+            summed = summed.join(F.broadcast(intercept), "draw_block").withColumn("_draws", F.size("_intercept"))
+            columns, kept = ["_intercept", *columns], [*kept, "_draws"]
+        summed = settle(summed.select(*kept, _added(columns).alias(f"_part{i}")), "part")
         scored = scored.join(summed, [*part_keys, "draw_block"], "left")
-        sums.append(f"_part{i}")
 
     likely = F.aggregate(
-        _added(sums), F.lit(0.0), lambda total, logit: total + 1.0 / (1.0 + F.exp(-logit))
+        _added([f"_part{i}" for i in range(len(parts))]), F.lit(0.0), lambda total, logit: total + 1.0 / (1.0 + F.exp(-logit))
     )
     probabilities = (
-        scored.select(*keys, likely.alias("_likely"), F.size("_intercept").alias("_draws"))
+        scored.select(*keys, likely.alias("_likely"), "_draws")
         .groupBy(*keys)
         .agg(
             F.when(F.count("_likely") == F.count(F.lit(1)), F.sum("_likely") / F.sum("_draws")).alias(name)
