@@ -7,12 +7,15 @@ their probability Jaccard similarity. Arrivals come in order of time, so a docum
 soon as all registers are filled and no later arrival can change one: later shingles cost one
 random number each.
 
-Registers are banded. In each bucket of a band every text is joined to the bucket's least text,
-and these pairs are verified by their exact similarity, so a bucket of n texts makes n pairs.
-Verified pairs give classes. What remains are buckets that hold texts of several classes: there
-the members outside the bucket's largest class are compared with all members, by registers, in
-blocks of bounded size, and what passes is verified too. Thus no pair of texts that share a
-bucket and reach the threshold stays in two classes, and no bucket is expanded into all pairs.
+Registers are banded. In each bucket of a band every text is joined to the bucket's best
+connected text, that whose buckets are the largest, which is the original in a group of its
+copies. These pairs are verified by their exact similarity, so a bucket of n texts makes n
+pairs. Verified pairs give classes. What remains are buckets that hold texts of several classes:
+there the members outside the bucket's largest class are compared with all members in blocks of
+bounded size, first by registers, then exactly, each pair in the first bucket that it shares. A
+block tells only links between classes that it has not joined already, fewer than it has
+members. Thus no pair of texts that share a bucket and reach the threshold stays in two classes,
+and no bucket is expanded into all pairs.
 
 Equal texts are one text and always one class. Words are runs of letters and digits in lower
 case; a text of one to four words is one shingle, a text without words is like equal texts
@@ -173,13 +176,15 @@ def packed(docs: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFr
     return settle(one.mapInArrow(run, "node long, grams binary, often binary"), "shingles")
 
 
+def weighted(grams: bytes, often: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A weighted set from its packed form."""
+    x = np.frombuffer(grams, np.uint32)
+    return x, weights(np.frombuffer(often, "<u4")) if often else np.ones(len(x))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of at least the similarity, with it. ``texts``: from ``packed``."""
 
-    def weighted(grams: bytes, often: bytes) -> tuple[np.ndarray, np.ndarray]:
-        x = np.frombuffer(grams, np.uint32)
-        return x, weights(np.frombuffer(often, "<u4")) if often else np.ones(len(x))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -195,48 +200,76 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "grams_a", "often_a", "grams_b", "often_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def compared_in_blocks(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and two classes whose registers agree often enough.
-    ``members``: bucket, node, label, registers, ``major`` (of the bucket's largest class) and
-    the number of ``blocks`` of the bucket. Members of the major class stay in their block; the
-    others also go to every block of the bucket."""
+class Joined:
+    """Classes that a block has joined."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def of(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.parent[self.of(x)] = self.of(y)
+
+
+def block_links(band: int, group: list[tuple], least: float) -> list[tuple[int, int]]:
+    """Links between classes of one block: rows of (in the block, probe, node, label, registers,
+    grams, often)."""
+    here, probes = [r for r in group if r[0]], [r for r in group if r[1]]
+    if not here or not probes:
+        return []
+    labels = np.array([r[3] for r in here])
+    table = np.array([r[4] for r in here], np.int32)
+    joined, links = Joined(), []
+    for _, _, node, label, registers, *packed_ in probes:
+        same = table == np.array(registers, np.int32)
+        agree = same.sum(axis=1)
+        first = same.reshape(len(here), BANDS, ROWS).all(axis=2).argmax(axis=1)
+        near = np.flatnonzero((labels != label) & (agree >= AGREE) & (first == band))
+        mine = weighted(*packed_) if len(near) else None
+        for i in near[np.argsort(-agree[near], kind="stable")]:
+            other = here[i]
+            if joined.of(label) != joined.of(other[3]) and similarity(mine, weighted(*other[5:])) >= least - 1e-9:
+                joined.join(label, other[3])
+                links.append((min(node, other[2]), max(node, other[2])))
+    return links
+
+
+def linked_in_blocks(members: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between classes of a bucket. ``members``: bucket, band, node, label,
+    registers, grams, often, ``major`` (of the bucket's largest class) and the number of
+    ``blocks`` of the bucket. Members of the major class stay in their block; the others also
+    go to every block of the bucket."""
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")
     placed = members.withColumn("own", own).withColumn(
         "block", F.explode(F.when(F.col("major"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
     order = ["bucket", "block"]
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = (
-        placed.select(*order, (F.col("own") == F.col("block")).alias("here"), (~F.col("major")).alias("probe"), "node", "label", "registers")
+        placed.select(*order, "band", (F.col("own") == F.col("block")).alias("here"), (~F.col("major")).alias("probe"),
+                      "node", "label", "registers", "grams", "often")
         .repartition(parts, *order).sortWithinPartitions(*order)
     )
 
-    def pairs(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        here = [r for r in group if r[0]]
-        probes = [r for r in group if r[1]]
-        if not here or not probes:
-            return
-        nodes, labels = np.array([r[2] for r in here]), np.array([r[3] for r in here])
-        table = np.array([r[4] for r in here], np.int32)
-        for _, _, node, label, registers in probes:
-            for i in np.flatnonzero((labels != label) & ((table == np.array(registers, np.int32)).sum(axis=1) >= AGREE)):
-                yield (node, int(nodes[i])) if node < nodes[i] else (int(nodes[i]), node)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
 
-        def found(rows: list[tuple]) -> pa.RecordBatch:
-            some = sorted(set(pairs(rows)))
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in some], pa.int64()) for i in (0, 1)], ["a", "b"])
+        def found() -> pa.RecordBatch:
+            links = block_links(key[2], group, least)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for bucket, block, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (bucket, block) != key:
+            for bucket, block, band, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, block, band) != key:
                     if group:
-                        yield found(group)
-                    key, group = (bucket, block), []
+                        yield found()
+                    key, group = (bucket, block, band), []
                 group.append(tuple(rest))
         if group:
-            yield found(group)
+            yield found()
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -245,36 +278,36 @@ def classes(docs: DataFrame, *, text_col: str = "text", least: float = LEAST) ->
     """A written row per distinct text: ``key`` and ``label``, equal for texts of one class."""
     texts = signed(docs, text_col)
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("registers", b * ROWS + 1, ROWS)))
-    banded = texts.where("registers IS NOT NULL").select("node", F.explode(band).alias("bucket"))
-    buckets = settle(
-        banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1"), "buckets")
+    banded = texts.where("registers IS NOT NULL").select("node", F.posexplode(band).alias("band", "bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    inside = settle(banded.join(shared, "bucket"), "inside")
+    degree = inside.groupBy("node").agg(F.sum("n").alias("degree"))
+    best = F.max(F.struct("degree", "node")).getField("node").alias("best")
+    leaders = inside.join(degree, "node").groupBy("bucket").agg(best)
     stars = settle(
-        banded.join(buckets, "bucket").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+        inside.join(leaders, "bucket").where("node <> best").select(F.col("best").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
-    def shingled(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def shingled(nodes: DataFrame) -> DataFrame:
         return packed(docs, texts.select("node", "key").join(nodes, "node"), text_col)
 
-    links = settle(verified(stars, shingled(stars), least).select("a", "b"), "links")
-    labels = components(links)
-    labelled = texts.select("node", "key", "registers").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = settle(labelled, "labelled")
+    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    shingle = shingled(ends)
+    links = settle(verified(stars, shingle, least).select("a", "b"), "links")
+    labelled = settle(
+        texts.select("node", "key").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
 
     # A bucket of two had its only pair verified; the others count if they hold several classes.
-    inside = (
-        labelled.where("registers IS NOT NULL").select("node", "label", F.explode(band).alias("bucket"))
-        .join(buckets.where("n > 2").select("bucket", "n"), "bucket")
-    )
-    sizes = inside.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
-    open_ = settle(
+    labels = inside.where("n > 2").join(labelled.select("node", "label"), "node")
+    sizes = labels.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+    open_ = (
         sizes.groupBy("bucket").agg(F.max(F.struct("m", "label")).getField("label").alias("major"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
-        .where("k > 1").select("bucket", "major", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "open")
-    members = (
-        labelled.where("registers IS NOT NULL").select("node", "label", "registers", F.explode(band).alias("bucket")).join(open_, "bucket")
-        .select("bucket", "node", "label", "registers", (F.col("label") == F.col("major")).alias("major"), "blocks")
+        .where("k > 1").select("bucket", "major", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
     )
-    more = settle(compared_in_blocks(members).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    late = verified(more, shingled(more), least)
+    members = settle(
+        labels.select("bucket", "band", "node", "label").join(settle(open_, "open"), "bucket")
+        .select("bucket", "band", "node", "label", (F.col("label") == F.col("major")).alias("major"), "blocks"), "members")
+    full = members.join(texts.select("node", "registers"), "node").join(shingle, "node")
+    late = linked_in_blocks(full, least)
     of = lambda x: labelled.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
     joins = settle(late.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "joins")
     merged = components(joins).select(F.col("node").alias("label"), F.col("label").alias("merged"))
