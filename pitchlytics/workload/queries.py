@@ -72,13 +72,13 @@ def headers(spark: SparkSession, sf: str) -> dict[str, list[str]]:
 
 
 def land(spark: SparkSession, sf: str) -> str:
-    """The driver tables as landed CSV files, one folder per league and day and per player kind."""
+    """The driver tables as landed CSV files, one folder per league and player kind."""
 
     def write(path: str) -> None:
-        pitches = views.pitch_view(spark, sf).withColumn("day", F.col("game_date").cast("string"))
+        pitches = views.pitch_view(spark, sf)
         for league, columns in headers(spark, sf).items():
-            rows = pitches.where(F.col("league") == league).select(*columns, "day").repartition("day")
-            rows.write.partitionBy("day").option("header", True).csv(f"{path}/{league}")
+            rows = pitches.where(F.col("league") == league).select(*columns)
+            rows.write.option("header", True).csv(f"{path}/{league}")
         for kind, players in (("pitchers", views.pitchers_view), ("batters", views.batters_view)):
             players(spark, sf).write.option("header", True).csv(f"{path}/{kind}")
 
