@@ -72,23 +72,33 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int, an
     """Least edits from the item to a stretch of text, and the stretch's end, along diagonals
     (place in text less place in item) ``low`` to ``high``; None if above ``most``. The stretch
     starts anywhere or, if ``anchored``, at 0."""
-    far = len(item) + len(text) + 1
-    steps = np.arange(high - low + 1)
+    n, m, width = len(item), len(text), high - low + 1
+    far = n + m + 1
+    steps = np.arange(width, dtype=np.int32)
     place = steps + low  # place in text of each diagonal's cell, in row 0
-    row = np.where((place < 0) | (place > len(text)), far, place if anchored else 0)
-    padded = np.full(len(text) + 2 * len(steps) + len(item) + 2, -1, np.int64)
-    shift = max(0, -low) + 1
-    padded[shift:shift + len(text)] = text
-    for i, c in enumerate(item):
-        j = place + i  # the text character that a diagonal step consumes
-        step = row + (padded[np.clip(j + shift, 0, len(padded) - 1)] != c)
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-        row = np.minimum.accumulate(step - steps) + steps
-        row[(j + 1 < 0) | (j + 1 > len(text))] = far
-        if row.min() > most:
+    row = np.where((place < 0) | (place > m), far, place if anchored else 0).astype(np.int32)
+    # Room for every diagonal in every row; what is not text differs from all characters.
+    shift = max(0, -low)
+    padded = np.full(shift + max(m, high + n) + 1, -1, np.int64)
+    padded[shift:shift + m] = text
+    differs = np.empty(width, np.int32)
+    for i, c in enumerate(item.tolist()):
+        at = low + i + shift  # the text characters that diagonal steps consume
+        np.not_equal(padded[at:at + width], c, out=differs, casting="unsafe")
+        differs += row
+        np.minimum(differs[:-1], row[1:] + 1, out=differs[:-1])
+        differs -= steps
+        np.minimum.accumulate(differs, out=row)
+        row += steps
+        end = low + i + 1  # place in text after this row, of the first diagonal
+        if end < 0:
+            row[:-end] = far
+        if end + width - 1 > m:
+            row[max(0, m - end + 1):] = far
+        if i % 8 == 7 and row.min() > most:
             return None
     best = int(row.argmin())
-    return int(row[best]), int(place[best]) + len(item)
+    return (int(row[best]), int(place[best]) + n) if row[best] <= most else None
 
 
 class Items:
@@ -108,20 +118,26 @@ class Items:
         place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(h)) for h in hashes]])
         order = np.argsort(all_, kind="stable")
         self.hash, self.item, self.place = all_[order], owner[order], place[order]
+        # Of each hash in order, where the run of its equals ends.
+        self.end = np.searchsorted(self.hash, self.hash, "right")
         self.maybe = np.zeros(1 << BITS, bool)
         self.maybe[(self.hash >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Item and diagonal of every q-gram shared with an item that shares enough of them."""
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, place in it and diagonal of every q-gram shared with an item that shares enough."""
         h = gram_hashes(codes)
         at = np.flatnonzero(self.maybe[(h >> np.uint64(64 - BITS)).astype(np.int64)])
-        low, high = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-        count = high - low
+        h = h[at]
+        low = np.searchsorted(self.hash, h)
+        low[low == len(self.hash)] = 0
+        same = self.hash[low] == h
+        at, low = at[same], low[same]
+        count = self.end[low] - low
         each = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        item, diagonal = self.item[each], np.repeat(at, count) - self.place[each]
+        item, place = self.item[each], self.place[each]
         enough = np.bincount(item, minlength=len(self.ids)) >= self.least
-        keep = enough[item]
-        return item[keep], diagonal[keep]
+        keep = np.flatnonzero(enough[item])
+        return item[keep], place[keep], np.repeat(at, count)[keep] - place[keep]
 
     def find(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """Item, start, stop and edits of each region of the text that holds an item."""
@@ -129,14 +145,16 @@ class Items:
             return []
         codes, at = compared(text)
         found = []
-        item, diagonal = self.hits(codes)
-        for x in np.unique(item):
-            k, own = int(self.edits[x]), np.sort(diagonal[item == x])
+        item, place, diagonal = self.hits(codes)
+        for x in np.flatnonzero(np.bincount(item, minlength=1)):
+            mine = np.flatnonzero(item == x)
+            mine = mine[np.argsort(diagonal[mine], kind="stable")]
+            k, own, places = int(self.edits[x]), diagonal[mine], place[mine]
             length, width = len(self.codes[x]), k + 1
             band, count = np.unique(np.concatenate([own // width, own // width - 1]), return_counts=True)
             best: list[tuple[int, int, int]] = []
             for b in band[count >= self.least[x]]:
-                region = self.verify(int(x), codes, own, int(b) * width, (int(b) + 2) * width - 1, length, k)
+                region = self.verify(int(x), codes, own, places, int(b) * width, (int(b) + 2) * width - 1)
                 if region:
                     best.append(region)
             # Overlapping bands tell of one region: the fewest edits win, then the first.
@@ -147,10 +165,14 @@ class Items:
             found += [(self.ids[x], int(at[a]), int(at[b - 1]) + 1, e) for e, a, b in taken]
         return sorted(found, key=lambda f: (f[1], f[2], f[0] is None, f[0] or 0))
 
-    def verify(self, x: int, codes: np.ndarray, diagonals: np.ndarray, low: int, high: int, length: int, k: int) -> tuple[int, int, int] | None:
+    def verify(self, x: int, codes: np.ndarray, diagonals: np.ndarray, places: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
         """Edits, start and stop of the best region along a band."""
-        item = self.codes[x]
-        mine = diagonals[np.searchsorted(diagonals, low):np.searchsorted(diagonals, high, "right")]
+        item, k, length = self.codes[x], int(self.edits[x]), len(self.codes[x])
+        band = slice(np.searchsorted(diagonals, low), np.searchsorted(diagonals, high, "right"))
+        mine, of = diagonals[band], places[band]
+        # A repeated q-gram counts once, in the item and in the text.
+        if min(len(np.unique(of)), len(np.unique(mine + of))) < self.least[x]:
+            return None
         distinct, count = np.unique(mine, return_counts=True)
         for d in distinct[count == length - Q + 1]:
             if d >= 0 and np.array_equal(codes[d:d + length], item):
@@ -185,7 +207,8 @@ def _finder(block: Broadcast, rate: float):
             rows = ([dict(zip(("item_id", "start", "stop", "edits"), f, strict=True)) for f in items.find(t or "")] for t in texts.to_pylist())
             yield pa.array(rows, LEAKS)
 
-    return F.arrow_udf(run, f"array<{LEAK}>")
+    # Else a filter that the planner adds before an explode would scan the texts once more.
+    return F.arrow_udf(run, f"array<{LEAK}>").asNondeterministic()
 
 
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE, text_col: str = "text",
