@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the
-columns of ``documents``; the last returns the token files' rows."""
+columns of ``documents``, whatever their names; the last returns the token files' rows. Null and
+empty texts go in the first stage, rows that agree in id and text are one after the second, a
+null source is a source of its own, null ids come last. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -9,16 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchlytics.llm import decontaminate, languages, mixing, nearcopies, tokenfile
-from pitchlytics.llm.helpers import read_table
+from pitchlytics.llm.helpers import ROW, boxed, read_table, unboxed
 from pitchlytics.llm.workload import MIX_WEIGHTS, held_out, vocabulary
 from pitchlytics.storage import new_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: with a letter, and nearer to a learned language than noise is."""
-    judged = languages.predict(docs, languages.learn(docs.where(~held_out())))
+    judged = languages.predict(boxed(docs), languages.learn(docs.where(~held_out())), text_col=f"{ROW}.text")
     spoken = (F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") > languages.NOISE)
-    return judged.where(spoken).select(docs.columns)
+    return unboxed(judged.where(spoken), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,14 +30,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    clean = decontaminate.without_leaks(boxed(docs), read_table(spark, sf_dir, "benchmark"), text_col=f"{ROW}.text")
+    return unboxed(clean, docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: not at all, once or twice."""
-    mixed = mixing.mix(docs, F.array("source"), MIX_WEIGHTS, share=1.5, passes=2, seed=42)
-    taken = mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_times"))))
-    return taken.select(docs.columns)
+    mixed = mixing.mix(boxed(docs), F.array(f"{ROW}.source"), MIX_WEIGHTS, share=1.5, passes=2, seed=42,
+                       id_col=f"{ROW}.doc_id", text_col=f"{ROW}.text")
+    return unboxed(mixed.select(ROW, F.explode(F.array_repeat(F.lit(1), F.col("mix_times")))), docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,9 @@ import hashlib
 import math
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -128,8 +130,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int, int]]:
     """Noise-like runs that touch no known span: kind, start, stop, step of -log10 p, class."""
     found = []
+    known = sorted(known, key=lambda s: s[1])
+    starts, ends = [s[1] for s in known], list(accumulate((s[2] for s in known), max))
     for m in CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for _, a, b in known):
+        before = bisect_left(starts, m.end())
+        if before and ends[before - 1] > m.start():
             continue
         tested = battery(m[0])
         if tested is None:

@@ -22,6 +22,20 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: The column that holds a boxed row.
+ROW = "_row"
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """All columns in one, ``ROW``, so that no column that an operator adds can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+
+
+def unboxed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The boxed columns alone, as they were."""
+    return rows.select(*[F.col(f"{ROW}.`{c}`").alias(c) for c in columns])
+
+
 def filesystem(url: str) -> tuple[fs.FileSystem, str]:
     """The store behind ``url`` (a URI or an absolute path) and the path in it."""
     return fs.FileSystem.from_uri(url)

@@ -10,7 +10,8 @@ Only patterns, never documents, reach the driver; their number is checked agains
 ``max_patterns`` and beyond it the call raises. A null source is a source of its own and comes
 last. A document with no source, or of size 0, adds nothing: it is taken with its pattern's
 whole passes and counts 0 words. Null texts have size 0. Rows that agree in id and text are
-taken or left together. An empty table gives an empty result.
+taken or left together. An empty table gives an empty result. Input columns named like the
+added ones are replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchlytics.llm.helpers import ROW
 from pitchlytics.storage import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a pattern are cut first between 2 ** 16 ranges of their hash, then inside one.
 RANGE_BITS = 16
 NO_SOURCE = "-"
+ADDED = ("mix_size", "mix_pattern", "mix_times", "mix_source_size", "mix_target")
 
 
 def words(text: str = "text") -> Column:
@@ -190,11 +193,12 @@ def mix(docs: DataFrame, sources: Column, weights: Sequence[float], *, share: fl
     u, here = F.col("mix_u"), F.shiftrightunsigned(F.col("mix_u"), 64 - RANGE_BITS)
     before = (here < F.col("mix_cell")) | ((here == F.col("mix_cell")) & (u.bitwiseXOR(F.lit(-(2**63))) <= F.col("mix_cut")))
     extra = (F.coalesce(before, F.lit(False)) & ~u.eqNullSafe(F.col("mix_drop"))) | u.eqNullSafe(F.col("mix_add"))
-    kept = [c for c in docs.columns if not c.startswith("mix_")]
+    kept = [c for c in docs.columns if c not in ADDED]
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias(ROW)
     marks = marks.select(F.col("p").alias("mix_pattern"), *[F.col(c).alias(f"mix_{c}") for c in marks.columns if c != "p"])
     return (
-        docs.select(*[F.col(f"`{c}`") for c in kept], known.alias("mix_pattern"), drawn.alias("mix_u"), words(text_col).alias("mix_size"))
+        docs.select(row, known.alias("mix_pattern"), drawn.alias("mix_u"), words(text_col).alias("mix_size"))
         .join(F.broadcast(marks), "mix_pattern")  # at most max_patterns rows
-        .select(*[F.col(f"`{c}`") for c in kept], "mix_pattern", "mix_size", (F.col("mix_whole") + F.when(extra, 1).otherwise(0)).alias("mix_times"),
+        .select(*[F.col(f"{ROW}.`{c}`").alias(c) for c in kept], "mix_pattern", "mix_size", (F.col("mix_whole") + F.when(extra, 1).otherwise(0)).alias("mix_times"),
                 F.col("mix_of_size").alias("mix_source_size"), "mix_target")
     )

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchlytics.llm.components import components
-from pitchlytics.llm.helpers import mixed64, word_codes
+from pitchlytics.llm.helpers import ROW, boxed, mixed64, unboxed, word_codes
 from pitchlytics.storage import settle
 
 WORDS = 5
@@ -332,6 +332,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     keep = settle(
         same.groupBy("label").agg(F.min(F.struct(*[place.getField(f).alias(f) for f in ("none", "id", "key")], "n")).alias("x"))
         .select(F.col("x.id").alias("_id"), F.col("x.key").alias("_key"), F.col("x.n").alias("_n")), "keep")
-    kept = docs.withColumn("_key", text_key(text_col)).join(keep, ["_key"]).where(F.col(id_col).eqNullSafe(F.col("_id")))
+    rows = boxed(docs).withColumn("_key", text_key(f"{ROW}.{text_col}"))
+    kept = rows.join(keep, ["_key"]).where(F.col(f"{ROW}.{id_col}").eqNullSafe(F.col("_id")))
     once, often = kept.where("_n = 1"), kept.where("_n > 1").dropDuplicates(["_key"])
-    return once.unionByName(often).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(once.unionByName(often), docs.columns)

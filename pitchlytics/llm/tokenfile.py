@@ -254,7 +254,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, *,
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        task, seq, encode = TaskContext.get(), 0, encoder(tokenizer)
+        part, attempt = task.partitionId(), task.taskAttemptId()
         end = np.array([end_id], "<u4").tobytes()
         ids: list[bytes] = []
         doc_ids: list[int | None] = []
@@ -262,7 +263,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, *,
         held = 0
 
         def close() -> pa.RecordBatch:
-            url = f"{folder}/part-{part:05d}-{seq:05d}.pfor"
+            # A repeated task never writes over the files that a manifest names.
+            url = f"{folder}/part-{part:05d}-{seq:05d}-{attempt}.pfor"
             data = encode_segment(doc_ids, lengths, np.frombuffer(b"".join(ids), "<u4"))
             write_file(url, data)
             row = [part], [seq], [url], [len(doc_ids)], [held], [len(data)]

@@ -118,7 +118,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str =
     marked = rows.alias("r").join(first.alias("f"), "key", "left").select("record_id", "url", "payload", revisit.alias("revisit"), "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held, size, index = TaskContext.get().partitionId(), 0, [], 0, []
+        task, seq, held, size, index = TaskContext.get(), 0, [], 0, []
+        # A repeated task, whose rows may come in another order, never writes over files of an index.
+        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}"
 
         def close() -> pa.RecordBatch:
             write_file(index[0]["path"], b"".join(held))
@@ -131,7 +133,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str =
                 index.append({
                     "record_id": record_id, "url": url, "payload_digest": payload_digest(payload), "payload_bytes": len(payload),
                     "record_type": "revisit" if again.as_py() else "response", "refers_to": at if again.as_py() else None,
-                    "path": f"{folder}/part-{part:05d}-{seq:05d}.warc.gz", "offset": size, "length": len(member),
+                    "path": f"{folder}/{name}-{seq:05d}.warc.gz", "offset": size, "length": len(member),
                 })
                 held.append(member)
                 size += len(member)

@@ -81,3 +81,15 @@ def test_result_counts_order_and_digest(docs, rows):
 
 def test_empty_table(docs):
     assert C.find_secrets(docs([])).collect() == []
+
+
+def test_candidates_that_touch_a_fixed_finding_are_left_out():
+    noise = "Zk3vQ9xLm2TfWb7RsYc4HdUe8Ng"
+    known = [("hex", 200, 240), ("assign", 0, 150), ("access", 5, 9)]
+    at = [0, 60, 149, 151, 190, 245]
+    text = list(" " * 400)
+    for a in at[1::2] + [300]:
+        text[a:a + len(noise)] = noise
+    found = {s[1] for s in C.candidates("".join(text), known)}
+    expected = {a for a in at[1::2] + [300] if not any(x < a + len(noise) and a < y for _, x, y in known)}
+    assert found == expected and expected

@@ -80,3 +80,24 @@ def test_clean_documents_survive_the_filters(spark, folder):
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for name, f in P.STAGES[:3]:
         assert f(spark, table, folder[0]).count() == 30, name
+
+
+CLASHING = ("lang_pred", "score", "_row", "_key", "_id", "_n", "key", "label", "leaks", "mix_size", "mix_note", "mix_pattern", "a.b")
+
+
+def test_clashing_columns_nulls_and_repeated_rows(spark, docs, tmp_path):
+    """Every filtering stage hands on all columns as they were, null ids and sources included."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(WORDS["en"], k=40)) + f" {i}" for i in range(20)]
+    table = docs(texts, extra=CLASHING, doc_id=[None, *range(1, 20)], source=[None, None, *["s"] * 18], lang=[None, *["en"] * 19])
+    spark.createDataFrame([(5, "another " * 20), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows, before = table.union(table.where("doc_id = 3")), sorted(map(repr, table.collect()))
+    for name, f in P.STAGES[:3]:
+        f(spark, rows, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        rows = spark.read.parquet(f"{tmp_path}/{name}")
+        assert (rows.columns, rows.dtypes) == (table.columns, table.dtypes)
+        got = sorted(map(repr, rows.collect()))
+        assert len(got) == (21 if name == "language_id" else 20) and sorted(set(got)) == before
+    mixed = P.source_mix(spark, rows, str(tmp_path))
+    assert mixed.columns == table.columns and set(map(repr, mixed.collect())) <= set(before)
+    assert P.token_ids(spark, mixed, str(tmp_path)).count() == mixed.count()
