@@ -13,6 +13,8 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, VectorAssembler
 from pyspark.ml.linalg import Vectors
@@ -257,14 +259,22 @@ def fit(cells: DataFrame, terms: Sequence[Term], max_iter: int = 200, tol: float
 def _parameter_table(cells, terms, size, widths, seen, model) -> DataFrame:
     spark = cells.sparkSession
     coefficients = model.coefficients.toArray()
-    rows, start = [], 0
+    parts, start = [np.array([model.intercept])], 0
     for t, width, s in zip(terms, widths, seen):
         # keys past the largest one seen have no data: their estimate is the prior mean
-        effects = [float(v) * t.scale for v in coefficients[start : start + s]] + [0.0] * (width - s)
-        rows.append((t.name, effects))
+        part = np.zeros(width)
+        part[:s] = coefficients[start : start + s] * t.scale
+        parts.append(part)
         start += s
-    parts = spark.createDataFrame([(INTERCEPT.name, [float(model.intercept)])] + rows, "term string, effects array<double>")
-    flat = parts.select("term", F.posexplode("effects").alias("code", "effect"))
+    lengths = [len(part) for part in parts]
+    # one row per effect, sent in batches, so that no row holds a whole term
+    table = pa.table({
+        "nth": np.repeat(np.arange(1, len(parts) + 1, dtype=np.int32), lengths),
+        "code": np.concatenate([np.arange(n, dtype=np.int64) for n in lengths]),
+        "effect": np.concatenate(parts),
+    })
+    named = F.element_at(F.array(*(F.lit(t.name) for t in (INTERCEPT, *terms))), F.col("nth"))
+    flat = spark.createDataFrame(table).select(named.alias("term"), "code", "effect")
 
     key_exprs = []
     for i, out in enumerate(KEY_COLUMNS):
