@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -85,3 +86,43 @@ def test_inheritance_against_brute_force(spark, rows):
 
 def test_empty_table(spark):
     assert L.scan_licences(tree(spark)[0].limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("files", [100, 10_000, 10_000_000])
+def test_words_beside_a_notice_and_table_size_do_not_decide(files):
+    share = {"the": 0.9, "under": 0.3, "released": 0.02, "licensed": 0.02, "license": 0.03, "version": 0.05, "is": 0.7, "this": 0.5}
+    scanner = L.Scanner(files, {t: int(x * files) for t, x in share.items()})
+    for text, name, notice in (("Acme is released under the MIT License.", "MIT", "released under the MIT License."),
+                               ("Tomcat is licensed under the Apache License, Version 2.0.", "Apache-2.0", "licensed under the Apache License, Version 2.0.")):
+        got = scanner.find(text)
+        assert got[:2] == (name, pytest.approx(1.0)) and text[got[2]:got[3]] == notice
+
+
+def test_best_span_against_all_spans(scanner):
+    rng = random.Random(4)
+    pool = [*L.terms(APACHE + MIT), "acme", "house", "tree", "gnu", "public", "general", "this", "work", "is"]
+    found = 0
+    for _ in range(60):
+        words = rng.choices(pool, k=rng.randint(1, 14))
+        if rng.random() < 0.7:
+            notice = L.terms(rng.choice([APACHE, MIT]))
+            notice.insert(rng.randint(0, len(notice)), rng.choice(pool))
+            words[3:3] = notice
+        scores = [cosine(scanner, " ".join(words[i:j]), t) for _, t in L.TEMPLATES for i in range(len(words))
+                  for j in range(i + 1, min(len(words), i + 2 * len(L.terms(t))) + 1)]
+        got = scanner.find(" ".join(words))
+        assert (got is None and max(scores) < scanner.least) or got[1] == pytest.approx(max(scores))
+        found += got is not None
+    assert found > 10
+
+
+def test_terms_of_no_template_are_counted(spark):
+    """A word inside a notice weighs by the files that hold it."""
+    odd = "Released under the zebra MIT License."
+    files = [(odd,)] + [("the zebra under the tree",)] * 60 + [("the river under the house",)] * 60
+    table = spark.createDataFrame([(f"d/{i}", t) for i, (t,) in enumerate(files)], "path string, text string")
+    counts = {r["term"]: r["n"] for r in L.frequencies(table, "text").collect()}
+    assert (counts[""], counts["zebra"], counts["the"]) == (121, 61, 121)
+    got = L.scan_licences(table).where("path = 'd/0'").first()
+    scanner = L.Scanner(121, {t: n for t, n in counts.items() if t})
+    assert got["own_licence"] == "MIT" and got["own_score"] == pytest.approx(cosine(scanner, odd, MIT), abs=1e-9)
