@@ -93,3 +93,45 @@ def test_candidates_that_touch_a_fixed_finding_are_left_out():
     found = {s[1] for s in C.candidates("".join(text), known)}
     expected = {a for a in at[1::2] + [300] if not any(x < a + len(noise) and a < y for _, x, y in known)}
     assert found == expected and expected
+
+
+PLAIN = """the license which people write about when they have time and water with their house number first second question between
+another through because important different government however although information development community university national
+product account service user value table index report version article market public system program country example picture
+night story music garden window letter family mother father school morning evening summer winter travel kitchen simple""".split()
+
+
+def identifiers(rng, n):
+    """Ordinary candidates: paths, names in snake and camel case, upper-case names, with digits."""
+    made = []
+    while len(made) < n:
+        words = rng.choices(PLAIN, k=rng.randint(3, 5))
+        digits = str(rng.randint(1, 2030))
+        made.append(rng.choice([f"{'_'.join(words)}_{digits}", f"{'-'.join(words)}-{digits}", "/".join([*words, digits]),
+                                words[0] + "".join(w.title() for w in words[1:]) + digits, "".join(words).upper() + str(rng.randint(2, 7))]))
+    return [m for m in made if 20 <= len(m) <= 48]
+
+
+@pytest.mark.parametrize("kind, alphabet", [("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+                                            ("base64", string.ascii_letters + string.digits + "+/")])
+@pytest.mark.parametrize("size", [20, 24, 32, 40])
+def test_short_keys_of_one_in_a_hundred_are_found(docs, kind, alphabet, size):
+    rng = random.Random(size)
+    plain = identifiers(rng, 3600)[:2500]
+    keys = ["".join(rng.choices(alphabet, k=size)) for _ in range(25)]
+    lines = [" ".join([*rng.choices(PLAIN, k=40), p, "then"]) for p in plain]
+    found = C.find_secrets(docs(lines + [f"say {k} now" for k in keys])).select("doc_id", "spans").collect()
+    good = [r["spans"] for r in found if r["doc_id"] >= len(plain)]
+    wrong = sum("random" in r["spans"] for r in found if r["doc_id"] < len(plain))
+    assert sum(x == f"random_{kind}:4:{4 + size}" for x in good) >= (20 if kind != "base64" else 18), good
+    assert wrong <= 2, wrong
+
+
+def test_noise_is_cut_out_of_a_path_and_keeps_its_own_marks():
+    rng = random.Random(2)
+    model = C.TextModel(C.bigrams([" ".join(rng.choices(PLAIN, k=5000))]))
+    key = "Zk3vQ9xLm2TfWb7RsYc4HdUe8Ng"
+    run = f"public/system/{key}/user"
+    assert [(a, b) for a, b, _ in C.split(run, model)] == [(14, 14 + len(key))]
+    marked = "Zk3vQ9xL-m2TfWb7RsYc4H_dUe8Ng"
+    assert [(a, b) for a, b, _ in C.split(marked, model)] == [(0, len(marked))]
