@@ -17,9 +17,11 @@ from pitchlytics.storage import new_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: with a letter, and nearer to a learned language than noise is."""
-    judged = languages.predict(boxed(docs), languages.learn(docs.where(~held_out())), text_col=f"{ROW}.text")
-    spoken = (F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") > languages.NOISE)
+    """Documents in a language: with a letter, and nearer to a learned language than noise is
+    to the nearest of all."""
+    learned = languages.learn(docs.where(~held_out()))
+    judged = languages.predict(boxed(docs), learned, text_col=f"{ROW}.text")
+    spoken = (F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") > languages.noise_bound(len(learned)))
     return unboxed(judged.where(spoken), docs.columns)
 
 

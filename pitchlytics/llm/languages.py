@@ -12,6 +12,7 @@ are profiled whole. Rows with a null label are not learned from. An empty table
 result. Other columns are ignored.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,6 +166,12 @@ def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     return {r["lang"]: np.array(r["sums"], float) for r in sorted(found, key=lambda r: r["lang"]) if any(r["sums"])}
 
 
+def noise_bound(languages: int) -> float:
+    """Score that a text unrelated to all prototypes hardly reaches: four deviations, and what
+    the largest of so many normal scores adds."""
+    return NOISE * (4 + math.sqrt(2 * math.log(max(1, languages))))
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the cosine with the prototype, at least 0.
     Only the texts decide; input columns of these names are replaced."""

@@ -101,3 +101,12 @@ def test_clashing_columns_nulls_and_repeated_rows(spark, docs, tmp_path):
     mixed = P.source_mix(spark, rows, str(tmp_path))
     assert mixed.columns == table.columns and set(map(repr, mixed.collect())) <= set(before)
     assert P.token_ids(spark, mixed, str(tmp_path)).count() == mixed.count()
+
+
+def test_unlearned_scripts_and_letter_junk_go(spark, docs, folder):
+    rng = random.Random(12)
+    clean = [(" ".join(rng.choices(WORDS[x], k=40)), x) for x in ("en", "fr") for _ in range(60)]
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
+    junk = [" ".join("".join(rng.choices(a, k=rng.randint(2, 9))) for _ in range(60)) for a in alphabets for _ in range(40)]
+    table = docs([t for t, _ in clean] + junk, lang=[x for _, x in clean] + [None] * len(junk))
+    assert sorted(r["doc_id"] for r in P.language_id(spark, table, folder[0]).collect()) == list(range(len(clean)))
