@@ -166,7 +166,7 @@ def clustered(
     named = [(i, c.tolist(), hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest()) for i, c in enumerate(centroids)]
     # One row per cluster, whose number is checked above.
     sums = placed.groupBy("cluster").agg(F.try_sum("distance").alias("cluster_inertia"))
-    whole = placed.agg(F.try_sum("distance").alias("inertia"))
-    told = vectors.sparkSession.createDataFrame(named, schema).join(F.broadcast(sums), "cluster").join(F.broadcast(whole))
+    whole = placed.agg(F.try_sum("distance")).scalar()
+    told = vectors.sparkSession.createDataFrame(named, schema).join(F.broadcast(sums), "cluster").withColumn("inertia", whole)
     return placed.join(F.broadcast(told), "cluster").select(
         F.col("id").alias(id_col), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256", "centroid")
