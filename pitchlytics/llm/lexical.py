@@ -46,7 +46,7 @@ BLOCK = 1 << 20
 #: Postings in a segment; a document's own postings are never parted.
 POSTINGS = 1 << 20
 #: Documents in a task, about; with fewer documents than cores fill, a core's share of them.
-TASK_DOCS = 1 << 17
+TASK_DOCS = 1 << 15
 LEAST_TASK_DOCS = 1 << 12
 #: Intervals taken at a time.
 WAVE = 64
