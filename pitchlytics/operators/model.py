@@ -1,4 +1,4 @@
-"""Additive whiff models: formulas, fit, posterior scoring and summaries.
+"""Additive whiff models: formulas, posterior scoring and summaries.
 
 A model is a list of terms. A term is a table of effects keyed by one to four index columns,
 and the logit of a swing is the sum of its effects. Parameters of every model live in one
@@ -13,11 +13,6 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, VectorAssembler
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,130 +192,14 @@ def score_2way(frame: DataFrame, params: DataFrame) -> DataFrame:
     return score(frame, params, TWO_WAY)
 
 
-# --- fit ------------------------------------------------------------------------------
-
-
-def fit(cells: DataFrame, terms: Sequence[Term], max_iter: int = 200, tol: float = 1e-8) -> DataFrame:
-    """Maximum a posteriori effects as a parameter table with one draw.
-
-    A logistic regression on one-hot keys with a unit normal prior on each coefficient; the
-    prior scale of a term multiplies its features, and its effects are coefficient times
-    scale. The intercept is not penalised. Scales are fixed at their prior values.
-
-    ``cells`` are swing counts per key (``swing_cells``). Rows stay distributed; the driver
-    holds the coefficient vector only, whose length is players times levels, not rows."""
-    keys = key_columns(terms)
-    cells = settle(cells.select(*keys, "n", "whiffs"), "cells")
-    top = cells.agg(*(F.max(k).alias(k) for k in keys), F.sum("n").alias("_total")).first()
-    size = {k: int(top[k]) + 1 for k in keys}
-
-    widths, codes = [], {}
-    for t in terms:
-        code, width = F.lit(0), 1
-        for k in t.keys:
-            code, width = code * size[k] + F.col(k), width * size[k]
-        codes[f"_{t.name}"] = code.cast("int")
-        widths.append(width)
-    names = list(codes)
-
-    outcome = F.explode(
-        F.array(
-            F.struct(F.lit(1.0).alias("label"), F.col("whiffs").cast("double").alias("weight")),
-            F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("whiffs")).cast("double").alias("weight")),
-        )
-    )
-    coded = cells.withColumns(codes).select(*names, outcome.alias("o")).select(*names, "o.*").where("weight > 0")
-
-    # the encoder sizes a category by its largest code, so its width is padded by hand
-    encoder = OneHotEncoder(inputCols=names, outputCols=[f"{n}_hot" for n in names], dropLast=False).fit(coded)
-    seen = [int(s) for s in encoder.categorySizes]
-    scales = [t.scale for t, s in zip(terms, seen) for _ in range(s)]
-    assembled = VectorAssembler(inputCols=[f"{n}_hot" for n in names], outputCol="hot").transform(
-        encoder.transform(coded)
-    )
-    features = ElementwiseProduct(
-        scalingVec=Vectors.dense(scales), inputCol="hot", outputCol="features"
-    ).transform(assembled)
-
-    model = LogisticRegression(
-        weightCol="weight",
-        standardization=False,
-        fitIntercept=True,
-        regParam=1.0 / float(top["_total"]),
-        elasticNetParam=0.0,
-        maxIter=max_iter,
-        tol=tol,
-    ).fit(features.select("label", "weight", "features"))
-    if model.summary.totalIterations >= max_iter:
-        raise RuntimeError(f"the fit did not converge in {max_iter} iterations")
-    return _parameter_table(cells, terms, size, widths, seen, model)
-
-
-def _parameter_table(cells, terms, size, widths, seen, model) -> DataFrame:
-    spark = cells.sparkSession
-    coefficients = model.coefficients.toArray()
-    parts, start = [np.array([model.intercept])], 0
-    for t, width, s in zip(terms, widths, seen):
-        # keys past the largest one seen have no data: their estimate is the prior mean
-        part = np.zeros(width)
-        part[:s] = coefficients[start : start + s] * t.scale
-        parts.append(part)
-        start += s
-    lengths = [len(part) for part in parts]
-    # one row per effect, sent in batches, so that no row holds a whole term
-    table = pa.table({
-        "nth": np.repeat(np.arange(1, len(parts) + 1, dtype=np.int32), lengths),
-        "code": np.concatenate([np.arange(n, dtype=np.int64) for n in lengths]),
-        "effect": np.concatenate(parts),
-    })
-    named = F.element_at(F.array(*(F.lit(t.name) for t in (INTERCEPT, *terms))), F.col("nth"))
-    flat = spark.createDataFrame(table).select(named.alias("term"), "code", "effect")
-
-    key_exprs = []
-    for i, out in enumerate(KEY_COLUMNS):
-        expr = F.lit(0)
-        for t in terms:
-            if i < len(t.keys):
-                below = 1
-                for k in t.keys[i + 1 :]:
-                    below *= size[k]
-                digit = F.floor(F.col("code") / below) % size[t.keys[i]]
-                expr = F.when(F.col("term") == t.name, digit).otherwise(expr)
-        key_exprs.append(expr.cast("int").alias(out))
-    return flat.select(
-        "term", *key_exprs, F.lit(0).alias("draw_block"), F.array("effect").alias("draws")
-    )
-
-
-def gradient(cells: DataFrame, params: DataFrame, terms: Sequence[Term]) -> DataFrame:
-    """Slope of the penalised log likelihood at a fit, per effect that has data: ``(term, k1,
-    k2, k3, k4, n, slope)``. It is the sum of whiffs less those expected, less effect over
-    squared scale; the intercept has no penalty. Zero at the optimum."""
-    spread = [
-        F.struct(F.lit(t.name).alias("term"), *(F.col(t.keys[i]).cast("int").alias(k) if i < len(t.keys) else F.lit(0).alias(k)
-                                                for i, k in enumerate(KEY_COLUMNS)))
-        for t in (INTERCEPT, *terms)
-    ]
-    scored = score(cells, params, terms, "_p").select("n", "whiffs", "_p", F.explode(F.array(*spread)).alias("e"))
-    missed = F.sum(F.col("whiffs") - F.col("n") * F.col("_p"))
-    sums = scored.groupBy("e").agg(missed.alias("missed"), F.sum("n").alias("n")).select("e.*", "missed", "n")
-    scales = [F.lit(x) for t in terms for x in (t.name, 1.0 / t.scale**2)]
-    pull = F.coalesce(F.element_at(F.create_map(*scales), F.col("term")), F.lit(0.0))
-    effects = params.select("term", *KEY_COLUMNS, F.col("draws")[0].alias("effect"))
-    return sums.join(effects, ["term", *KEY_COLUMNS]).select(
-        "term", *KEY_COLUMNS, "n", (F.col("missed") - pull * F.col("effect")).alias("slope")
-    )
-
-
-def fit_enhanced(cells: DataFrame, missing: Iterable[str] = ()) -> DataFrame:
-    return fit(cells, without(ENHANCED, missing))
-
-
-def fit_hierarchical(cells: DataFrame) -> DataFrame:
-    return fit(cells, HIERARCHICAL)
+# --- summaries ------------------------------------------------------------------------
 
 
-# --- summaries ------------------------------------------------------------------------
+def long_draws(params: DataFrame, draws: int, block: int) -> DataFrame:
+    """One row per draw of a parameter table with ``draws`` draws a chain, ``block`` in a row."""
+    at = F.col("draw_block") * block + F.col("pos")
+    flat = params.select("term", *KEY_COLUMNS, "draw_block", F.posexplode("draws").alias("pos", "value"))
+    return flat.select("term", *KEY_COLUMNS, F.floor(at / draws).alias("chain"), (at % draws).alias("draw"), "value")
 
 
 def posterior_summary(draws: DataFrame, by: Sequence[str] = ("param",), prob: float = 0.94) -> DataFrame:

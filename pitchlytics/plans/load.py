@@ -19,9 +19,9 @@ from ..schema import PITCH_SCHEMA, SEASONS
 from ..sources.landing import DayRange, in_ranges, landed_schema, read_pitch_csv, read_player_csv
 from ..operators.players import player_hand
 from ..sources.tables import (
-    LOAD, PARTITIONS, TABLES, append_pitches, conform_to_schema, newest_seasons, overwrite_table, read_pitches,
+    LOAD, PARTITIONS, TABLES, append_pitches, conform_to_schema, current_path, newest_seasons, overwrite_table, read_pitches,
+    replace_table,
 )
-from ..storage import settle
 
 
 def season_calendar(spark: SparkSession, seasons: Sequence[tuple] = SEASONS) -> DataFrame:
@@ -145,7 +145,7 @@ def load_players(spark: SparkSession, landing: Landing, base: str, kind: str) ->
     existing = read_table(spark, f"{base}/{kind}", schema)
     incoming = read_player_csv(spark, f"{landing.path}/{kind}", ids)
     new = conform_to_schema(anti_join_new(incoming, existing, "player_id"), schema, schema.names)
-    new.write.mode("append").parquet(f"{base}/{kind}")
+    new.write.mode("append").parquet(current_path(spark, f"{base}/{kind}"))
 
 
 def pipeline_run(
@@ -171,16 +171,12 @@ def clean_players(spark: SparkSession, base: str) -> None:
     pitches = read_pitches(spark, f"{base}/pitches")
     for kind, player, attr in (("pitchers", "pitcher", "p_throws"), ("batters", "batter", "stand")):
         path = f"{base}/{kind}"
-        players = spark.read.parquet(path)
-        clean = flip_player_name(player_hand(players, pitches, player, attr)).select(players.columns)
-        overwrite_table(settle(clean, kind), path)
+        players = read_pitches(spark, path)
+        overwrite_table(flip_player_name(player_hand(players, pitches, player, attr)).select(players.columns), path)
 
 
 def refresh_metrics(spark: SparkSession, path: str) -> None:
-    """Derive the columns of a stored pitch table again, as after a change of a formula. The
-    new rows are written aside and then replace their partitions; layout and loads stay."""
-    stored = spark.read.parquet(path)
-    fresh = settle(advanced_metrics(stored).select(stored.columns), "refreshed")
-    layout = [*PARTITIONS, LOAD]
-    writer = fresh.hint("rebalance", *layout).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*layout).parquet(path)
+    """Derive the columns of a stored pitch table again, as after a change of a formula. The new
+    rows are a version of the table that replaces it at once; layout and loads stay."""
+    stored = spark.read.parquet(current_path(spark, path))
+    replace_table(advanced_metrics(stored).select(stored.columns), path, [*PARTITIONS, LOAD])

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as V
 from ..operators.aggregates import swing_cells
 from ..operators.games import start_game
-from ..operators.model import Term, fit, key_columns, score
+from ..operators.fitting import fit, posterior_draws
+from ..operators.model import Term, key_columns, score
 from ..sources.tables import load_tables, overwrite_table, save_eval_tables, save_tables, write_report_csv
 from ..storage import settle
 from .samples import Encoding, Variant, fit_encoding, model_frame
@@ -19,17 +21,34 @@ from .samples import Encoding, Variant, fit_encoding, model_frame
 
 @dataclass(frozen=True)
 class Trained:
-    """What scoring needs: the encoding of the training sample and the parameter table."""
+    """What scoring needs: the encoding of the training sample and the parameter table, and the
+    point estimates if the parameters are draws around them."""
 
     encoding: Encoding
     params: DataFrame
+    estimates: DataFrame | None = None
 
 
-def train(sample: DataFrame, variant: Variant, terms: Sequence[Term]) -> Trained:
-    """Encode the sample, collapse it to cells and fit the terms."""
+@dataclass(frozen=True)
+class Draws:
+    """How many draws to take around a fit: chains, draws in each, draws in a row."""
+
+    chains: int
+    draws: int
+    block: int
+    seed: int = 0
+
+
+def train(sample: DataFrame, variant: Variant, terms: Sequence[Term], draws: Draws | None = None) -> Trained:
+    """Encode the sample, collapse it to cells and fit the terms and their scales; with ``draws``
+    the parameters are draws around the fit."""
     encoding = fit_encoding(sample, variant)
     frame = model_frame(sample, variant, encoding)
-    return Trained(encoding, settle(fit(swing_cells(frame, key_columns(terms)), terms), "params"))
+    cells = settle(swing_cells(frame, key_columns(terms)), "cells")
+    estimates = settle(fit(cells, terms), "params")
+    if draws is None:
+        return Trained(encoding, estimates, estimates)
+    return Trained(encoding, posterior_draws(cells, estimates, terms, draws.chains, draws.draws, draws.block, draws.seed), estimates)
 
 
 def save_trained(trained: Trained, path: str) -> None:
@@ -37,13 +56,21 @@ def save_trained(trained: Trained, path: str) -> None:
     so that scoring reads each term alone."""
     groups = {f"groups_{player}": df for player, df in trained.encoding.groups.items()}
     save_tables({"labels": trained.encoding.labels, **groups}, path)
-    trained.params.write.mode("overwrite").partitionBy("term").parquet(f"{path}/params")
+    for name, df in (("params", trained.params), ("estimates", trained.estimates)):
+        if df is not None:
+            df.write.mode("overwrite").partitionBy("term").parquet(f"{path}/{name}")
 
 
 def load_trained(spark: SparkSession, path: str, variant: Variant) -> Trained:
     players = list(variant.groups)
     saved = load_tables(spark, path, ["labels", "params", *(f"groups_{p}" for p in players)])
-    return Trained(Encoding({p: saved[f"groups_{p}"] for p in players}, saved["labels"]), saved["params"])
+    try:
+        estimates = spark.read.parquet(f"{path}/estimates")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        estimates = None
+    return Trained(Encoding({p: saved[f"groups_{p}"] for p in players}, saved["labels"]), saved["params"], estimates)
 
 
 def score_hold_out(sample: DataFrame, trained: Trained, variant: Variant, terms: Sequence[Term]) -> DataFrame:
@@ -79,5 +106,4 @@ def evaluate(scored: DataFrame, path: str) -> dict[str, DataFrame]:
 
 def rebuild_start_game(pitches: DataFrame, path: str) -> DataFrame:
     """Replace the stored line-up table by one built from all pitches."""
-    overwrite_table(start_game(pitches), path)
-    return pitches.sparkSession.read.parquet(path)
+    return overwrite_table(start_game(pitches), path)

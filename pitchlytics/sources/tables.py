@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,25 +75,83 @@ def scan_pitches(spark: SparkSession, path: str, league: str, columns: Sequence[
     return df.select(*dict.fromkeys([*columns, "league"])) if columns else df
 
 
-def append_pitches(df: DataFrame, path: str, load: str | None = None, partitions: Sequence[str] = PARTITIONS) -> None:
+def _files(spark: SparkSession, path: str):
+    """The store behind a path, and the path in it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def current_path(spark: SparkSession, path: str) -> str:
+    """Where the rows of a table are now: in the version its pointer names, or, if it was never
+    replaced, in its own folder."""
+    store, pointer = _files(spark, f"{path}.versions/current")
+    if not store.exists(pointer):
+        return path
+    stream = store.open(pointer)
+    try:
+        name = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return f"{path}.versions/{name}"
+
+
+def _point_to(spark: SparkSession, path: str, version: str) -> None:
+    """Move the pointer of a table in one step."""
+    jvm = spark.sparkContext._jvm
+    store, aside = _files(spark, f"{path}.versions/.current-{version}")
+    out = store.create(aside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(aside, _files(spark, f"{path}.versions/current")[1], options)
+
+
+def replace_table(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
+    """Replace the contents of a table all at once. ``df`` may read from it.
+
+    The rows are written to a version of their own and the table's pointer then moves to it: a
+    reader (``current_path``) sees the old rows or the new ones, and a driver that is lost on the
+    way leaves the old ones. The version before stays for those who still read it; older ones
+    go."""
+    spark = df.sparkSession
+    before, version = current_path(spark, path), f"v-{uuid.uuid4().hex}"
+    df.hint("rebalance", *partitions).write.partitionBy(*partitions).parquet(f"{path}.versions/{version}")
+    _point_to(spark, path, version)
+    store, folder = _files(spark, f"{path}.versions")
+    for status in store.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name != version and not before.endswith(name):
+            store.delete(status.getPath(), True)
+
+
+def append_pitches(
+    df: DataFrame, path: str, load: str | Column | None = None, partitions: Sequence[str] = PARTITIONS,
+    columns: Sequence[str] | None = None,
+) -> None:
     """Add rows to a table partitioned by league, season and load. The rebalance hint lets
     adaptive execution merge small partitions and split a season that holds most of the rows,
     so files come out evenly sized. Rows of a ``load`` that was written before are replaced,
-    those of other loads stay; without a name the load is a new one."""
-    named = df.withColumn(LOAD, F.lit(load or f"load-{uuid.uuid4().hex}"))
+    those of other loads stay; without a name the load is a new one. A name may depend on the row,
+    also on columns that are not among those kept (``columns``)."""
+    named = df.withColumn(LOAD, F.lit(f"load-{uuid.uuid4().hex}") if load is None else F.lit(load))
+    if columns is not None:
+        named = named.select(*columns, LOAD)
+    path = current_path(df.sparkSession, path)
     writer = named.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*partitions, LOAD).parquet(path)
 
 
 def read_pitches(spark: SparkSession, path: str) -> DataFrame:
     """A stored pitch table without the load column."""
-    return spark.read.parquet(path).drop(LOAD)
+    return spark.read.parquet(current_path(spark, path)).drop(LOAD)
 
 
 def newest_seasons(spark: SparkSession, path: str) -> dict[str, int]:
     """Last season of each league from the partition folders, without opening a file."""
     jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/league=*/game_year=*")
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{current_path(spark, path)}/league=*/game_year=*")
     found: dict[str, int] = {}
     for status in pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []:
         season = status.getPath()
@@ -103,9 +161,10 @@ def newest_seasons(spark: SparkSession, path: str) -> dict[str, int]:
     return found
 
 
-def overwrite_table(df: DataFrame, path: str) -> None:
-    """Replace the contents of a table. ``df`` must not read from ``path``."""
-    df.hint("rebalance").write.mode("overwrite").parquet(path)
+def overwrite_table(df: DataFrame, path: str) -> DataFrame:
+    """Replace the contents of a table and return it as it is now. ``df`` may read from it."""
+    replace_table(df, path)
+    return read_pitches(df.sparkSession, path)
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:

@@ -1,10 +1,14 @@
-"""Streaming form of the incremental load: process what has landed, then stop."""
+"""Streaming form of the incremental load: process what has landed, then stop.
+
+A file is read once, so rows of days that are not yet due are held: a batch writes them to a table
+of its own beside the stream's progress, and a later call releases them."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +16,12 @@ from pyspark.sql import types as T
 from ..plans.load import dates_to_load, prepare, season_calendar, table_schema
 from ..schema import SEASONS
 from ..sources.landing import as_schema, texts
-from ..sources.tables import append_pitches
+from ..sources.tables import LOAD, append_pitches, current_path
+
+#: A day after all seasons.
+NEVER = "9999-12-31"
+#: Partitions of the held rows: the batch that read them and their day.
+HELD = ("held_batch", "held_day")
 
 
 def landed_stream(spark: SparkSession, path: str, header: Sequence[str], schema: T.StructType) -> DataFrame:
@@ -40,21 +49,33 @@ def stream_append(
     seasons: Sequence[tuple] = SEASONS,
 ) -> None:
     """Append the in-season rows of all files not yet processed, up to the day before
-    ``as_of``, and return when done.
+    ``as_of``, and those that earlier calls held back until their days came; return when done.
 
     The stream's own progress log remembers the files. Each batch is written as a load of its
     own, named by stream and batch, so a batch that is replayed after a lost executor or a
-    restarted driver replaces what it wrote before. The table has no sink log: batch loads and
-    readers see the same rows. Days are judged by the calendar only: a late file for an old day
-    is still taken. Files that landed after the call are left to the next one."""
+    restarted driver replaces what it wrote before, held rows too. Held rows are released after
+    all batches are done, one load per batch and day, and are deleted when they are in the table;
+    a release that is cut short is done again and replaces itself. The table has no sink log:
+    batch loads and readers see the same rows. Days are judged by the calendar only: a late file
+    for an old day is still taken. A held day that a batch load has taken meanwhile, from the same
+    files, is not released again. Files that landed after the call are left to the next one."""
     unmarked = spark.createDataFrame([], "league string, latest_date date")
-    days = dates_to_load(season_calendar(spark, seasons), unmarked, as_of)
+    days = dates_to_load(season_calendar(spark, seasons), unmarked, NEVER)
     schema = table_schema(landed)
     rows = landed_stream(spark, f"{landing}/{league}", header, landed).withColumn("league", F.lit(league))
     stream = hashlib.sha256(progress_path.encode()).hexdigest()[:16]
+    held, due = f"{progress_path}-held", F.col("game_date") < F.lit(as_of).cast("date")
 
     def write(batch: DataFrame, number: int) -> None:
-        append_pitches(batch, table_path, load=f"stream-{stream}-{number}")
+        batch.persist()
+        try:
+            append_pitches(batch.where(due), table_path, load=f"stream-{stream}-{number}")
+            # A replay may find more days due than the first run did.
+            _delete(spark, f"{held}/{HELD[0]}={number}")
+            later = batch.where(~due).withColumns({HELD[0]: F.lit(number), HELD[1]: F.col("game_date")})
+            later.hint("rebalance", *HELD).write.mode("append").partitionBy(*HELD).parquet(held)
+        finally:
+            batch.unpersist()
 
     query = (
         prepare(rows.join(days, ["league", "game_date"], "left_semi"), schema)
@@ -64,3 +85,37 @@ def stream_append(
         .start()
     )
     query.awaitTermination()
+    _release(spark, held, table_path, schema, league, stream, as_of)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _release(
+    spark: SparkSession, held: str, table_path: str, schema: T.StructType, league: str, stream: str, as_of: str
+) -> None:
+    """Append the held rows of the days before ``as_of`` and delete them where they were held."""
+    layout = T.StructType([*schema.fields, T.StructField(HELD[0], T.LongType()), T.StructField(HELD[1], T.DateType())])
+    try:
+        stored = spark.read.schema(layout).parquet(held)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return
+    due = stored.where(F.col(HELD[1]) < F.lit(as_of).cast("date"))
+    places = due.select(*HELD).distinct().collect()  # one row per held batch and day
+    if not places:
+        return
+    name = F.concat_ws("-", F.lit(f"stream-{stream}"), HELD[0], F.lit("held"), HELD[1])
+    try:
+        table = spark.read.parquet(current_path(spark, table_path))
+        taken = table.where((F.col("league") == league) & ~F.col(LOAD).startswith("stream-")).select("game_date").distinct()
+        due = due.join(taken, "game_date", "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    append_pitches(due, table_path, load=name, columns=schema.names)
+    for r in places:
+        _delete(spark, f"{held}/{HELD[0]}={r[HELD[0]]}/{HELD[1]}={r[HELD[1]]}")

@@ -455,8 +455,8 @@ def _content(name: str, source: str, columns, key: str, where: str = "") -> str:
 
 
 def _stationary(formula: str, frame: str) -> str:
-    """Every effect that has data, as stationary."""
-    parts = []
+    """Every effect that has data and every scale, as stationary."""
+    parts = [f"SELECT 'sigma_{t}' AS term, 0 AS k1, 0 AS k2, 0 AS k3, 0 AS k4, TRUE AS stationary" for t, keys in FORMULAS[formula] if keys]
     for term, keys in FORMULAS[formula]:
         cols = [f"{keys[i]}_idx AS k{i + 1}" if i < len(keys) else f"0 AS k{i + 1}" for i in range(4)]
         parts.append(f"SELECT DISTINCT '{term}' AS term, {', '.join(cols)}, TRUE AS stationary FROM {frame}")
@@ -487,6 +487,19 @@ def _saved() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _levels(c: str, labels: str) -> str:
+    return {"zone": "2", "zone_num": "13"}.get(c, f"(SELECT count(*) FROM {labels} WHERE col = '{c}')")
+
+
+def _drawn(labels: str) -> str:
+    """Effects per term, with draws that agree with the fit."""
+    parts = [
+        f"SELECT '{t}' AS term, CAST({' * '.join(['1', *(_levels(k, labels) for k in keys)])} AS BIGINT) AS effects, TRUE AS means_agree, TRUE AS chains_agree, TRUE AS spread"
+        for t, keys in FORMULAS["enh"]]
+    parts += [f"SELECT 'sigma_{t}', 1, TRUE, TRUE, FALSE" for t, keys in FORMULAS["enh"] if keys]
+    return " UNION ALL ".join(parts)
+
+
 def _params_of(labels: str) -> str:
     """Rows per label column and parameter rows per term."""
 
@@ -540,6 +553,7 @@ FROM pitch_view JOIN calendar USING (league, game_year) GROUP BY league, game_ye
     WHERE league = 'major' AND game_date < DATE '{S.FIRST_AS_OF}' GROUP BY league) USING (league))""",
     "incremental_append": f"{TOTALS} GROUP BY league, game_year",
     "incremental_append_stream": f"{TOTALS} GROUP BY league, game_year",
+    "stream_held_rows": f"{TOTALS} GROUP BY league, game_year",
     "clean_players": f"""SELECT player_id, {FLIP} AS player_name, hand, kind FROM (
   {_hand("pitchers_view", "pitcher", "p_throws", "pitcher", "loaded")}
   UNION ALL {_hand("batters_view", "batter", "stand", "batter", "loaded")})""",
@@ -637,6 +651,8 @@ JOIN ({_labels("pitch_view", ("pitch_type",))}) t ON t.value IS NOT DISTINCT FRO
 FROM enh_frame GROUP BY ALL""",
     "fit_enhanced": _stationary("enh", "enh_frame"),
     "fit_hierarchical": _stationary("hier", "hier_frame"),
+    "posterior_of_fit": _drawn("enh_labels"),
+    "score_of_fit": """SELECT CAST(count(*) AS DOUBLE) AS n, TRUE AS all_scored, TRUE AS beats_the_rate FROM enh_held_frame""",
     "train_and_evaluate": """SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(is_whiff) AS DOUBLE) AS whiffs, CAST(17 AS DOUBLE) AS metrics,
   TRUE AS beats_the_rate FROM two_held_frame""",
     "score_enhanced": _score("enh", "enh_held_frame", "enh_lists"),

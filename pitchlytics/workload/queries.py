@@ -16,6 +16,7 @@ from ..operators import derive as D
 from ..operators import encode as E
 from ..operators import evaluate as V
 from ..operators import filters as L
+from ..operators import fitting as P
 from ..operators import games as G
 from ..operators import joins as J
 from ..operators import model as M
@@ -194,8 +195,7 @@ def overwrite_table(spark, sf):
     path = new_folder(spark, "games")
     pitches = views.pitch_view(spark, sf)
     tables.overwrite_table(G.unique_games(pitches.where(F.col("league") == "major")), path)
-    tables.overwrite_table(G.unique_games(pitches), path)
-    return spark.read.parquet(path)
+    return tables.overwrite_table(G.unique_games(pitches), path)
 
 
 @query
@@ -317,6 +317,18 @@ def incremental_append_stream(spark, sf):
     return table_totals(spark.read.parquet(table))
 
 
+@query
+def stream_held_rows(spark, sf):
+    """Both leagues' streams over files that hold all days, at three dates: rows that are not yet
+    due are held, and released by the later calls."""
+    path, table, orders = land(spark, sf), new_folder(spark, "pitches"), headers(spark, sf)
+    for lg, order in orders.items():
+        progress = new_folder(spark, "progress")
+        for as_of in (S.FIRST_AS_OF, S.SECOND_AS_OF, S.AS_OF):
+            stream.stream_append(spark, path, lg, order, table, progress, as_of, LANDED, S.SEASONS)
+    return table_totals(spark.read.parquet(table))
+
+
 @query
 def pipeline_run(spark, sf):
     base = new_folder(spark, "base")
@@ -329,7 +341,7 @@ def clean_players(spark, sf):
     base = new_folder(spark, "base")
     load.pipeline_run(spark, land(spark, sf), base, S.AS_OF, S.SEASONS, LANDED, headers(spark, sf))
     load.clean_players(spark, base)
-    pitchers, batters = (spark.read.parquet(f"{base}/{kind}") for kind in ("pitchers", "batters"))
+    pitchers, batters = (tables.read_pitches(spark, f"{base}/{kind}") for kind in ("pitchers", "batters"))
     kinds = (pitchers.withColumnRenamed("p_throws", "hand"), "pitcher"), (batters.withColumnRenamed("stand", "hand"), "batter")
     first, second = (df.withColumn("kind", F.lit(kind)) for df, kind in kinds)
     return first.unionByName(second)
@@ -342,7 +354,7 @@ def refresh_metrics(spark, sf):
     stale = with_metrics(spark, sf).withColumns({"phi": F.lit(0.0), "blast": F.lit(None).cast("int"), "pitch_bucket": F.lit("old")})
     tables.append_pitches(stale, path)
     load.refresh_metrics(spark, path)
-    return rounded(spark.read.parquet(path).select(*ID, *DERIVED_SCHEMA.names))
+    return rounded(tables.read_pitches(spark, path).select(*ID, *DERIVED_SCHEMA.names))
 
 
 # --- derived columns ------------------------------------------------------------------
@@ -688,23 +700,70 @@ def swing_cells(spark, sf):
 
 
 def fitted(name: str, variant, terms, fit) -> None:
-    """Whether the fit is stationary in every effect that has data."""
+    """Whether the fit is stationary in every effect that has data and in every scale."""
 
     def run(spark, sf):
         cells = A.swing_cells(frame_of(spark, sf, variant), M.key_columns(terms))
         cells = settle(cells, "cells")
-        slopes = M.gradient(cells, fit(cells), terms)
+        params = settle(fit(cells), "params")
+        slopes = P.gradient(cells, params, terms)
         flat = F.abs("slope") <= FLAT * F.sqrt(F.col("n").cast("double"))
-        return slopes.select("term", *M.KEY_COLUMNS, flat.alias("stationary"))
+        effects = slopes.select("term", *M.KEY_COLUMNS, flat.alias("stationary"))
+        rests = F.abs(F.log(F.col("step") / F.col("sigma"))) <= AT_REST
+        scales = P.scale_gaps(cells, params, terms).select(
+            F.concat(F.lit("sigma_"), "term").alias("term"), *(F.lit(0).alias(k) for k in M.KEY_COLUMNS), rests.alias("stationary"))
+        return effects.unionByName(scales)
 
     QUERIES[name] = run
 
 
 #: Slope of a fit, in standard errors of a sum of as many swings, that counts as flat.
 FLAT = 0.05
+#: Share by which a further step may move a scale that rests.
+AT_REST = 0.02
 
-fitted("fit_enhanced", samples.ENHANCED, M.ENHANCED, M.fit_enhanced)
-fitted("fit_hierarchical", samples.HIERARCHICAL, M.HIERARCHICAL, M.fit_hierarchical)
+fitted("fit_enhanced", samples.ENHANCED, M.ENHANCED, P.fit_enhanced)
+fitted("fit_hierarchical", samples.HIERARCHICAL, M.HIERARCHICAL, P.fit_hierarchical)
+
+
+def fitted_model(spark: SparkSession, sf: str) -> modelling.Trained:
+    """The enhanced model fitted to the training sample, with draws around the fit, saved and
+    loaded as a trained model."""
+    variant, terms = samples.ENHANCED, M.ENHANCED
+
+    def write(path: str) -> None:
+        sampled = train_sample(spark, sf, variant)
+        modelling.save_trained(modelling.train(sampled, variant, terms, draws=modelling.Draws(S.CHAINS, S.DRAWS, S.BLOCK, seed=1)), path)
+
+    return modelling.load_trained(spark, written_once(spark, sf, "fitted_enhanced", write), variant)
+
+
+@query
+def posterior_of_fit(spark, sf):
+    """Summary of the fit's own draws per term: whether the draws of its effects centre on the
+    fit, agree between chains and spread."""
+    trained = fitted_model(spark, sf)
+    keys = ["term", *M.KEY_COLUMNS]
+    summary = M.posterior_summary(M.long_draws(trained.params, S.DRAWS, S.BLOCK), by=keys)
+    fit = trained.estimates.select(*keys, F.col("draws")[0].alias("effect"))
+    draws = S.CHAINS * S.DRAWS
+    off = F.abs(F.col("mean") - F.col("effect")) / F.nullif(F.col("sd"), F.lit(0.0)) * draws**0.5
+    both = summary.join(fit, keys)
+    # Of thousands of means of independent draws none lies six standard errors off.
+    return both.groupBy("term").agg(
+        F.count(F.lit(1)).alias("effects"), (F.coalesce(F.max(off), F.lit(0.0)) < 6).alias("means_agree"),
+        (F.coalesce(F.max("r_hat"), F.lit(1.0)) < 1.5).alias("chains_agree"), (F.max("sd") > 0).alias("spread"))
+
+
+@query
+def score_of_fit(spark, sf):
+    """The hold-out scored by the fit's own draws, against the training rate."""
+    trained, held = fitted_model(spark, sf), sample(spark, sf, S.HOLD_OUT)
+    scored = settle(modelling.score_hold_out(held, trained, samples.ENHANCED, M.ENHANCED), "scored")
+    rate = train_sample(spark, sf).agg(F.avg("is_whiff")).scalar()
+    loss, plain = V.log_loss(scored).scalar(), V.log_loss(scored.select("is_whiff", rate.alias("score"))).scalar()
+    return scored.agg(F.count(F.lit(1)).cast("double").alias("n"), (F.count("score") == F.count(F.lit(1))).alias("all_scored")).select(
+        "n", "all_scored", (loss < plain).alias("beats_the_rate"))
 
 
 def sizes_of(labels: DataFrame, variant) -> dict[str, int]:
@@ -814,11 +873,7 @@ def effect_draws(spark, sf):
 @query
 def posterior_summary(spark, sf):
     params = enhanced_draws(spark, sf)
-    at = F.col("draw_block") * S.BLOCK + F.col("pos")
-    long = params.select("term", *M.KEY_COLUMNS, "draw_block", F.posexplode("draws").alias("pos", "value")).select(
-        "term", *M.KEY_COLUMNS, F.floor(at / S.DRAWS).alias("chain"), (at % S.DRAWS).alias("draw"), "value"
-    )
-    return rounded(M.posterior_summary(long, by=["term", *M.KEY_COLUMNS]))
+    return rounded(M.posterior_summary(M.long_draws(params, S.DRAWS, S.BLOCK), by=["term", *M.KEY_COLUMNS]))
 
 
 @query

@@ -9,6 +9,7 @@ from pitchlytics.plans import load
 from pitchlytics.sources import landing, tables
 from pitchlytics.streaming.append import stream_append
 
+SUMMER = (("major", 2000, "2000-04-01", "2000-09-30"),)
 SEASONS = tuple((lg, y, f"{y}-04-01", f"{y}-04-05") for lg in ("major", "minor") for y in (2000, 2001))
 HEADER = ["game_pk", "game_date", "batter", "pitcher", "plate_x", "plate_z", "pitch_type", "zone", "game_year"]
 
@@ -179,10 +180,86 @@ def test_clean_players_and_refresh(spark, rows, landed, tmp_path):
     load.pipeline_run(spark, str(landed), base, "2001-07-01", SEASONS)
     for _ in range(2):
         load.clean_players(spark, base)
-        assert rows(spark.read.parquet(f"{base}/pitchers"), "player_id", "player_name", "p_throws") == [(7, "A B", None), (8, "C", None)]
+        assert rows(tables.read_pitches(spark, f"{base}/pitchers"), "player_id", "player_name", "p_throws") == [(7, "A B", None), (8, "C", None)]
     before = rows(spark.read.parquet(f"{base}/pitches").drop("load"))
     load.refresh_metrics(spark, f"{base}/pitches")
-    assert rows(spark.read.parquet(f"{base}/pitches").drop("load")) == before
+    assert rows(tables.read_pitches(spark, f"{base}/pitches")) == before
+    # later loads go on in the version that is current
+    write(landed / "major" / "day=2001-07-02" / "f.csv", HEADER, [line("2001-07-02", 1)])
+    load.pipeline_run(spark, str(landed), base, "2001-08-01", [*SEASONS, ("major", 2002, "2001-06-30", "2001-07-30")])
+    assert tables.read_pitches(spark, f"{base}/pitches").count() == len(before) + 1
+
+
+def test_a_replacement_is_seen_all_at_once(spark, frame, rows, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    frame("a int", [(1,), (2,)]).write.parquet(path)
+    tables.overwrite_table(frame("a int", [(3,)]), path)
+    assert rows(tables.read_pitches(spark, path)) == [(3,)]
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "_point_to", lost)
+        with pytest.raises(RuntimeError):
+            tables.overwrite_table(frame("a int", [(4,)]), path)
+    assert rows(tables.read_pitches(spark, path)) == [(3,)]
+    reader = tables.read_pitches(spark, path)
+    # the new rows may come from the table itself, and those who read it go on
+    grown = tables.overwrite_table(reader.selectExpr("a + 1 AS a").union(reader), path)
+    assert rows(grown) == [(3,), (4,)] and rows(reader) == [(3,)]
+    tables.overwrite_table(frame("a int", []), path)
+    assert rows(tables.read_pitches(spark, path)) == [] and len(list((tmp_path / "t.versions").glob("v-*"))) == 2
+
+
+def test_stream_keeps_rows_that_are_not_yet_due(spark, rows, tmp_path):
+    table, progress = str(tmp_path / "t"), str(tmp_path / "p")
+    days = ["2000-05-01", "2000-05-10", "2000-05-10", "2000-06-20", "2000-12-24"]
+    write(tmp_path / "land" / "major" / "f.csv", HEADER, [line(d, g) for g, d in enumerate(days)])
+
+    def call(as_of):
+        stream_append(spark, str(tmp_path / "land"), "major", HEADER, table, progress, as_of, landing.landed_schema(), SUMMER)
+        return [r[0].isoformat() for r in rows(spark.read.parquet(table), "game_date")]
+
+    assert call("2000-05-05") == days[:1]
+    assert call("2000-06-01") == days[:3]
+    assert call("2000-05-05") == days[:3]
+    write(tmp_path / "land" / "major" / "g.csv", HEADER, [line("2000-06-25", 7), line("2000-05-02", 8)])
+    for _ in range(2):
+        assert call("2000-06-22") == ["2000-05-01", "2000-05-02", "2000-05-10", "2000-05-10", "2000-06-20"]
+    for _ in range(2):
+        assert call("2001-01-01")[-1] == "2000-06-25" and spark.read.parquet(table).count() == 6
+
+
+def test_a_release_that_was_cut_short_is_done_again(spark, rows, tmp_path, monkeypatch):
+    from pitchlytics.streaming import append
+
+    table, progress = str(tmp_path / "t"), str(tmp_path / "p")
+    write(tmp_path / "land" / "major" / "f.csv", HEADER, [line(d, 1) for d in ("2000-05-01", "2000-05-10")])
+    args = (spark, str(tmp_path / "land"), "major", HEADER, table, progress)
+    more = (landing.landed_schema(), SUMMER)
+    stream_append(*args, "2000-05-05", *more)
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(append, "_delete", lost)
+        with pytest.raises(RuntimeError):
+            stream_append(*args, "2000-06-01", *more)
+    for as_of in ("2000-05-05", "2000-06-01", "2000-07-01"):
+        stream_append(*args, as_of, *more)
+        assert spark.read.parquet(table).count() == 2
+
+
+def test_held_days_that_a_batch_load_took_are_not_released(spark, tmp_path):
+    table, progress = str(tmp_path / "t"), str(tmp_path / "p")
+    write(tmp_path / "land" / "major" / "f.csv", HEADER, [line(d, 1) for d in ("2000-05-01", "2000-05-10")])
+    args = (spark, str(tmp_path / "land"), "major", HEADER, table, progress)
+    stream_append(*args, "2000-05-05", landing.landed_schema(), SUMMER)
+    load.incremental_append(spark, load.Landing(str(tmp_path / "land"), landing.landed_schema()), table, "2000-06-01", SUMMER)
+    stream_append(*args, "2000-06-01", landing.landed_schema(), SUMMER)
+    assert spark.read.parquet(table).count() == 2
 
 
 def test_stream_refuses_another_column_order(spark, landed, tmp_path):

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchlytics.operators import aggregates as A
+from pitchlytics.operators import fitting as P
 from pitchlytics.operators import model as M
+from pitchlytics.storage import settle
 
 SIZES = {
     "batter_idx": 5, "pitcher_idx": 6, "league_idx": 2, "zone_idx": 2, "pitch_subtype_idx": 3, "p_throws_idx": 2,
@@ -80,31 +82,103 @@ def cells(frame):
     return A.swing_cells(frame(", ".join(f"{k} int" for k in keys) + ", is_whiff int", data), keys)
 
 
-def test_fit_is_the_penalised_optimum(cells):
-    params = M.fit_enhanced(cells)
-    assert params.groupBy("term", *M.KEY_COLUMNS).count().where("count > 1").count() == 0
-    scored = M.score_enhanced(cells, params).cache()
-    assert scored.where("score IS NULL").count() == 0
-    miss = F.col("n") * F.col("score") - F.col("whiffs")
-    assert abs(scored.agg(F.sum(miss)).first()[0]) < 0.05  # free intercept
+@pytest.fixture(scope="module")
+def fitted(spark):
+    """Cells whose pitchers differ, a fit at the prior scales and one that learns them."""
+    keys, data = frame_rows(M.ENHANCED, 3000, seed=8)
+    at = keys.index("pitcher_idx")
+    rng = random.Random(3)
+    data = [(*r[:-1], int(rng.random() < 0.1 + 0.1 * r[at])) for r in data]
+    frame = spark.createDataFrame(data, ", ".join(f"{k} int" for k in keys) + ", is_whiff int")
+    cells = settle(A.swing_cells(frame, keys), "cells")
+    return cells, settle(P.fit_enhanced(cells, learn=False), "fixed"), settle(P.fit_enhanced(cells), "learned")
+
+
+def loss(p):
+    return -F.sum(F.col("whiffs") * F.log(p) + (F.col("n") - F.col("whiffs")) * F.log(1 - p)) / F.sum("n")
+
+
+def test_fit_is_the_penalised_optimum(fitted):
+    cells, fixed, learned = fitted
+    for params in (fixed, learned):
+        assert params.groupBy("term", *M.KEY_COLUMNS).count().where("count > 1").count() == 0
+        scales = P.scales_of(params, M.ENHANCED)
+        scored = M.score_enhanced(cells, params).cache()
+        assert scored.where("score IS NULL").count() == 0
+        miss = F.col("n") * F.col("score") - F.col("whiffs")
+        assert abs(scored.agg(F.sum(miss)).first()[0]) < P.MOVED * 3000**0.5  # free intercept
+        slopes = P.gradient(cells, params, M.ENHANCED)
+        assert slopes.agg(F.max(F.abs("slope") / F.sqrt("n"))).first()[0] < 0.02
+        for t in M.ENHANCED[:3]:
+            effect = params.where(F.col("term") == t.name)
+            keyed = effect.select(*(F.col(k).alias(c) for k, c in zip(M.KEY_COLUMNS, t.keys)), F.col("draws")[0].alias("b"))
+            slope = scored.groupBy(*t.keys).agg(F.sum(miss).alias("m"), F.sum("n").alias("n")).join(keyed, list(t.keys))
+            # gradient: residual sum plus effect over squared scale
+            worst = slope.agg(F.max(F.abs(F.col("m") + F.col("b") / scales[t.name] ** 2) / F.sqrt("n"))).first()[0]
+            assert worst < 0.02, t.name
+    assert P.scales_of(fixed, M.ENHANCED) == {t.name: t.scale for t in M.ENHANCED}
+
+
+def test_every_combination_of_levels_has_an_effect(fitted):
+    counts = {r["term"]: r["count"] for r in fitted[2].groupBy("term").count().collect()}
     for t in M.ENHANCED:
-        effect = params.where(F.col("term") == t.name)
-        keyed = effect.select(*(F.col(k).alias(c) for k, c in zip(M.KEY_COLUMNS, t.keys)), F.col("draws")[0].alias("b"))
-        slope = scored.groupBy(*t.keys).agg(F.sum(miss).alias("m")).join(keyed, list(t.keys))
-        # gradient: residual sum plus effect over squared scale
-        worst = slope.agg(F.max(F.abs(F.col("m") + F.col("b") / t.scale**2))).first()[0]
-        assert worst < 0.05, t.name
+        assert counts[t.name] == np.prod([SIZES[k] for k in t.keys]) and counts[P.scale_name(t.name)] == 1
+    assert counts["intercept"] == 1
 
 
-def test_fit_beats_the_mean(cells):
-    scored = M.score_enhanced(cells, M.fit_enhanced(cells))
-    rate = cells.agg(F.sum("whiffs") / F.sum("n")).first()[0]
+def test_learned_scales_rest_and_follow_the_data(fitted):
+    cells, _, learned = fitted
+    scales = P.scales_of(learned, M.ENHANCED)
+    for r in P.scale_gaps(cells, learned, M.ENHANCED).collect():
+        assert r["sigma"] == pytest.approx(scales[r["term"]])
+        assert abs(np.log(r["step"] / r["sigma"])) < 0.02, r["term"]
+    # pitchers differ, batters don't
+    assert scales["pitcher_zone"] + scales["pitcher_subtype"] + scales["pitcher_stand"] > 2 * (
+        scales["batter_zone"] + scales["batter_subtype"] + scales["batter_p_throws"])
 
-    def loss(p):
-        return -F.sum(F.col("whiffs") * F.log(p) + (F.col("n") - F.col("whiffs")) * F.log(1 - p)) / F.sum("n")
 
-    row = scored.agg(loss(F.col("score")).alias("model"), loss(F.lit(rate)).alias("mean")).first()
-    assert row.model < row["mean"] - 0.01
+def test_learned_scales_do_not_lose_on_a_hold_out(spark, fitted):
+    cells, fixed, learned = fitted
+    keys, data = frame_rows(M.ENHANCED, 6000, seed=99)
+    at, rng = keys.index("pitcher_idx"), random.Random(17)
+    data = [(*r[:-1], int(rng.random() < 0.1 + 0.1 * r[at])) for r in data]
+    held = A.swing_cells(spark.createDataFrame(data, ", ".join(f"{k} int" for k in keys) + ", is_whiff int"), keys)
+    rate = cells.agg(F.sum("whiffs") / F.sum("n")).first()[0]
+    found = [M.score_enhanced(held, p).agg(loss(F.col("score"))).first()[0] for p in (fixed, learned)]
+    assert found[1] <= found[0] + 1e-4
+    assert found[1] < held.agg(loss(F.lit(rate))).first()[0] - 0.01
+
+
+def test_draws_have_the_mean_and_the_covariance_of_the_fit(spark, fitted):
+    cells, _, params = fitted
+    draws = settle(P.posterior_draws(cells, params, M.ENHANCED, 2, 1000, 300, seed=5), "draws")
+    assert draws.where("term NOT LIKE 'sigma%'").groupBy("draw_block").agg(F.max(F.size("draws")), F.count("*")).count() == 7
+    # the systems once more with plain arrays: block of the pitchers
+    block = next(b for b in P.blocks_of(M.ENHANCED) if b.who == "pitcher_idx")
+    scales, rows = P.scales_of(params, M.ENHANCED), M.score_enhanced(cells, params).collect()
+    names = [(t.name, *ks) for t in block.terms for ks in np.ndindex(*(SIZES[k] for k in t.keys[1:]))]
+    effects = {(r["term"], r["k1"], r["k2"]): r["draws"][0] for r in params.collect()}
+    matrix = np.diag([scales[n[0]] ** -2 for n in names])
+    for r in rows:
+        if r["pitcher_idx"] == 2:
+            x = np.array([float(all(r[k] == v for k, v in zip(next(t for t in block.terms if t.name == n[0]).keys[1:], n[1:], strict=True))) for n in names])
+            matrix += r["n"] * r["score"] * (1 - r["score"]) * np.outer(x, x)
+    long = draws.where("k1 = 2 AND term LIKE 'pitcher%'").orderBy("draw_block").collect()
+    drawn = np.array([sum((r["draws"] for r in long if (r["term"], r["k2"]) == n), []) for n in names])
+    assert drawn.shape[1] == 2000
+    centre, spread = np.array([effects[(n[0], 2, n[1])] for n in names]), np.linalg.inv(matrix)
+    assert np.abs((drawn.mean(axis=1) - centre) / np.sqrt(np.diag(spread) / 2000)).max() < 4.5
+    assert np.cov(drawn) == pytest.approx(spread, abs=0.12 * np.diag(spread).max())
+    again = P.posterior_draws(cells.repartition(3), params, M.ENHANCED, 2, 1000, 300, seed=5)
+    first = (F.col("term") == "pitcher_zone") & (F.col("k1") == 4) & (F.col("draw_block") == 6)
+    for a, b in zip(draws.where(first).orderBy("k2").collect(), again.where(first).orderBy("k2").collect(), strict=True):
+        assert a["draws"] == pytest.approx(b["draws"]) and len(a["draws"]) == 200
+
+
+def test_a_fit_without_swings_says_so(spark):
+    cells = spark.createDataFrame([], ", ".join(f"{k} int" for k in M.key_columns(M.TWO_WAY)) + ", n long, whiffs long")
+    with pytest.raises(ValueError):
+        P.fit(cells, M.TWO_WAY)
 
 
 def test_posterior_summary_against_numpy(frame):
