@@ -31,9 +31,12 @@ from .model import ENHANCED, HIERARCHICAL, INTERCEPT, KEY_COLUMNS, Term, effects
 
 #: Keys of a player: the first key of the terms of a player's block.
 PLAYERS = ("batter_idx", "pitcher_idx")
-MOVED, REST = 0.02, 0.01
+MOVED, REST = 0.05, 0.015
 #: Logits that a step may span before the next is kept from overshooting.
 LONG = 2.0
+#: Blocks trade a common shift (of the intercept against all players, say) in small steps, so after
+#: the first ``PLAIN`` sweeps each goes ``STRETCH`` times as far as its solution.
+STRETCH, PLAIN = 1.65, 3
 #: A scale never falls below this share of its prior scale, where its effects count for nothing.
 LEAST = 0.01
 #: Numbers in the systems that a task holds at a time.
@@ -181,6 +184,7 @@ class System:
     places: list[np.ndarray]
     matrix: np.ndarray
     effects: np.ndarray
+    before: pa.ListArray | None
 
 
 def _systems(batch: pa.RecordBatch, layout: Layout, precision: np.ndarray, room: int) -> Iterator[System]:
@@ -199,22 +203,32 @@ def _systems(batch: pa.RecordBatch, layout: Layout, precision: np.ndarray, room:
             for two in places:
                 np.add.at(matrix, (owner, one, two), columns["a"])
         effects = np.linalg.solve(matrix, right[..., None])[..., 0]
-        yield System(piece.column("who"), lists, columns, owner, places, matrix, effects)
+        before = piece.column("before") if "before" in piece.schema.names else None
+        yield System(piece.column("who"), lists, columns, owner, places, matrix, effects, before)
 
 
 def _double_lists(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float64()))
 
 
-def _solved(pooled: DataFrame, layout: Layout, scales: dict[str, float]) -> DataFrame:
+def _solved(
+    pooled: DataFrame, layout: Layout, scales: dict[str, float], before: DataFrame | None = None, stretch: float = 1.0,
+) -> DataFrame:
     """Per ``who`` its combinations with the new sums of effects, the effects in the order of the
-    layout, how far the farthest has moved in standard errors and in logits, and per term the number of effects with data and the sum
-    of their squares and variances."""
+    layout, how far the farthest has moved in standard errors and in logits, and per term the
+    number of effects with data and the sum of their squares and variances. Effects go ``stretch``
+    times as far from those of the table ``before`` as the solution is."""
     precision, keys = layout.precision(scales), layout.block.own_keys
+    stretched = before is not None and stretch != 1.0
+    if stretched:
+        pooled = pooled.join(before.select("who", F.col("effects").alias("before")), "who")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in _systems(batch, layout, precision, ROOM // layout.width**2):
+                if stretched:
+                    old = x.before.flatten().to_numpy().reshape(x.effects.shape)
+                    x.effects = old + stretch * (x.effects - old)
                 new = sum(x.effects[x.owner, place] for place in x.places)
                 counts, moved = np.zeros(x.effects.shape), np.zeros(x.effects.shape)
                 for place in x.places:
@@ -313,11 +327,12 @@ def fit(cells: DataFrame, terms: Sequence[Term], learn: bool = True, max_sweeps:
     parts: dict[Block, DataFrame | float] = {x.block: start if x.block.who is None else 0.0 for x in layouts}
     scales, last, solved = {t.name: t.scale for t in terms}, {}, {}
     jump = math.inf
-    for _ in range(max_sweeps):
+    for sweep in range(max_sweeps):
         for x in layouts:
             # Long steps are kept from overshooting; near the end the true curvature is faster.
             pooled = _pooled(cells, x.block, parts, bounded=jump > LONG)
-            solved[x.block] = settle(_solved(pooled, x, scales), "solved")
+            stretch = STRETCH if sweep >= PLAIN and jump <= 1 else 1.0
+            solved[x.block] = settle(_solved(pooled, x, scales, solved.get(x.block), stretch), "solved")
             parts[x.block] = _sums_of(solved[x.block], x.block)
         steps = _steps(solved)
         jump = max(x.jump for x in steps.values())

@@ -752,7 +752,7 @@ def posterior_of_fit(spark, sf):
     # Of thousands of means of independent draws none lies six standard errors off.
     return both.groupBy("term").agg(
         F.count(F.lit(1)).alias("effects"), (F.coalesce(F.max(off), F.lit(0.0)) < 6).alias("means_agree"),
-        (F.coalesce(F.max("r_hat"), F.lit(1.0)) < 1.5).alias("chains_agree"), (F.max("sd") > 0).alias("spread"))
+        (F.coalesce(F.max("r_hat"), F.lit(1.0)) < 1.5).alias("chains_agree"), (F.max("sd") > 1e-9).alias("spread"))
 
 
 @query
