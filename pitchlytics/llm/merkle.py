@@ -2,18 +2,21 @@
 
 A paragraph is a line; a section ends at a blank line or at a paragraph whose own hash is a
 multiple of ``SECTION``, so an edit moves no section border but its own. Within a paragraph,
-pieces end at sentence ends or at certain word ends, so borders fall in step again after an
-edit. Every node's hash is that of its children's, under a tag of its level.
+pieces end at sentence ends, at certain ends of words and numbers or, in scripts beyond Latin, after certain
+characters, so borders fall in step again after an edit; no piece is longer than two hex digits
+can say. Every node's hash is that of its children's, under a tag of its level.
 
 The fingerprint is text: the root, then the sections between ``/``, their paragraphs between
 ``;``, and each paragraph's pieces as eight hex digits of hash and two of length. Equal texts
 have equal fingerprints, unequal ones unequal roots; ``edits`` descends only into branches whose
-hashes differ and tells where the two texts part. ``likeness`` is the share of pieces in common.
+hashes differ and tells where the two texts part. ``likeness`` is the share of both texts outside
+these stretches.
 
 Null texts are empty and have the fingerprint of the empty text. Line ends and white space
 count. A document's next is taken by descending id, null ids last, equal ids by a hash of their
 text; after the last comes the first. An empty table gives an empty result. Other columns are
-ignored.
+ignored. Very long texts are cut whole, in one task; comparing two takes time in proportion to
+their pieces.
 """
 
 from __future__ import annotations
@@ -21,9 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections import Counter
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +32,11 @@ from pyspark.sql import functions as F
 
 from pitchlytics.storage import settle
 
-#: A piece: at least 16 characters up to a sentence end or a word ending in a, e or o.
-PIECE = re.compile(r"[^\n]{16,240}?(?:[.!?]+[ \t]+|[aeo] )|[^\n]{1,240}|\n")
+#: Every eighth character from Greek on ends a piece.
+_BORDERS = "".join(chr(c) for c in range(0x0370, 0xFFFF, 8) if not 0xD800 <= c <= 0xDFFF)
+#: A piece: at least 16 characters up to a sentence end, a word ending in one of a few vowels and
+#: digits, or a border of another script; 236 at most with its end.
+PIECE = re.compile(rf"[^\n]{{16,220}}?(?:[.!?]{{1,8}}[ \t]{{1,8}}|[aeoAEO037] |[{_BORDERS}])|[^\n]{{1,236}}|\n")
 SECTION = 4
 LEAF = 10
 
@@ -80,23 +84,64 @@ def fingerprint(text: str) -> str:
     return "/".join([root.hex(), *(s for _, s in sections)])
 
 
-def _leaves(fingerprint: str) -> list[str]:
-    tree = fingerprint[33:].replace("/", "").replace(";", "")
-    return [tree[i:i + LEAF] for i in range(0, len(tree), LEAF)]
-
-
-def likeness(a: str, b: str) -> float:
-    """Twice the pieces in common over all pieces; 1 for equal roots."""
-    if a[:32] == b[:32]:
-        return 1.0
-    one, two = _leaves(a), _leaves(b)
-    common = Counter(one) & Counter(two)
-    return 2 * sum(common.values()) / max(1, len(one) + len(two))
+def _lengths(nodes: Sequence[str]) -> list[int]:
+    """Where each node starts, in code points, and the end."""
+    ends = [0]
+    for node in nodes:
+        flat = node.replace("/", "").replace(";", "")
+        ends.append(ends[-1] + sum(int(flat[i + 8:i + LEAF], 16) for i in range(0, len(flat), LEAF)))
+    return ends
 
 
 def _length(branch: str) -> int:
-    flat = branch.replace("/", "").replace(";", "")
-    return sum(int(flat[i + 8:i + LEAF], 16) for i in range(0, len(flat), LEAF))
+    return _lengths([branch])[-1]
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of pairs that rise in both places; they rise in the first already."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for i, (_, k) in enumerate(pairs):
+        at = bisect_right(tails, k)
+        before.append(ends[at - 1] if at else -1)
+        if at == len(tails):
+            tails.append(k)
+            ends.append(i)
+        else:
+            tails[at], ends[at] = k, i
+    out, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        out.append(pairs[i])
+        i = before[i]
+    return out[::-1]
+
+
+def _gaps(left: Sequence[str], right: Sequence[str]) -> list[tuple[int, int, int, int]]:
+    """Ranges of two lists of nodes that are not paired: common ends are paired, then nodes that
+    occur once in both, in the order they keep, and so on between these."""
+    found, open_ = [], [(0, len(left), 0, len(right))]
+    while open_:
+        i, j, k, m = open_.pop()
+        while i < j and k < m and left[i] == right[k]:
+            i, k = i + 1, k + 1
+        while i < j and k < m and left[j - 1] == right[m - 1]:
+            j, m = j - 1, m - 1
+        if i == j and k == m:
+            continue
+        once: dict[str, int] = {}
+        for at in range(k, m):
+            once[right[at]] = -1 if right[at] in once else at
+        own: dict[str, int] = {}
+        for at in range(i, j):
+            own[left[at]] = -1 if left[at] in own else at
+        anchors = _rising([(at, once[x]) for x, at in own.items() if at >= 0 and once.get(x, -1) >= 0])
+        if not anchors:
+            found.append((i, j, k, m))
+            continue
+        for (at, to), (end, stop) in zip([(i - 1, k - 1), *anchors], [*anchors, (j, m)], strict=True):
+            open_.append((at + 1, end, to + 1, stop))
+    return sorted(found)
 
 
 def edits(a: str, b: str) -> list[tuple[int, int, int, int]]:
@@ -111,30 +156,31 @@ def edits(a: str, b: str) -> list[tuple[int, int, int, int]]:
         return tree.split("/;"[level]) if level < 2 else [tree[i:i + LEAF] for i in range(0, len(tree), LEAF)]
 
     def descend(one: str, two: str, at: int, to: int, level: int) -> list[tuple[int, int, int, int]]:
-        if level == 3 or not one or not two:
-            return [(at, at + _length(one), to, to + _length(two))]
         left, right = split(one, level), split(two, level)
-        ends = [0], [0]
-        for nodes, sums in zip((left, right), ends, strict=True):
-            for node in nodes:
-                sums.append(sums[-1] + _length(node))
+        starts, others = _lengths(left), _lengths(right)
         found = []
-        for op, i, j, k, m in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-            if op == "equal":
-                continue
-            if j - i == 1 and m - k == 1:
-                found += descend(left[i], right[k], at + ends[0][i], to + ends[1][k], level + 1)
-            elif level < 2 and j > i and m > k:
-                # Borders moved as well: compare the branches one level down, all together.
+        for i, j, k, m in _gaps(left, right):
+            if level < 2 and j > i and m > k:
+                # Borders may have moved as well: compare the branches one level down, all together.
                 lower = ";" if level == 0 else ""
-                found += descend(lower.join(left[i:j]), lower.join(right[k:m]), at + ends[0][i], to + ends[1][k], level + 1)
+                found += descend(lower.join(left[i:j]), lower.join(right[k:m]), at + starts[i], to + others[k], level + 1)
             else:
-                found.append((at + ends[0][i], at + ends[0][j], to + ends[1][k], to + ends[1][m]))
+                found.append((at + starts[i], at + starts[j], to + others[k], to + others[m]))
         return found
 
     return descend(a[33:], b[33:], 0, 0, 0)
 
 
+def _shared(a: str, b: str, parted: list[tuple[int, int, int, int]]) -> float:
+    whole = _length(a[33:]) + _length(b[33:])
+    return 1.0 if not whole else 1 - sum(j - i + m - k for i, j, k, m in parted) / whole
+
+
+def likeness(a: str, b: str) -> float:
+    """The share of both texts outside the stretches where they differ; 1 for equal roots."""
+    return 1.0 if a[:32] == b[:32] else _shared(a, b, edits(a, b))
+
+
 def edited(text: str, other: str) -> str:
     """The last half (rounded down) replaced by the first as many code points of ``other``."""
     half = len(text) // 2
@@ -144,16 +190,19 @@ def edited(text: str, other: str) -> str:
 FIELDS = [
     ("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
+    ("edits", pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "stop", "new_start", "new_stop")]))),
 ]
-SCHEMA = ("id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-          "near_edited double, near_next double")
+SCHEMA = ("id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, "
+          "near_next double, edits array<struct<start: long, stop: long, new_start: long, new_stop: long>>")
 
 
 def _row(id_: int | None, text: str, own: str, following: str, its: str) -> tuple:
     changed = edited(text, following)
     print_ = fingerprint(changed)
     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-    return id_, len(text), digest, own, print_, likeness(own, print_), likeness(own, its)
+    parted = edits(own, print_)
+    places = [dict(zip(("start", "stop", "new_start", "new_stop"), x, strict=True)) for x in parted]
+    return id_, len(text), digest, own, print_, _shared(own, print_, parted), likeness(own, its), places
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -195,8 +244,9 @@ def in_order_with_next_head(docs: DataFrame, id_col: str, text_col: str) -> Data
 
 
 def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: fingerprint, that of the text edited by its next document's start, and how
-    like the edited and the next document are. A task walks one part in order."""
+    """Per row: fingerprint, that of the text edited by its next document's start, how like the
+    edited and the next document are, and where the edited text differs. A task walks one part in
+    order."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, out, size = None, [], 0

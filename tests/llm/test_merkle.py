@@ -44,6 +44,66 @@ def test_edits_cover_every_difference(seed):
     assert (found == []) == (a == b)
 
 
+def odd_text(rng, kind):
+    """Texts of long runs of marks and blanks, or of a script without blanks."""
+    if kind == "han":
+        return "".join(chr(rng.randrange(0x4E00, 0x9FFF)) if rng.random() < 0.98 else rng.choice("。\n") for _ in range(400))
+    parts = ["word " * 9, "." * rng.randrange(1, 700), ". " + " " * rng.randrange(700), "!?" * rng.randrange(300) + "\t" * 9, "a " * 200, "\n"]
+    return "".join(rng.choice(parts) for _ in range(25))
+
+
+@pytest.mark.parametrize("kind", ["han", "runs"])
+def test_odd_texts_are_cut_bounded_and_edits_cover_every_difference(kind):
+    for seed in range(60):
+        rng = random.Random(seed)
+        a = odd_text(rng, kind)
+        assert "".join(M.PIECE.findall(a)) == a and max(map(len, M.PIECE.findall(a))) <= 255
+        assert M._length(M.fingerprint(a)[33:]) == len(a)
+        at = rng.randrange(len(a))
+        b = a[:at] + odd_text(rng, kind)[:rng.randrange(300)] + a[at + rng.randrange(300):]
+        i = k = 0
+        for start, stop, to, end in M.edits(M.fingerprint(a), M.fingerprint(b)):
+            assert a[i:start] == b[k:to]
+            i, k = stop, end
+        assert a[i:] == b[k:]
+
+
+def test_leaders_and_blanks_do_not_part_the_rest():
+    lines = [f"chapter {i} begins here and goes on for a while\n" for i in range(30)]
+    for run in (". " + " " * 300, "." * 300):
+        a, b = ["".join([*lines, "title " + x + "12\n", *lines[::-1]]) for x in (run, run[:-60])]
+        assert M.likeness(M.fingerprint(a), M.fingerprint(b)) > 0.8
+
+
+def test_half_of_a_han_text():
+    found = []
+    for seed in range(40):
+        rng = random.Random(seed)
+        one, two = ("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(200)) for _ in range(2))
+        found.append(M.likeness(M.fingerprint(one), M.fingerprint(one[:100] + two[:100])))
+    assert sum(found) / len(found) > 0.35 and min(found) > 0
+
+
+def test_order_counts():
+    rng = random.Random(8)
+    lines = [f"line {i} {rng.random()} of a text in which no line is like another\n" for i in range(60)]
+    a, b = "".join(lines), "".join(lines[30:] + lines[:30])
+    assert 0.4 < M.likeness(M.fingerprint(a), M.fingerprint(b)) < 0.6
+
+
+def test_many_pieces_are_compared_in_time():
+    import time
+
+    rng = random.Random(9)
+    words = [str(rng.random()) for _ in range(40_000)]
+    a, b = " ".join(words), " ".join(words[:20_000] + ["new"] + words[20_000:])
+    same = ("la la la. " * 30 + "\n") * 2_000
+    start = time.perf_counter()
+    assert M.likeness(M.fingerprint(a), M.fingerprint(b)) > 0.99
+    assert M.likeness(M.fingerprint(same), M.fingerprint(same[10:])) > 0.9
+    assert time.perf_counter() - start < 20
+
+
 def test_one_edit_is_located_closely():
     rng = random.Random(5)
     a = random_text(rng, 200)
