@@ -10,7 +10,7 @@ the driver holds one row per term.
 
 Scales are learned beside the effects. A scale's step is the mode of a half-normal prior given
 the squared effects and their variances, summed over the effects that have data; steps are
-lengthened by the secant of the last two. A fit rests when no effect moves by more than ``MOVED``
+lengthened by the secant of the last two. A fit rests when no effect has a slope above ``SLOPE``
 standard errors of its swings and one more step moves no scale by more than ``REST``.
 """
 
@@ -31,7 +31,7 @@ from .model import ENHANCED, HIERARCHICAL, INTERCEPT, KEY_COLUMNS, Term, effects
 
 #: Keys of a player: the first key of the terms of a player's block.
 PLAYERS = ("batter_idx", "pitcher_idx")
-MOVED, REST = 0.05, 0.015
+SLOPE, REST = 0.03, 0.015
 #: Logits that a step may span before the next is kept from overshooting.
 LONG = 2.0
 #: Blocks trade a common shift (of the intercept against all players, say) in small steps, so after
@@ -215,26 +215,27 @@ def _solved(
     pooled: DataFrame, layout: Layout, scales: dict[str, float], before: DataFrame | None = None, stretch: float = 1.0,
 ) -> DataFrame:
     """Per ``who`` its combinations with the new sums of effects, the effects in the order of the
-    layout, how far the farthest has moved in standard errors and in logits, and per term the
-    number of effects with data and the sum of their squares and variances. Effects go ``stretch``
+    layout, the steepest slope before the step in standard errors of the swings, how far the
+    farthest sum has moved in logits, and per term the number of effects with data and the sum of their squares and variances. Effects go ``stretch``
     times as far from those of the table ``before`` as the solution is."""
     precision, keys = layout.precision(scales), layout.block.own_keys
-    stretched = before is not None and stretch != 1.0
-    if stretched:
+    first = before is None
+    if not first:
         pooled = pooled.join(before.select("who", F.col("effects").alias("before")), "who")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in _systems(batch, layout, precision, ROOM // layout.width**2):
-                if stretched:
+                counts, slope = np.zeros(x.effects.shape), np.full(len(x.who), np.inf)
+                for place in x.places:
+                    np.add.at(counts, (x.owner, place), x.columns["n"])
+                if not first:
                     old = x.before.flatten().to_numpy().reshape(x.effects.shape)
+                    # The matrix times the step is the slope of the likelihood where the step starts.
+                    slopes = np.abs((x.matrix @ (x.effects - old)[..., None])[..., 0])
+                    slope = np.where(counts > 0, slopes / np.sqrt(np.maximum(counts, 1)), 0.0).max(axis=1)
                     x.effects = old + stretch * (x.effects - old)
                 new = sum(x.effects[x.owner, place] for place in x.places)
-                counts, moved = np.zeros(x.effects.shape), np.zeros(x.effects.shape)
-                for place in x.places:
-                    np.add.at(counts, (x.owner, place), x.columns["n"])
-                    np.add.at(moved, (x.owner, place), x.columns["a"] * (new - x.columns["b"]))
-                moved = (np.abs(moved) / np.sqrt(np.maximum(counts, 1))).max(axis=1)
                 jump = np.zeros(len(x.who))
                 np.maximum.at(jump, x.owner, np.abs(new - x.columns["b"]))
                 fields = [pa.array(x.columns[k], pa.int32()) for k in keys]
@@ -244,12 +245,12 @@ def _solved(
                 squares = x.effects**2 + np.diagonal(np.linalg.inv(x.matrix), axis1=1, axis2=2)
                 k, s = (np.add.reduceat(v, layout.starts, axis=1) for v in (seen.astype(float), np.where(seen, squares, 0.0)))
                 yield pa.RecordBatch.from_arrays(
-                    [x.who, pa.ListArray.from_arrays(pa.array(offsets), sums), _double_lists(x.effects), pa.array(moved), pa.array(jump),
+                    [x.who, pa.ListArray.from_arrays(pa.array(offsets), sums), _double_lists(x.effects), pa.array(slope), pa.array(jump),
                      _double_lists(k), _double_lists(s)],
-                    ["who", "sums", "effects", "moved", "jump", "k", "s"])
+                    ["who", "sums", "effects", "slope", "jump", "k", "s"])
 
     combination = ", ".join([*(f"{k}: int" for k in keys), "b: double"])
-    schema = f"who int, sums array<struct<{combination}>>, effects array<double>, moved double, jump double, k array<double>, s array<double>"
+    schema = f"who int, sums array<struct<{combination}>>, effects array<double>, slope double, jump double, k array<double>, s array<double>"
     return pooled.mapInArrow(solve, schema)
 
 
@@ -265,26 +266,26 @@ def _effects_in(solved: DataFrame, layout: Layout) -> DataFrame:
 
 @dataclass(frozen=True)
 class Step:
-    """What a sweep tells of a term: how far its block has moved, in standard errors and in logits,
-    and the scale that the effects with data and their variances call for, with the prior scale of
+    """What a sweep tells of a term: the steepest slope that its block started from, in standard
+    errors, how far it went in logits, and the scale that the effects with data and their variances call for, with the prior scale of
     the term as that of a half-normal."""
 
-    moved: float
+    slope: float
     jump: float
     scale: float
 
 
 def _steps(solved: dict[Block, DataFrame]) -> dict[str, Step]:
     parts = [
-        df.select(F.lit(i).alias("block"), "moved", "jump", F.posexplode(F.arrays_zip("k", "s")).alias("nth", "x"))
+        df.select(F.lit(i).alias("block"), "slope", "jump", F.posexplode(F.arrays_zip("k", "s")).alias("nth", "x"))
         for i, df in enumerate(solved.values())]
     sums = reduce(DataFrame.unionByName, parts).groupBy("block", "nth").agg(
-        F.sum("x.k").alias("k"), F.sum("x.s").alias("s"), F.max("moved").alias("moved"), F.max("jump").alias("jump"))
+        F.sum("x.k").alias("k"), F.sum("x.s").alias("s"), F.max("slope").alias("slope"), F.max("jump").alias("jump"))
     out, blocks = {}, list(solved)
     for r in sums.collect():  # one row per term
         t = blocks[r["block"]].terms[r["nth"]]
         square = t.scale**2
-        out[t.name] = Step(r["moved"], r["jump"], math.sqrt(square / 2 * (math.sqrt(r["k"] ** 2 + 4 * r["s"] / square) - r["k"])))
+        out[t.name] = Step(r["slope"], r["jump"], math.sqrt(square / 2 * (math.sqrt(r["k"] ** 2 + 4 * r["s"] / square) - r["k"])))
     return out
 
 
@@ -336,7 +337,7 @@ def fit(cells: DataFrame, terms: Sequence[Term], learn: bool = True, max_sweeps:
             parts[x.block] = _sums_of(solved[x.block], x.block)
         steps = _steps(solved)
         jump = max(x.jump for x in steps.values())
-        rests = max(x.moved for x in steps.values()) <= MOVED
+        rests = max(x.slope for x in steps.values()) <= SLOPE
         if learn:
             new = {}
             for t in terms:
