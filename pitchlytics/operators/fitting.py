@@ -10,7 +10,7 @@ the driver holds one row per term.
 
 Scales are learned beside the effects. A scale's step is the mode of a half-normal prior given
 the squared effects and their variances, summed over the effects that have data; steps are
-lengthened by the secant of the last two. A fit rests when no effect has a slope above ``SLOPE``
+set by the secant of the last two. A fit rests when no effect has a slope above ``SLOPE``
 standard errors of its swings and one more step moves no scale by more than ``REST``.
 """
 
@@ -302,14 +302,15 @@ def _kept(cells: DataFrame, terms: Sequence[Term]) -> DataFrame:
     return settle(cells.select(*(F.col(k).cast("int").alias(k) for k in key_columns(terms)), "n", "whiffs"), "cells")
 
 
-def _lengthened(at: float, r: float, last: tuple[float, float] | None) -> float:
-    """A step of a fixed point in logs: the plain step ``r`` or up to ten times it, as the secant of
-    the last two says, by a factor of e at most."""
+def _lengthened(at: float, r: float, last: tuple[float, float] | None, near: bool) -> float:
+    """A step of a fixed point in logs: the plain step ``r``; once the effects are near their place,
+    the step to where the secant of the last two says that it rests, up to five times as long and,
+    after a step too far, shorter."""
     times = 1.0
-    if last is not None and at != last[0]:
+    if near and last is not None and at != last[0]:
         slope = (r - last[1]) / (at - last[0])
-        times = min(10.0, max(1.0, -1 / slope)) if slope < 0 else 10.0
-    return min(1.0, max(-1.0, r * times))
+        times = min(5.0, max(0.2, -1 / slope)) if slope < 0 else 2.0
+    return min(0.7, max(-0.7, r * times))
 
 
 # --- fit ----------------------------------------------------------------------------------
@@ -327,7 +328,7 @@ def fit(cells: DataFrame, terms: Sequence[Term], learn: bool = True, max_sweeps:
     layouts = [Layout(block, size) for block in blocks_of(terms)]
     parts: dict[Block, DataFrame | float] = {x.block: start if x.block.who is None else 0.0 for x in layouts}
     scales, last, solved = {t.name: t.scale for t in terms}, {}, {}
-    jump = math.inf
+    jump, held = math.inf, False
     for sweep in range(max_sweeps):
         for x in layouts:
             # Long steps are kept from overshooting; near the end the true curvature is faster.
@@ -337,18 +338,19 @@ def fit(cells: DataFrame, terms: Sequence[Term], learn: bool = True, max_sweeps:
             parts[x.block] = _sums_of(solved[x.block], x.block)
         steps = _steps(solved)
         jump = max(x.jump for x in steps.values())
-        rests = max(x.slope for x in steps.values()) <= SLOPE
-        if learn:
-            new = {}
-            for t in terms:
-                at, least = math.log(scales[t.name]), math.log(LEAST * t.scale)
-                r = math.log(steps[t.name].scale) - at
-                rests &= abs(r) <= REST or (r < 0 and at <= least)
-                new[t.name] = math.exp(max(least, at + _lengthened(at, r, last.get(t.name))))
-                last[t.name] = (at, r)
-        if rests:
+        slope = max(x.slope for x in steps.values())
+        new, gap = {}, 0.0
+        for t in terms if learn else ():
+            at, least = math.log(scales[t.name]), math.log(LEAST * t.scale)
+            r = math.log(steps[t.name].scale) - at
+            gap = max(gap, 0.0 if r < 0 and at <= least else abs(r))
+            new[t.name] = math.exp(max(least, at + _lengthened(at, r, last.get(t.name), slope < 1)))
+            last[t.name] = (at, r)
+        # Scales that rest stay where they are while the effects come to theirs.
+        held = gap <= REST * (1.3 if held else 1)
+        if held and slope <= SLOPE:
             break
-        if learn:
+        if learn and not held:
             scales = new
     else:
         raise RuntimeError(f"the fit did not rest after {max_sweeps} sweeps")
