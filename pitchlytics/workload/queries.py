@@ -747,12 +747,15 @@ def posterior_of_fit(spark, sf):
     summary = M.posterior_summary(M.long_draws(trained.params, S.DRAWS, S.BLOCK), by=keys)
     fit = trained.estimates.select(*keys, F.col("draws")[0].alias("effect"))
     draws = S.CHAINS * S.DRAWS
-    off = F.abs(F.col("mean") - F.col("effect")) / F.nullif(F.col("sd"), F.lit(0.0)) * draws**0.5
+    # Scales are repeated, not drawn: their spread is that of rounding.
+    sd = F.when(F.col("sd") > 1e-9, F.col("sd"))
+    off = F.abs(F.col("mean") - F.col("effect")) / sd * draws**0.5
     both = summary.join(fit, keys)
     # Of thousands of means of independent draws none lies six standard errors off.
     return both.groupBy("term").agg(
         F.count(F.lit(1)).alias("effects"), (F.coalesce(F.max(off), F.lit(0.0)) < 6).alias("means_agree"),
-        (F.coalesce(F.max("r_hat"), F.lit(1.0)) < 1.5).alias("chains_agree"), (F.max("sd") > 1e-9).alias("spread"))
+        (F.coalesce(F.max(F.when(sd.isNotNull(), F.col("r_hat"))), F.lit(1.0)) < 1.5).alias("chains_agree"),
+        (F.count(sd) > 0).alias("spread"))
 
 
 @query
