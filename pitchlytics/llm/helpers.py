@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import uuid
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +21,11 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def hashable(kind: T.DataType) -> bool:
+    """Whether values of a type can be hashed and grouped, which maps and variants can't."""
+    return not any(x in kind.simpleString() for x in ("map<", "variant"))
+
+
 #: The column that holds a boxed row.
 ROW = "_row"
 
@@ -56,17 +60,6 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x if x is not None else "" for x in batch.column(column).to_pylist()]
 
 
-def large_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema, rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of ``rows`` rows, never more."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
-def crc32_of(text: str | None) -> int:
-    return zlib.crc32((text or "").encode())
-
-
 def mixed64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (splitmix64) over an array of unsigned integers."""
     with np.errstate(over="ignore"):

@@ -110,15 +110,50 @@ def test_overlapping_sources_meet_their_quotas(docs):
     assert abs(total - sum(sum(f.values()) for f in flow.values())) <= 6
 
 
-def test_too_many_patterns_are_refused_and_nothing_is_fine(docs):
+def test_too_many_overlaps_are_refused_and_nothing_is_fine(docs):
+    own = F.array(F.col("doc_id").cast("string"))
     with pytest.raises(ValueError, match="patterns"):
-        mixed(docs(["a"] * 9), F.array(F.col("doc_id").cast("string")), max_patterns=8)
+        mixed(docs(["a"] * 9), F.array_append(own, F.lit("all")), max_patterns=8)
+    assert {r["mix_times"] for r in mixed(docs(["a"] * 9), own, max_patterns=8).collect()} <= {0, 1, 2}
     assert mixed(docs([])).collect() == []
     nowhere = mixed(docs(["a b"]), F.array().cast("array<string>")).first()
     assert (nowhere["mix_size"], nowhere["mix_times"]) == (2, 0)
 
 
-def test_rows_that_agree_are_taken_together(spark):
+def test_levels_equal_the_targets_one_by_one(spark):
+    rng = random.Random(3)
+    for n in (1, 2, 5, 40):
+        sizes = {("-" if i == 0 else f"={i}"): rng.choice([0, 1, 5, 100, 1000, 10**6]) for i in range(n)}
+        table = spark.createDataFrame(list(sizes.items()), "s string, size long")
+        got = {r["s"]: r["target"] for r in M.levelled(table, MIX_WEIGHTS, 1.5, 2).collect()}
+        assert got == pytest.approx(M.targets(sizes, MIX_WEIGHTS, 1.5, 2))
+
+
+def test_two_hundred_thousand_sources(spark):
+    n = 200_000
+    table = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.col("id").cast("string").alias("source"))
+    got = mixed(table).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("mix_size") * F.col("mix_times")).alias("taken"), F.sum("mix_target").alias("target")).first()
+    assert got["n"] == n and got["target"] == pytest.approx(3 * n)
+    assert got["taken"] == pytest.approx(3 * n, rel=0.2)
+
+
+def test_a_cut_falls_between_equal_rows(spark):
+    rng = random.Random(5)
+    hot = [(7, "w " * 10, "s", "x")] * 9000
+    rest = [(1000 + i, "w " * rng.randint(1, 20), rng.choice("st"), None) for i in range(300)]
+    table = spark.createDataFrame(hot + rest, "doc_id long, text string, source string, whole string")
+    got = mixed(table.repartition(5)).collect()
+    assert sorted((r["doc_id"], r["text"], r["source"]) for r in got) == sorted(x[:3] for x in hot + rest)
+    for s in "st":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["mix_size"] * r["mix_times"] for r in mine) - mine[0]["mix_target"]) <= 5
+    again = mixed(table.repartition(2)).collect()
+    assert sorted((r["doc_id"], r["mix_times"]) for r in got) == sorted((r["doc_id"], r["mix_times"]) for r in again)
+
+
+def test_rows_that_agree_in_id_and_text(spark):
     table = spark.createDataFrame([(1, "a b c", "s")] * 4 + [(2, "d e", "s"), (None, "f", "s"), (None, "g", None)], "doc_id long, text string, source string")
     got = mixed(table).collect()
-    assert len(got) == 7 and len({r["mix_times"] for r in got if r["doc_id"] == 1}) == 1
+    assert len(got) == 7 and sum(r["doc_id"] == 1 for r in got) == 4
+    taken = sum(r["mix_size"] * r["mix_times"] for r in got if r["source"] == "s")
+    assert abs(taken - next(r["mix_target"] for r in got if r["source"] == "s")) <= 1.5
