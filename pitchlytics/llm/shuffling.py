@@ -1,14 +1,15 @@
 """Two-pass external shuffle of a whole table into shards.
 
-Pass one scatters rows uniformly into buckets by a seeded hash of id and text; there are as
-many buckets as make one fit in memory. Pass two sorts a bucket canonically, shuffles it by
+Pass one scatters rows uniformly into buckets by a seeded hash of all their columns; there are
+as many buckets as make one fit in memory. Rows that agree in all columns and together fill a
+quarter of a bucket or more are added up first, and their copies are dealt evenly over all
+buckets, from one on that the hash chooses. Pass two sorts a bucket canonically, shuffles it by
 Fisher-Yates (``Generator.permutation``) under a seed of its own and writes it. The buckets one
 after the other are the shuffled order, which is cut into shards whose counts differ by at
 most one. A bucket's rows cross the network once.
 
-Null ids and null texts are hashed as such. Rows that agree in id and text lie in one bucket,
-in any order among themselves; ids repeated with other texts spread over all buckets. A row
-larger than a bucket has a bucket to itself. An empty table gives an empty result of the same
+Nulls are hashed as such. Columns that hold maps are not hashed; many rows that agree in all but
+them raise. A row of any length is moved whole, so one larger than a bucket makes a larger bucket. An empty table gives an empty result of the same
 columns. The result has all input columns; input columns named like the added ones are replaced.
 """
 
@@ -16,11 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchlytics.llm.helpers import mixed64
+from pitchlytics.llm.helpers import hashable, mixed64
 from pitchlytics.storage import new_folder, settle
 
 #: Bytes of text of a bucket: what a task of pass two holds, a few times over.
@@ -37,20 +38,40 @@ def shuffle_rows(docs: DataFrame, shards: int, seed: int = 0, *, id_col: str = "
     """``docs`` with ``shard`` and ``slot``, each shard's rows in slots from 0 without a gap."""
     rows = docs.drop("shard", "slot")
     row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    tie = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(size_of(text_col)).alias("size")).first()
-    n, buckets = total["n"], max(1, -(-(total["size"] or 0) // bucket_bytes))
-    bucket = F.pmod(tie, F.lit(buckets))
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema if hashable(f.dataType)]
+    tie = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), *hashed)
+    sized = settle(rows.groupBy(tie.alias("tie")).agg(F.count(F.lit(1)).alias("n"), F.sum(size_of(text_col)).alias("size")), "rows")
+    total = sized.agg(F.sum("n").alias("n"), F.sum("size").alias("size")).first()
+    n, buckets = total["n"] or 0, max(1, -(-(total["size"] or 0) // bucket_bytes))
+    # At most four per bucket.
+    hot = settle(sized.where((F.col("n") > 1) & (F.col("size") >= max(1, bucket_bytes // 4))).select("tie", "n"), "repeated")
+    some_hot = not hot.isEmpty()
+
+    def home(of: Column) -> Column:
+        return F.pmod(of, F.lit(buckets))
+
+    scattered = rows.select(F.col(id_col).alias("id"), tie.alias("tie"), home(tie).alias("bucket"), F.lit(1).cast("long").alias("times"), row.alias("row"))
+    dealt = sized.select(home(F.col("tie")).alias("bucket"), "n")
+    if some_hot:
+        each = F.explode(F.expr(f"sequence(0L, least(n, {buckets}L) - 1)"))
+        times = F.expr(f"n div {buckets}L") + F.when(F.col("turn") < F.col("n") % buckets, 1).otherwise(0)
+        place = F.pmod(home(F.col("tie")) + F.col("turn"), F.lit(buckets))
+        copies = (
+            scattered.join(hot.select("tie"), "tie", "left_semi").groupBy("id", "tie", "row").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("turn", each).select("id", "tie", place.alias("bucket"), times.alias("times"), "row"))
+        scattered = scattered.join(hot.select("tie"), "tie", "left_anti").select("id", "tie", "bucket", "times", "row").unionByName(copies)
+        dealt = sized.join(hot.select("tie"), "tie", "left_anti").select(home(F.col("tie")).alias("bucket"), "n").unionByName(
+            hot.withColumn("turn", each).select(place.alias("bucket"), times.alias("n")))
 
     # One row per bucket: table size over bucket size, small beside the table.
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = settle(rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "buckets")
+    counts = settle(dealt.groupBy("bucket").agg(F.sum("n").alias("n")), "buckets")
     base = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    scattered = rows.select(F.col(id_col).alias("id"), tie.alias("tie"), bucket.alias("bucket"), row.alias("row"))
     schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("row", scattered.schema["row"].dataType)])
 
     def shuffled(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("tie", "ascending")])
+        table = table.take(pa.array(np.repeat(np.arange(table.num_rows), table.column("times").to_numpy())))
         own = mixed64(np.array([key[0].as_py()], np.uint64), seed)[0]
         order = np.random.Generator(np.random.PCG64(int(own))).permutation(table.num_rows)
         start = table.column("base")[0].as_py()
