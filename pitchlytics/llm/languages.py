@@ -8,7 +8,7 @@ gets the language of the prototype with the largest cosine, the first by name if
 
 Anything but a letter counts as a space, and runs of spaces as one. A null text, or one without
 a letter, is ``und`` with score 0, as is every text when there is nothing to learn from. Texts
-are profiled whole. Rows with a null label are not learned from. An empty table gives an empty
+are profiled whole, of any length, in any mix of scripts, in bounded memory beside the text. Rows with a null label are not learned from. An empty table gives an empty
 result. Other columns are ignored.
 """
 
@@ -32,6 +32,10 @@ SPACE = 32
 UNKNOWN = "und"
 #: Characters whose profiles are made in one matrix product.
 CHUNK_CHARS = 1 << 18
+#: N-grams, or pairs of text and n-gram, whose vectors are held at once.
+BLOCK = 4096
+#: An n-gram is common if at least one text in so many holds it.
+COMMON = 128
 #: Codes up to which distinct ones are found through a table and not by sorting.
 TABLE = 1 << 22
 #: Languages that may be learned; more are refused, as all prototypes go to every task.
@@ -89,20 +93,19 @@ def ranked(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(present), (np.cumsum(present) - 1)[codes]
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of the distinct n-grams (a row each) and a matrix of their counts, a row per text."""
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letter codes of the distinct n-grams (a row each); of every n-gram its text and its row."""
     codes, owner = letters(texts)
     alphabet, at = ranked(codes, int(codes.max(initial=0)) + 1)
     n = max(0, len(at) - GRAM + 1)
     whole = owner[:n] == owner[GRAM - 1:GRAM - 1 + n]
-    parts = [np.arange(len(alphabet))[:, None]]
-    rank, members = at.astype(np.int64), parts[0]
+    members = np.arange(len(alphabet))[:, None]
+    rank = at.astype(np.int64)
     for k in range(1, GRAM):
         size = len(members) * len(alphabet)
         distinct, rank = ranked(rank[:len(rank) - 1] * len(alphabet) + at[k:], size)
         members = np.concatenate([members[distinct // len(alphabet)], (distinct % len(alphabet))[:, None]], axis=1)
-    counts = np.bincount(owner[:n][whole] * len(members) + rank[whole], minlength=len(texts) * len(members))
-    return alphabet[members] if len(alphabet) else np.zeros((0, GRAM), np.uint32), counts.reshape(len(texts), -1)
+    return alphabet[members] if len(alphabet) else np.zeros((0, GRAM), np.uint32), owner[:n][whole], rank[whole]
 
 
 def bound(members: np.ndarray) -> np.ndarray:
@@ -116,10 +119,40 @@ def bound(members: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
+def added(members: np.ndarray, group: np.ndarray, rank: np.ndarray, groups: int) -> np.ndarray:
+    """The sum of n-gram vectors in each group, where an n-gram is given by its row in ``members``.
+
+    N-grams that many groups hold are multiplied as a matrix, in blocks of bounded size; all
+    others are added one pair of group and n-gram after the other, so memory follows the number of
+    n-grams and never groups times n-grams."""
+    out = np.zeros((groups, DIMENSIONS))
+    width = max(1, len(members))
+    pair, count = np.unique(group.astype(np.int64) * width + rank, return_counts=True)
+    group, rank = pair // width, pair % width
+    common = np.bincount(rank, minlength=width) * COMMON >= groups
+    column = np.cumsum(common) - 1
+    dense, wide = common[rank], np.flatnonzero(common)
+    by_column = np.argsort(column[rank[dense]], kind="stable")
+    at, row, n = column[rank[dense]][by_column], group[dense][by_column], count[dense][by_column]
+    step = max(1, min(BLOCK, BLOCK * DIMENSIONS // max(1, groups)))
+    for start in range(0, len(wide), step):
+        some = wide[start:start + step]
+        a, b = np.searchsorted(at, [start, start + len(some)])
+        table = np.zeros((groups, len(some)), np.float32)
+        table[row[a:b], at[a:b] - start] = n[a:b]
+        out += table @ bound(members[some])
+    row, rank, n = group[~dense], rank[~dense], count[~dense]
+    for start in range(0, len(row), BLOCK):
+        here = row[start:start + BLOCK]
+        first = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+        vectors = bound(members[rank[start:start + BLOCK]]) * n[start:start + BLOCK, None].astype(np.float32)
+        out[here[first]] += np.add.reduceat(vectors, first, axis=0)
+    return out
+
+
 def profiles(texts: list[str]) -> np.ndarray:
     """The sum of each text's n-gram vectors, a row per text."""
-    members, counts = grams(texts)
-    return counts.astype(np.float32) @ bound(members)
+    return added(*grams(texts), len(texts))
 
 
 def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -147,12 +180,9 @@ def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for a, b in chunks(texts):
-                members, counts = grams(texts[a:b])
-                names = sorted(set(langs[a:b]))
-                pick = np.zeros((len(names), b - a), np.float32)
-                for i, x in enumerate(langs[a:b]):
-                    pick[names.index(x), i] = 1
-                for name, row in zip(names, (pick @ counts.astype(np.float32)) @ bound(members), strict=True):
+                members, owner, rank = grams(texts[a:b])
+                names, of = np.unique(np.array(langs[a:b], object), return_inverse=True)
+                for name, row in zip(names, added(members, of[owner], rank, len(names)), strict=True):
                     sums[name] = sums.get(name, 0) + np.rint(row).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "sums"])

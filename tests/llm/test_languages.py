@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -33,6 +34,28 @@ def test_large_alphabets_take_the_sorting_way(monkeypatch):
     assert np.array_equal(L.profiles(TEXTS), expected)
 
 
+@pytest.mark.parametrize("common", [0, 2, 10**6])
+def test_rare_and_common_grams_add_up_alike(monkeypatch, common):
+    texts = TEXTS * 5 + [chr(0x4E00 + i) * 3 for i in range(50)]
+    expected = np.stack([profile(t) for t in texts])
+    monkeypatch.setattr(L, "COMMON", common)
+    monkeypatch.setattr(L, "BLOCK", 7)
+    assert np.array_equal(L.profiles(texts), expected)
+
+
+@pytest.mark.parametrize("alphabet, length", [(range(0x4E00, 0x9000), 20), (range(97, 123), 10)])
+def test_many_short_texts_need_little_memory(alphabet, length):
+    rng = random.Random(2)
+    texts = ["".join(chr(rng.choice(alphabet)) for _ in range(length)) for _ in range(10_000)]
+    L.letters(texts)
+    tracemalloc.start()
+    for a, b in L.chunks(texts):
+        L.profiles(texts[a:b])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 400 << 20
+
+
 def test_letter_vectors_are_nearly_orthogonal_and_fixed():
     a, b = L.letter_vector(ord("a")).astype(int), L.letter_vector(ord("b")).astype(int)
     assert abs(a @ b) / L.DIMENSIONS < 0.15 and set(a) == {-1, 1}
