@@ -119,7 +119,7 @@ def bound(members: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def added(members: np.ndarray, group: np.ndarray, rank: np.ndarray, groups: int) -> np.ndarray:
+def bundled(members: np.ndarray, group: np.ndarray, rank: np.ndarray, groups: int) -> np.ndarray:
     """The sum of n-gram vectors in each group, where an n-gram is given by its row in ``members``.
 
     N-grams that many groups hold are multiplied as a matrix, in blocks of bounded size; all
@@ -152,7 +152,7 @@ def added(members: np.ndarray, group: np.ndarray, rank: np.ndarray, groups: int)
 
 def profiles(texts: list[str]) -> np.ndarray:
     """The sum of each text's n-gram vectors, a row per text."""
-    return added(*grams(texts), len(texts))
+    return bundled(*grams(texts), len(texts))
 
 
 def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -182,7 +182,7 @@ def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
             for a, b in chunks(texts):
                 members, owner, rank = grams(texts[a:b])
                 names, of = np.unique(np.array(langs[a:b], object), return_inverse=True)
-                for name, row in zip(names, added(members, of[owner], rank, len(names)), strict=True):
+                for name, row in zip(names, bundled(members, of[owner], rank, len(names)), strict=True):
                     sums[name] = sums.get(name, 0) + np.rint(row).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "sums"])
