@@ -31,14 +31,13 @@ def _scored(scored: DataFrame, label: str, score: str, by: Sequence[str] = (), u
     rows = scored.dropna(subset=list(by)) if by else scored
     if unscored == "drop":
         return rows.dropna(subset=[label, score])
-    types = dict(rows.dtypes)
-    missing = F.col(label).isNull() | F.col(score).isNull()
+    return _checked(rows, F.col(label).isNotNull() & F.col(score).isNotNull(), "a row has no score or no label")
 
-    def checked(c: str) -> Column:
-        wrong = F.raise_error(F.lit("a row has no score or no label")).cast(types[c])
-        return F.when(missing, wrong).otherwise(F.col(c))
 
-    return rows.withColumns({c: checked(c) for c in (label, score)})
+def _checked(rows: DataFrame, right: Column, message: str) -> DataFrame:
+    """``rows``, which fail where ``right`` is false. A filter looks at a row once, whereas a check
+    inside a column is repeated wherever that column is used."""
+    return rows.where(F.when(right, True).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
 
 
 def _per_score(scored: DataFrame, label: str, score: str, by: Sequence[str], unscored: str) -> DataFrame:
@@ -231,12 +230,17 @@ def rank_groups_by_auc(metrics: DataFrame, by="pitch_subtype") -> DataFrame:
 
 
 def roc_curve(
-    scored: DataFrame, label="is_whiff", score="score", group_cols: Sequence[str] = (), unscored: str = "raise"
+    scored: DataFrame, label="is_whiff", score="score", group_cols: Sequence[str] = (), unscored: str = "raise",
+    thin: bool = False,
 ) -> DataFrame:
     """False and true positive rate at each distinct score, with the (0, 0) start at a NULL
-    threshold. Groups of one class have a NULL rate."""
+    threshold. Groups of one class have a NULL rate.
+
+    ``thin`` leaves out the points on a straight line between their neighbours, exactly: a point
+    stays if the step to the next lower score turns. The curve and its area are the same."""
     by = list(group_cols)
-    ranked = running_totals(_per_score(scored, label, score, by, unscored), by, ["score"], ["pos", "neg"])
+    steps = ("pos", "neg")
+    ranked = running_totals(_per_score(scored, label, score, by, unscored), by, ["score"], steps, steps if thin else ())
 
     def at_or_above(c: str) -> Column:
         return F.try_divide((F.col(f"{c}_all") - F.col(f"{c}_before")).cast("double"), F.col(f"{c}_all"))
@@ -246,6 +250,9 @@ def roc_curve(
     start = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     lowest = (F.col("pos_before") == 0) & (F.col("neg_before") == 0)
     points = F.when(lowest, F.array(point, start)).otherwise(F.array(point))
+    if thin:
+        pos, neg, next_pos, next_neg = (F.col(c).cast("decimal(19,0)") for c in ("pos", "neg", "pos_previous", "neg_previous"))
+        ranked = ranked.where(lowest | (pos * next_neg != neg * next_pos))
     return ranked.select(*by, F.explode(points).alias("p")).select(*by, "p.*")
 
 
@@ -282,8 +289,7 @@ def score_histogram(
     """Density histogram of the scores of each class between its own extremes. All bins are
     listed, the last one is closed. A label other than 0 and 1 fails."""
     p, scored = F.col(score), _scored(scored, label, score, unscored=unscored)
-    other = F.raise_error(F.lit("a label is not 0 or 1")).cast(dict(scored.dtypes)[label])
-    scored = scored.withColumn(label, F.when(F.col(label).isin(0, 1), F.col(label)).otherwise(other))
+    scored = _checked(scored, F.col(label).isin(0, 1), "a label is not 0 or 1")
     # one row per class, two in all, so it may be broadcast
     extremes = (
         scored.groupBy(label)

@@ -11,10 +11,11 @@ from ..storage import settle
 
 
 def running_totals(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]
+    df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], previous: Sequence[str] = ()
 ) -> DataFrame:
     """Each row with ``<c>_before``, the sum of ``c`` over the earlier rows of its group, and
-    ``<c>_all``, the sum over the group, for every column ``c``.
+    ``<c>_all``, the sum over the group, for every column ``c``; with ``<c>_previous``, the value
+    of the row before it in its group, for every column of ``previous``.
 
     Rows are range-partitioned on group and order and that placement is written down, since
     a recomputed range partitioning may draw other boundaries. A slice is an equal share of
@@ -28,18 +29,29 @@ def running_totals(
 
     whole = Window.partitionBy(*by)
     earlier = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy(*by, "slice").agg(*(F.sum(c).alias(c) for c in columns))
+    last = F.struct(*(x for c in order for x in (F.col(c).isNull(), F.col(c))))
+    offsets = placed.groupBy(*by, "slice").agg(
+        *(F.sum(c).alias(c) for c in columns), *(F.max_by(c, last).alias(f"{c}_last") for c in previous)
+    )
     offsets = offsets.select(
         *by,
         "slice",
         *(_sum(c, earlier).alias(f"{c}_offset") for c in columns),
         *(_sum(c, whole).alias(f"{c}_all") for c in columns),
+        *(F.lag(f"{c}_last").over(whole.orderBy("slice")).alias(f"{c}_carried") for c in previous),
     )
     before = Window.partitionBy(*by, "slice").orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.withColumns({f"{c}_before": _sum(c, before) for c in columns})
+    inside = Window.partitionBy(*by, "slice").orderBy(*ordering)
+    out = placed.withColumns(
+        {f"{c}_before": _sum(c, before) for c in columns} | {f"{c}_previous": F.lag(c).over(inside) for c in previous}
+        | ({"first": F.row_number().over(inside) == 1} if previous else {})
+    )
     out = out.join(offsets, [*by, "slice"])
-    out = out.withColumns({f"{c}_before": F.col(f"{c}_before") + F.col(f"{c}_offset") for c in columns})
-    return out.drop("slice", *(f"{c}_offset" for c in columns))
+    out = out.withColumns(
+        {f"{c}_before": F.col(f"{c}_before") + F.col(f"{c}_offset") for c in columns}
+        | {f"{c}_previous": F.when(F.col("first"), F.col(f"{c}_carried")).otherwise(F.col(f"{c}_previous")) for c in previous}
+    )
+    return out.drop("slice", "first", *(f"{c}_offset" for c in columns), *(f"{c}_carried" for c in previous))
 
 
 def _sum(c: str, window) -> Column:

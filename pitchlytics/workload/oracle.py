@@ -356,6 +356,17 @@ def _report(by: str = "") -> str:
     return f"SELECT * FROM (WITH o AS ({_overall(by)}) {rows})"
 
 
+def _roc_thin(by: str = "") -> str:
+    """Corners of the curve: the lowest score of a group, and scores whose step turns against the next lower one's."""
+    keys, part = (f"{by}, ", f"PARTITION BY {by}") if by else ("", "")
+    same = f"k.{by} = t.{by} AND " if by else ""
+    corners = f"""SELECT {keys}round(score, 9) + 0.0 AS corner FROM (SELECT *, lag(pos) OVER w AS q, lag(neg) OVER w AS m FROM (
+    SELECT {keys}score, CAST(sum(is_whiff) AS HUGEINT) AS pos, CAST(sum(1 - is_whiff) AS HUGEINT) AS neg
+    FROM scored_view {f"WHERE {by} IS NOT NULL" if by else ""} GROUP BY {keys}score) WINDOW w AS ({part} ORDER BY score)) WHERE q IS NULL OR pos * m <> neg * q"""
+    return f"""SELECT * FROM ({_roc(by, f"WHERE {by} IS NOT NULL" if by else "")}) t
+WHERE threshold IS NULL OR EXISTS (SELECT 1 FROM ({corners}) k WHERE {same}k.corner = t.threshold)"""
+
+
 def _roc(by: str = "", where: str = "") -> str:
     keys, part = (f"{by}, ", f"PARTITION BY {by}") if by else ("", "")
     frame = f"({part} ORDER BY score DESC ROWS UNBOUNDED PRECEDING)"
@@ -697,6 +708,8 @@ GROUP BY o.term, o.k1, o.k2, o.k3, o.k4, o.block""",
     "rank_groups_by_auc": f"""SELECT *, row_number() OVER (ORDER BY auc DESC NULLS LAST, pitch_type) AS auc_rank
 FROM ({_by_group("pitch_type", True)})""",
     "roc_curve": _roc(),
+    "roc_curve_thin": _roc_thin(),
+    "roc_curve_thin_by_zone": _roc_thin("zone"),
     "roc_by_group": _roc("pitch_type", f"WHERE pitch_type IN {TOP_TYPES}"),
     "calibration_curve": f"""SELECT {BIN} AS bin, count(*) AS n, {r("avg(score)", "mean_score")},
   {r("avg(is_whiff)", "share_positive")} FROM scored_view GROUP BY 1""",

@@ -944,6 +944,8 @@ evaluated("metrics_by_zone", lambda df: V.metrics_by_group(df, "zone", both_clas
 evaluated("top_pitch_types", lambda df: V.top_pitch_types(V.metrics_by_group(df, "pitch_type"), "pitch_type"))
 evaluated("rank_groups_by_auc", lambda df: V.rank_groups_by_auc(V.metrics_by_group(df, "pitch_type"), "pitch_type"))
 evaluated("roc_curve", V.roc_curve)
+evaluated("roc_curve_thin", lambda df: V.roc_curve(df, thin=True))
+evaluated("roc_curve_thin_by_zone", lambda df: V.roc_curve(df, group_cols=["zone"], thin=True))
 evaluated("roc_by_group", lambda df: V.roc_by_group(df, "pitch_type"))
 evaluated("calibration_curve", V.calibration_curve)
 evaluated("score_histogram", V.score_histogram)

@@ -143,6 +143,30 @@ def test_roc_curve_points_and_area(frame):
     assert area == pytest.approx(brute_auc(data))
 
 
+@pytest.mark.usefixtures("many_slices")
+@pytest.mark.parametrize("by", [[], ["zone"]])
+def test_thin_curve_keeps_the_corners(frame, by):
+    rng = random.Random(6)
+    runs = [(rng.randint(0, 1), i, rng.choice([1, 1, 5])) for i in range(300)]
+    data = [(y, i / 300, z) for y, i, z in runs] + [(y, 0.5001, 1) for y in (0, 1, 1)]
+    whole, thin = (V.roc_curve(frame(SCHEMA, data), group_cols=by, thin=t).collect() for t in (False, True))
+    for z in {r.zone for r in whole} if by else {None}:
+        mine = sorted(((r.fpr, r.tpr) for r in whole if not by or r.zone == z))
+        kept = sorted(((r.fpr, r.tpr) for r in thin if not by or r.zone == z))
+        p, n = (sum(d[0] == y and (z is None or d[2] == z) for d in data) for y in (1, 0))
+        exact = [(round(a * n), round(b * p)) for a, b in mine]
+        turn = [(b[0] - a[0]) * (c[1] - b[1]) != (b[1] - a[1]) * (c[0] - b[0]) for a, b, c in zip(exact, exact[1:], exact[2:])]
+        assert kept == [mine[0], *(m for m, t in zip(mine[1:-1], turn) if t), mine[-1]]
+        assert len(kept) < len(mine)
+
+
+def test_a_check_of_rows_stands_once_in_the_plan(frame, capsys):
+    V.score_histogram(frame(SCHEMA, scored(50))).count()
+    V.calibration_curve(frame(SCHEMA, scored(50))).explain("extended")
+    optimised = capsys.readouterr().out.split("Optimized Logical Plan")[1].split("Physical Plan")[0]
+    assert optimised.count("raise_error") == 1
+
+
 def test_roc_by_group_takes_the_largest(frame, rows):
     data = scored(600) + [(1, 0.3, 9)] * 400
     out = V.roc_by_group(frame(SCHEMA, data), "zone", k=2)
