@@ -122,12 +122,19 @@ def bound(members: np.ndarray) -> np.ndarray:
 def bundled(members: np.ndarray, group: np.ndarray, rank: np.ndarray, groups: int) -> np.ndarray:
     """The sum of n-gram vectors in each group, where an n-gram is given by its row in ``members``.
 
-    N-grams that many groups hold are multiplied as a matrix, in blocks of bounded size; all
-    others are added one pair of group and n-gram after the other, so memory follows the number of
-    n-grams and never groups times n-grams."""
+    A table of counts of up to ``TABLE`` cells is multiplied as it is. In a larger one n-grams that
+    many groups hold are multiplied as a matrix, in blocks of bounded size, and all others are
+    added one pair of group and n-gram after the other, so memory follows the number of n-grams
+    and never groups times n-grams. The sums are the same."""
     out = np.zeros((groups, DIMENSIONS))
     width = max(1, len(members))
-    pair, count = np.unique(group.astype(np.int64) * width + rank, return_counts=True)
+    key = group.astype(np.int64) * width + rank
+    if groups * width <= TABLE:
+        counts = np.bincount(key, minlength=groups * width).reshape(groups, width)
+        for start in range(0, len(members), BLOCK):
+            out += counts[:, start:start + BLOCK].astype(np.float32) @ bound(members[start:start + BLOCK])
+        return out
+    pair, count = np.unique(key, return_counts=True)
     group, rank = pair // width, pair % width
     common = np.bincount(rank, minlength=width) * COMMON >= groups
     column = np.cumsum(common) - 1
