@@ -145,8 +145,9 @@ def score(frame: DataFrame, params: DataFrame, terms: Sequence[Term], name: str
     Swings are collapsed to distinct index combinations first. The effects of a batter, of a
     pitcher and of the groups are each summed on their own, far smaller, distinct keys and
     settled, so that the planner knows their sizes. Cells meet the players first, with keys
-    only; the groups, which levels bound and not players, come last and carry the intercept, so
-    no cell is joined on its block alone. Only (sum, count) leaves a block."""
+    only, and add up as they go, so one array at most goes through the next join; the groups,
+    which levels bound and not players, come last and carry the intercept, so no cell is joined
+    on its block alone. Only (sum, count) leaves a block."""
     keys = key_columns(terms)
     cells = settle(frame.select(*keys).distinct(), "cells")
     # As long as the chains and no longer, whatever the number of players.
@@ -166,9 +167,11 @@ def score(frame: DataFrame, params: DataFrame, terms: Sequence[Term], name: str
             columns, kept = ["_intercept", *columns], [*kept, "_draws"]
         summed = settle(summed.select(*kept, _added(columns).alias(f"_part{i}")), "part")
         scored = scored.join(summed, [*part_keys, "draw_block"], "left")
+        if 0 < i < len(parts) - 1:
+            scored = scored.withColumn(f"_part{i}", _added([f"_part{i - 1}", f"_part{i}"])).drop(f"_part{i - 1}")
 
     likely = F.aggregate(
-        _added([f"_part{i}" for i in range(len(parts))]), F.lit(0.0), lambda total, logit: total + 1.0 / (1.0 + F.exp(-logit))
+        _added([f"_part{i}" for i in range(max(0, len(parts) - 2), len(parts))]), F.lit(0.0), lambda total, logit: total + 1.0 / (1.0 + F.exp(-logit))
     )
     probabilities = (
         scored.select(*keys, likely.alias("_likely"), "_draws")
@@ -211,35 +214,52 @@ def posterior_summary(draws: DataFrame, by: Sequence[str] = ("param",), prob: fl
     of a parameter, a number fixed by the sampler, are gathered once into an array."""
     by = list(by)
     kept = draws.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("chain", "draw", "value"))).alias("_draws"))
-    kept = kept.withColumn("_all", F.array_sort(F.transform("_draws", lambda x: x["value"])))
+    chains = F.array_distinct(F.transform("_draws", lambda x: x["chain"]))
+    values_of = lambda chain: F.transform(F.filter("_draws", lambda x: x["chain"] == chain), lambda x: x["value"])
+    return _summarised(
+        kept.select(*by, F.transform("_draws", lambda x: x["value"]).alias("_values"), F.transform(chains, values_of).alias("_chains")), by, prob)
+
+
+def summary_of_blocks(params: DataFrame, draws: int, prob: float = 0.94) -> DataFrame:
+    """``posterior_summary`` of a parameter table with ``draws`` draws a chain.
+
+    The draws stay in their blocks on the way: a row travels per block, blocks of a parameter
+    are laid end to end in order, and chains are slices of the whole. A last chain that is cut
+    short counts as it is."""
+    by = ["term", *KEY_COLUMNS]
+    blocks = F.array_sort(F.collect_list(F.struct("draw_block", "draws")))
+    kept = params.groupBy(*by).agg(blocks.alias("_blocks")).select(*by, F.flatten("_blocks.draws").alias("_values"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_values"), F.lit(1)), F.lit(draws))
+    chains = F.transform(starts, lambda at: F.slice("_values", at, draws))
+    return _summarised(kept.withColumn("_chains", chains), by, prob)
+
+
+def _summarised(kept: DataFrame, by: Sequence[str], prob: float) -> DataFrame:
+    """Summary of the arrays ``_values`` (all draws) and ``_chains`` (those of each chain)."""
+    kept = kept.withColumn("_all", F.array_sort("_values"))
     n = F.size("_all")
     span = F.floor(F.lit(prob) * n).cast("int")
-    widths = F.transform(
-        F.sequence(F.lit(1), n - span),
-        lambda i: F.struct(
-            (F.element_at("_all", i + span) - F.element_at("_all", i)).alias("width"),
-            F.element_at("_all", i).alias("lo"), F.element_at("_all", i + span).alias("hi")),
-    )
+    # Intervals by their lower end: the draw that is the span above less the draw itself.
+    widths = F.zip_with(F.slice("_all", span + 1, n - span), F.slice("_all", F.lit(1), n - span), lambda high, low: high - low)
 
-    def of_chain(chain: Column) -> Column:
-        values = F.transform(F.filter("_draws", lambda x: x["chain"] == chain), lambda x: x["value"])
-        half = F.floor(F.size(values) / 2).cast("int")
-        return F.array(F.slice(values, F.lit(1), half), F.slice(values, F.size(values) - half + 1, half))
+    def halves_of(chain: Column) -> Column:
+        half = F.floor(F.size(chain) / 2).cast("int")
+        return F.array(F.slice(chain, F.lit(1), half), F.slice(chain, F.size(chain) - half + 1, half))
 
-    chains = F.array_distinct(F.transform("_draws", lambda x: x["chain"]))
+    halves = F.filter(F.flatten(F.transform("_chains", halves_of)), lambda h: F.size(h) > 0)
+    # A projection of its own for each array, so that none is computed once per use.
+    kept = kept.withColumns({"_widths": widths, "_halves": halves})
     kept = kept.withColumns({
-        "_narrowest": F.array_min(widths),
-        "_halves": F.filter(F.flatten(F.transform(chains, of_chain)), lambda h: F.size(h) > 0),
-    })
-    spreads = F.filter(F.transform("_halves", _variance), lambda v: v.isNotNull())
-    kept = kept.withColumns({"_within": _mean(spreads), "_between": _variance(F.transform("_halves", _mean))})
+        "_low": F.array_position("_widths", F.array_min("_widths")).cast("int"), "_span": span,
+        "_means": F.transform("_halves", _mean), "_spreads": F.filter(F.transform("_halves", _variance), lambda v: v.isNotNull())})
+    kept = kept.withColumns({"_within": _mean(F.col("_spreads")), "_between": _variance(F.col("_means"))})
     length = F.array_max(F.transform("_halves", F.size)).cast("double")
     return kept.select(
         *by,
         _mean(F.col("_all")).alias("mean"),
         F.sqrt(_variance(F.col("_all"))).alias("sd"),
-        F.col("_narrowest.lo").alias("hdi_low"),
-        F.col("_narrowest.hi").alias("hdi_high"),
+        F.get("_all", F.col("_low") - 1).alias("hdi_low"),
+        F.get("_all", F.col("_low") + F.col("_span") - 1).alias("hdi_high"),
         F.sqrt(F.try_divide((length - 1) / length * F.col("_within") + F.col("_between"), F.col("_within"))).alias("r_hat"),
     )
 
@@ -251,6 +271,7 @@ def _mean(values: Column) -> Column:
 
 def _variance(values: Column) -> Column:
     """Sample variance of an array, NULL below two values."""
-    middle = _mean(values)
-    squares = F.aggregate(values, F.lit(0.0), lambda total, x: total + (x - middle) * (x - middle))
-    return F.when(F.size(values) > 1, squares / (F.size(values) - 1))
+    # The mean is bound once; written into the sum it would be computed for every value.
+    squares = F.transform(
+        F.array(_mean(values)), lambda middle: F.aggregate(values, F.lit(0.0), lambda total, x: total + (x - middle) * (x - middle)))
+    return F.when(F.size(values) > 1, F.get(squares, F.lit(0)) / (F.size(values) - 1))

@@ -744,7 +744,7 @@ def posterior_of_fit(spark, sf):
     fit, agree between chains and spread."""
     trained = fitted_model(spark, sf)
     keys = ["term", *M.KEY_COLUMNS]
-    summary = M.posterior_summary(M.long_draws(trained.params, S.DRAWS, S.BLOCK), by=keys)
+    summary = M.summary_of_blocks(trained.params, S.DRAWS)
     fit = trained.estimates.select(*keys, F.col("draws")[0].alias("effect"))
     draws = S.CHAINS * S.DRAWS
     # Scales are repeated, not drawn: their spread is that of rounding.
@@ -876,7 +876,7 @@ def effect_draws(spark, sf):
 @query
 def posterior_summary(spark, sf):
     params = enhanced_draws(spark, sf)
-    return rounded(M.posterior_summary(M.long_draws(params, S.DRAWS, S.BLOCK), by=["term", *M.KEY_COLUMNS]))
+    return rounded(M.summary_of_blocks(params, S.DRAWS))
 
 
 @query

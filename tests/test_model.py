@@ -200,3 +200,33 @@ def test_posterior_summary_against_numpy(frame):
         assert row.sd == pytest.approx(flat.std(ddof=1))
         assert row.hdi_high - row.hdi_low == pytest.approx(widths[i])
         assert row.r_hat == pytest.approx(np.sqrt(((half - 1) / half * within + between) / within))
+
+
+@pytest.mark.parametrize("chains, draws, block", [(3, 41, 10), (2, 8, 8), (1, 5, 2), (2, 7, 20), (1, 1, 1)])
+def test_summary_of_blocks_equals_that_of_single_draws(frame, rows, chains, draws, block):
+    rng = np.random.default_rng(chains * draws)
+    # Few distinct values, so intervals tie.
+    flat = {key: rng.integers(0, 9, chains * draws) / 8 for key in range(4)}
+    flat[3] = flat[3][: chains * draws - min(2, chains * draws - 1)]  # a last chain that is cut short
+    data = [("t", key, 0, 0, 0, at // block, [float(v) for v in values[at : at + block]])
+            for key, values in flat.items() for at in range(0, len(values), block)]
+    params = frame(PARAMS, random.Random(1).sample(data, len(data)))
+    names = ["term", *M.KEY_COLUMNS, "mean", "sd", "hdi_low", "hdi_high", "r_hat"]
+    assert rows(M.summary_of_blocks(params, draws), *names) == rows(
+        M.posterior_summary(M.long_draws(params, draws, block), by=names[:5]), *names)
+
+
+def test_one_array_at_most_travels_on_the_way_to_the_groups(spark, frame, monkeypatch, capsys):
+    """With joins that shuffle, no exchange carries the arrays of two parts."""
+    monkeypatch.setattr(M, "settle", lambda df, name: df)
+    keys, data = frame_rows(M.ENHANCED, 60)
+    df, params = frame(", ".join(f"{k} int" for k in keys) + ", is_whiff int", data), frame(PARAMS, posterior(M.ENHANCED)[1])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        M.score(df, params, M.ENHANCED).explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    exchanged = [x.split("\n\n")[0] for x in capsys.readouterr().out.split(") Exchange\n")[1:]]
+    parts = [{f"_part{i}" for i in range(3) if f"_part{i}#" in x} for x in exchanged]
+    assert any(parts) and all(len(p) <= 1 for p in parts)
