@@ -143,7 +143,7 @@ def load_players(spark: SparkSession, landing: Landing, base: str, kind: str) ->
     ids = landing.schema["pitcher"].dataType
     schema = T.StructType([T.StructField("player_id", ids), *schema.fields[1:]])
     existing = read_table(spark, f"{base}/{kind}", schema)
-    incoming = read_player_csv(spark, f"{landing.path}/{kind}", ids)
+    incoming = read_player_csv(spark, f"{landing.path}/{kind}", ids, landing.headers.get(kind))
     new = conform_to_schema(anti_join_new(incoming, existing, "player_id"), schema, schema.names)
     new.write.mode("append").parquet(current_path(spark, f"{base}/{kind}"))
 

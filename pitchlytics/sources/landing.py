@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators.players import one_name_per_player
 from ..schema import LANDED_COLUMNS, PITCH_SCHEMA
+from ..storage import settle
 
 # Texts that stand for a missing value in a landed file.
 NULL_TOKENS = (
@@ -44,12 +45,9 @@ def typed(name: str, dtype: T.DataType) -> Column:
     return value.alias(name)
 
 
-def _files_by_header(
-    spark: SparkSession, path: str, days: Sequence[DayRange] | None
-) -> dict[tuple[str, ...], list[str]]:
-    """Landed files grouped by their first line. The lines are reduced to one per file before
-    they move; only file names and headers come to the driver, which lists the files of a scan
-    anyway."""
+def file_headers(spark: SparkSession, path: str, days: Sequence[DayRange] | None = None) -> DataFrame:
+    """``file`` and ``fields``, its first line's, of every landed file: a pass over the text whose
+    lines are reduced to one per file before they move."""
     lines = spark.read.text(path)
     if days is not None and "day" in lines.columns:
         lines = lines.where(in_ranges("day", days))
@@ -58,11 +56,7 @@ def _files_by_header(
         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"),
     )
     first = placed.groupBy("file").agg(F.min_by("value", "place").alias("value"))
-    fields = F.transform(F.split("value", ","), lambda f: F.trim(f, F.lit(' "\ufeff')))
-    out: dict[tuple[str, ...], list[str]] = {}
-    for row in first.select("file", fields.alias("fields")).orderBy("file").collect():
-        out.setdefault(tuple(row["fields"]), []).append(row["file"])
-    return out
+    return first.select("file", F.transform(F.split("value", ","), lambda f: F.trim(f, F.lit(' "\ufeff'))).alias("fields"))
 
 
 def texts(header: Sequence[str]) -> T.StructType:
@@ -91,9 +85,11 @@ def read_landed_csv(
 
     Files may order columns differently, lack any or carry extra ones; a column that a file
     lacks is NULL in its rows. A plain read of a folder applies the first header to all files,
-    so a first pass over the text finds the headers and files are read per distinct header.
-    Give ``header`` where all files share it: they are read in one pass, and a file with
-    another header fails the read.
+    so a first pass over the text writes a table of the files and their headers. Where they
+    differ, files are read by position and joined with that table, which tells where each
+    column lies; of the files, only the folders of the days come to the driver. Give ``header``
+    where all files share it: they are read in one pass, and a file with another header fails
+    the read.
 
     ``days`` limits a folder laid out as ``day=YYYY-MM-DD`` to those ranges, and files of
     other days are not opened."""
@@ -103,14 +99,23 @@ def read_landed_csv(
         if days is not None and "day" in raw.columns:
             raw = raw.where(in_ranges("day", days))
         return as_schema(raw, header, schema)
-    out = None
-    by_header = _files_by_header(spark, path, days)
-    for found, files in by_header.items():
-        # files of one header in all are read as the folder, without their list
-        source = path if len(by_header) == 1 and days is None else files
-        part = as_schema(reader.schema(texts(found)).csv(source), found, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    # Where each column of the table lies in each file, from 1, and 0 for those it lacks.
+    places = F.array(*(F.array_position("fields", f.name).cast("int") for f in schema.fields))
+    ledger = settle(file_headers(spark, path, days).withColumn("places", places), "headers")
+    kinds = ledger.select("fields").distinct().limit(2).collect()
+    if not kinds:
+        return spark.createDataFrame([], schema)
+    # One folder a day, or the flat folder itself.
+    folder = F.regexp_replace("file", "/[^/]*$", "").alias("folder")
+    source = path if days is None else sorted(r["folder"] for r in ledger.select(folder).distinct().collect())
+    if len(kinds) == 1:
+        fields = kinds[0]["fields"]
+        return as_schema(reader.schema(texts(fields)).csv(source), fields, schema)
+    cells = [f"_{i}" for i in range(ledger.agg(F.max(F.size("fields"))).first()[0])]
+    found = reader.schema(texts(cells)).csv(source).select(F.col("_metadata.file_path").alias("file"), F.array(*cells).alias("_cells"))
+    named = found.join(ledger.select("file", "places"), "file").select(
+        *(F.get("_cells", F.col("places")[i] - 1).alias(f.name) for i, f in enumerate(schema.fields)))
+    return as_schema(named, schema.names, schema)
 
 
 def landed_schema(ids: str = "int") -> T.StructType:
@@ -136,10 +141,12 @@ def read_pitch_csv(
     return read_landed_csv(spark, path, schema or landed_schema(), days, header)
 
 
-def read_player_csv(spark: SparkSession, path: str, id_type: T.DataType | None = None) -> DataFrame:
-    """Landed players, one row per id."""
+def read_player_csv(
+    spark: SparkSession, path: str, id_type: T.DataType | None = None, header: Sequence[str] | None = None
+) -> DataFrame:
+    """Landed players, one row per id; ``header`` as in ``read_landed_csv``."""
     schema = T.StructType(
         [T.StructField("player_id", id_type or T.IntegerType()), T.StructField("player_name", T.StringType())]
     )
-    rows = read_landed_csv(spark, path, schema)
+    rows = read_landed_csv(spark, path, schema, header=header)
     return one_name_per_player(rows.where(F.col("player_id").isNotNull()))

@@ -17,6 +17,9 @@ PARTITIONS = ("league", "game_year")
 #: again under the same name replaces itself.
 LOAD = "load"
 
+#: The day of a row, by which rows lie inside a file.
+DAY = "game_date"
+
 #: The tables of the data model. Both leagues share one pitch schema; ``blast`` is the
 #: column added after the declared ones.
 TABLES = {
@@ -108,6 +111,14 @@ def _point_to(spark: SparkSession, path: str, version: str) -> None:
     context.rename(aside, _files(spark, f"{path}.versions/current")[1], options)
 
 
+def _laid_out(df: DataFrame, partitions: Sequence[str], spread: Sequence[str] | None = None) -> DataFrame:
+    """Rows in evenly sized files of their partitions, those of a file in order of their day, so
+    that a scan of some days of a season skips the pages of the others. The writer sorts by
+    partition anyway; the day is one more sort key."""
+    rows = df.hint("rebalance", *(partitions if spread is None else spread))
+    return rows.sortWithinPartitions(*partitions, DAY) if DAY in df.columns else rows
+
+
 def replace_table(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
     """Replace the contents of a table all at once. ``df`` may read from it.
 
@@ -117,7 +128,7 @@ def replace_table(df: DataFrame, path: str, partitions: Sequence[str] = ()) -> N
     go."""
     spark = df.sparkSession
     before, version = current_path(spark, path), f"v-{uuid.uuid4().hex}"
-    df.hint("rebalance", *partitions).write.partitionBy(*partitions).parquet(f"{path}.versions/{version}")
+    _laid_out(df, partitions).write.partitionBy(*partitions).parquet(f"{path}.versions/{version}")
     _point_to(spark, path, version)
     store, folder = _files(spark, f"{path}.versions")
     for status in store.listStatus(folder):
@@ -139,8 +150,8 @@ def append_pitches(
     if columns is not None:
         named = named.select(*columns, LOAD)
     path = current_path(df.sparkSession, path)
-    writer = named.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*partitions, LOAD).parquet(path)
+    placed = _laid_out(named, [*partitions, LOAD], partitions)
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, LOAD).parquet(path)
 
 
 def read_pitches(spark: SparkSession, path: str) -> DataFrame:

@@ -282,3 +282,35 @@ def test_report_is_one_file_with_header(frame, tmp_path):
     tables.write_report_csv(frame("a string, b int", [("x", 1), ("y", 2)]), str(path))
     parts = [p for p in path.iterdir() if p.suffix == ".csv"]
     assert len(parts) == 1 and parts[0].read_text().splitlines()[0] == "a,b"
+
+
+def test_headers_that_drift_between_days(spark, rows, tmp_path):
+    """Files of other headers, by day, with many files of each: columns by name, other days not read."""
+    for i in range(1, 10):
+        day = f"2000-04-0{i}"
+        (tmp_path / f"day={day}").mkdir()
+        cells = line(day, i, x=f"0.{i}")
+        header = HEADER if i % 3 else HEADER[::-1]
+        write(tmp_path / f"day={day}" / "a.csv", header, [cells if i % 3 else cells[::-1]] * 2)
+    span = [(dt.date(2000, 4, 2), dt.date(2000, 4, 7))]
+    found = landing.read_pitch_csv(spark, str(tmp_path), days=span)
+    assert rows(found, "game_pk", "plate_x", "pitcher") == [(i, i / 10, 8) for i in range(2, 8) for _ in range(2)]
+    plain = landing.read_pitch_csv(spark, str(tmp_path), days=[(dt.date(2000, 4, 4), dt.date(2000, 4, 5))])
+    assert rows(plain, "game_pk", "plate_x") == [(4, 0.4)] * 2 + [(5, 0.5)] * 2
+    assert landing.read_pitch_csv(spark, str(tmp_path), days=[(dt.date(2001, 1, 1), dt.date(2001, 1, 2))]).count() == 0
+
+
+def test_rows_of_a_file_lie_in_order_of_their_day(spark, frame, tmp_path):
+    import pyarrow.parquet as pq
+
+    day = dt.date(2000, 4, 1)
+    data = [(lg, 2000, day + dt.timedelta(i * 37 % 90), i) for i in range(2000) for lg in ("major", "minor")]
+    df = frame("league string, game_year int, game_date date, game_pk int", data).repartition(5)
+    tables.append_pitches(df, str(tmp_path / "t"))
+    tables.replace_table(spark.read.parquet(str(tmp_path / "t")), str(tmp_path / "t"), [*tables.PARTITIONS, tables.LOAD])
+    assert tables.read_pitches(spark, str(tmp_path / "t")).count() == len(data)
+    files = [f for where in ("t", "t.versions") for f in (tmp_path / where).rglob("*.parquet")]
+    assert len(files) >= 4
+    for f in files:
+        days = pq.read_table(str(f), columns=["game_date"], partitioning=None)["game_date"].to_pylist()
+        assert days == sorted(days)
