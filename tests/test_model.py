@@ -230,3 +230,15 @@ def test_one_array_at_most_travels_on_the_way_to_the_groups(spark, frame, monkey
     exchanged = [x.split("\n\n")[0] for x in capsys.readouterr().out.split(") Exchange\n")[1:]]
     parts = [{f"_part{i}" for i in range(3) if f"_part{i}#" in x} for x in exchanged]
     assert any(parts) and all(len(p) <= 1 for p in parts)
+
+
+def test_draws_of_players_are_never_broadcast(spark, frame, capsys):
+    """A file of few distinct draws is small on disk and large in memory, so its size is no measure."""
+    keys, data = frame_rows(M.ENHANCED, 20)
+    cells = frame(", ".join(f"{k} int" for k in keys) + ", is_whiff int", data).select(*keys)
+    params = settle(frame(PARAMS, posterior(M.ENHANCED)[1]), "params")
+    for term in M.ENHANCED:
+        M.gather_effect(cells, params, term).explain()
+        assert ("BroadcastExchange" in capsys.readouterr().out) == (term.name.startswith("group"))
+    M.score(cells, params, M.TWO_WAY[:1]).explain()
+    assert "BroadcastExchange" not in capsys.readouterr().out
