@@ -242,3 +242,19 @@ def test_draws_of_players_are_never_broadcast(spark, frame, capsys):
         assert ("BroadcastExchange" in capsys.readouterr().out) == (term.name.startswith("group"))
     M.score(cells, params, M.TWO_WAY[:1]).explain()
     assert "BroadcastExchange" not in capsys.readouterr().out
+
+
+def test_a_sweep_broadcasts_nothing(spark, cells, monkeypatch):
+    """The sums of a sweep are small files of compressed numbers, so none is left to the planner."""
+    plans = []
+
+    def watched(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return settle(df, label)
+
+    monkeypatch.setattr(P, "settle", watched)
+    with pytest.raises(RuntimeError, match="did not rest"):
+        P.fit(cells, M.ENHANCED, max_sweeps=2)
+    solved = [plan for label, plan in plans if label == "solved"]
+    assert len(solved) == 6
+    assert [line for plan in solved for line in plan.splitlines() if "Broadcast" in line] == []
