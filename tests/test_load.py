@@ -314,3 +314,21 @@ def test_rows_of_a_file_lie_in_order_of_their_day(spark, frame, tmp_path):
     for f in files:
         days = pq.read_table(str(f), columns=["game_date"], partitioning=None)["game_date"].to_pylist()
         assert days == sorted(days)
+
+
+def test_derived_columns_are_added_to_rows_in_their_place(spark, frame, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    day = dt.date(2000, 4, 1)
+    data = [(lg, 2000, day + dt.timedelta(i * 37 % 90), i) for i in range(2000) for lg in ("major", "minor")]
+    df = frame("league string, game_year int, game_date date, game_pk int", data).repartition(5)
+    travelled, laid_out = [], tables._laid_out
+    monkeypatch.setattr(tables, "_laid_out", lambda rows, *by: travelled.append(rows.columns) or laid_out(rows, *by))
+    tables.append_pitches(df, str(tmp_path / "t"), derive=lambda rows: rows.withColumn("twice", F.col("game_pk") * 2))
+    assert travelled == [[*df.columns, tables.LOAD]]
+    assert tables.read_pitches(spark, str(tmp_path / "t")).where(F.col("twice") == F.col("game_pk") * 2).count() == len(data)
+    files = list((tmp_path / "t").rglob("*.parquet"))
+    assert files
+    for f in files:
+        days = pq.read_table(str(f), columns=["game_date"], partitioning=None)["game_date"].to_pylist()
+        assert days == sorted(days)
