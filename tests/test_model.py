@@ -258,3 +258,27 @@ def test_a_sweep_broadcasts_nothing(spark, cells, monkeypatch):
     solved = [plan for label, plan in plans if label == "solved"]
     assert len(solved) == 6
     assert [line for plan in solved for line in plan.splitlines() if "Broadcast" in line] == []
+
+
+def test_draws_of_players_cross_the_network_once(spark, frame, monkeypatch, capsys):
+    """All effects of a player lie in one row, so a cell meets them in one join."""
+    monkeypatch.setattr(M, "settle", lambda df, name: df)
+    keys, data = frame_rows(M.TWO_WAY, 60)
+    df, params = frame(", ".join(f"{k} int" for k in keys) + ", is_whiff int", data), frame(PARAMS, posterior(M.TWO_WAY)[1])
+    M.score(df, params, M.TWO_WAY).explain("formatted")
+    out = capsys.readouterr().out
+    # cells with their batter and their pitcher, rows with their score
+    assert out.count(") SortMergeJoin") == 3
+
+
+def test_score_of_cells_without_a_player_is_null(frame):
+    """A player without parameters and an index that is NULL give no score, others keep theirs."""
+    keys, data = frame_rows(M.ENHANCED, 30)
+    _, rows = posterior(M.ENHANCED)
+    known = [r for r in rows if not (r[0].startswith("batter") and r[1] == 3)]
+    at = keys.index("zone_idx")
+    data[0] = (*data[0][:at], None, *data[0][at + 1:])
+    df = frame(", ".join(f"{k} int" for k in keys) + ", is_whiff int", data)
+    got = M.score(df, frame(PARAMS, known), M.ENHANCED).collect()
+    assert len(got) == 30
+    assert all((r.score is None) == (r.batter_idx == 3 or r.zone_idx is None) for r in got)
