@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..operators.aggregates import metric_coverage
 from ..operators.derive import advanced_metrics, flip_player_name, round_doubles
 from ..operators.joins import anti_join_new
-from ..schema import PITCH_SCHEMA, SEASONS
+from ..schema import DERIVED_SCHEMA, LANDED_COLUMNS, SEASONS
 from ..sources.landing import DayRange, in_ranges, landed_schema, read_pitch_csv, read_player_csv
 from ..operators.players import player_hand
 from ..sources.tables import (
@@ -102,14 +102,22 @@ def table_schema(landed: T.StructType) -> T.StructType:
     return T.StructType([*fields, T.StructField("league", T.StringType())])
 
 
-def prepare(pitches: DataFrame, schema: T.StructType) -> DataFrame:
-    """Landed rows as table rows: conformed, rounded, with derived columns. The derived
-    columns depend on their own row only, so they are computed as rows arrive and the table
-    is never rewritten."""
-    keep = [*(c for c in PITCH_SCHEMA.names), "league"]
-    ready = advanced_metrics(round_doubles(conform_to_schema(pitches, schema, keep)))
-    year = F.coalesce(F.col("game_year"), F.year("game_date"))
-    return ready.withColumn("game_year", year).select(*schema.names)
+def landed_rows(pitches: DataFrame, schema: T.StructType, header: Iterable[str] | None = None) -> DataFrame:
+    """What of a landed row must travel to its place in the table: the columns that its files have
+    (``header``, all if unknown), conformed and rounded, with the league and the season."""
+    have = set(LANDED_COLUMNS if header is None else header) | {"game_year", "game_date"}
+    kept = [c for c in schema.names if c == "league" or (c in LANDED_COLUMNS and c in have)]
+    ready = round_doubles(conform_to_schema(pitches, T.StructType([schema[c] for c in kept]), kept))
+    return ready.withColumn("game_year", F.coalesce(F.col("game_year"), F.year("game_date")))
+
+
+def completed(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """``landed_rows`` as table rows, with derived columns; columns beside the table's stay. The
+    derived columns depend on their own row only, so they are computed as rows arrive, when they
+    lie in their place, and the table is never rewritten."""
+    beside = [c for c in rows.columns if c not in schema.names]
+    full = conform_to_schema(rows, T.StructType([*schema.fields, *(rows.schema[c] for c in beside)]), rows.columns)
+    return advanced_metrics(full).select(*schema.names, *beside)
 
 
 def pending(
@@ -134,7 +142,9 @@ def incremental_append(
     latest = stored_marks(spark, table_path, table)
     rows = pending(spark, landing, latest, season_calendar(spark, seasons), as_of)
     if rows is not None:
-        append_pitches(prepare(rows, schema), table_path)
+        known = [landing.headers.get(league) for league in {s[0] for s in seasons}]
+        header = set().union(*known) if all(known) else None
+        append_pitches(landed_rows(rows, schema, header), table_path, derive=lambda placed: completed(placed, schema))
 
 
 def load_players(spark: SparkSession, landing: Landing, base: str, kind: str) -> None:
@@ -177,6 +187,8 @@ def clean_players(spark: SparkSession, base: str) -> None:
 
 def refresh_metrics(spark: SparkSession, path: str) -> None:
     """Derive the columns of a stored pitch table again, as after a change of a formula. The new
-    rows are a version of the table that replaces it at once; layout and loads stay."""
+    rows are a version of the table that replaces it at once; layout and loads stay. Stale columns do
+    not travel, the new ones are derived from rows that lie in their place."""
     stored = spark.read.parquet(current_path(spark, path))
-    replace_table(advanced_metrics(stored).select(stored.columns), path, [*PARTITIONS, LOAD])
+    given = stored.drop(*DERIVED_SCHEMA.names)
+    replace_table(given, path, [*PARTITIONS, LOAD], lambda placed: advanced_metrics(placed).select(stored.columns))

@@ -1,7 +1,7 @@
 """Streaming form of the incremental load: process what has landed, then stop.
 
 A file is read once, so rows of days that are not yet due are held: a batch writes them to a table
-of its own beside the stream's progress, and a later call releases them."""
+of its own beside the stream's progress, as they landed, and a later call releases them."""
 
 from __future__ import annotations
 
@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.load import dates_to_load, prepare, season_calendar, table_schema
-from ..schema import SEASONS
-from ..sources.landing import as_schema, texts
+from ..plans.load import completed, landed_rows, ranges_to_load, season_calendar, table_schema
+from ..schema import LANDED_COLUMNS, SEASONS
+from ..sources.landing import as_schema, in_ranges, texts
 from ..sources.tables import LOAD, append_pitches, current_path
 
 #: A day after all seasons.
@@ -60,7 +60,9 @@ def stream_append(
     for an old day is still taken. A held day that a batch load has taken meanwhile, from the same
     files, is not released again. Files that landed after the call are left to the next one."""
     unmarked = spark.createDataFrame([], "league string, latest_date date")
-    days = dates_to_load(season_calendar(spark, seasons), unmarked, NEVER)
+    # one range per season, so rows are picked by a filter and do not move
+    ranges = ranges_to_load(season_calendar(spark, seasons), unmarked, NEVER).where(F.col("league") == league)
+    in_season = in_ranges("game_date", [(r["first"], r["last"]) for r in ranges.collect()])
     schema = table_schema(landed)
     rows = landed_stream(spark, f"{landing}/{league}", header, landed).withColumn("league", F.lit(league))
     stream = hashlib.sha256(progress_path.encode()).hexdigest()[:16]
@@ -69,7 +71,7 @@ def stream_append(
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            append_pitches(batch.where(due), table_path, load=f"stream-{stream}-{number}")
+            append_pitches(batch.where(due), table_path, f"stream-{stream}-{number}", derive=lambda placed: completed(placed, schema))
             # A replay may find more days due than the first run did.
             _delete(spark, f"{held}/{HELD[0]}={number}")
             later = batch.where(~due).withColumns({HELD[0]: F.lit(number), HELD[1]: F.col("game_date")})
@@ -78,7 +80,7 @@ def stream_append(
             batch.unpersist()
 
     query = (
-        prepare(rows.join(days, ["league", "game_date"], "left_semi"), schema)
+        landed_rows(rows.where(in_season), schema, header)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", progress_path)
         .trigger(availableNow=True)
@@ -97,7 +99,8 @@ def _release(
     spark: SparkSession, held: str, table_path: str, schema: T.StructType, league: str, stream: str, as_of: str
 ) -> None:
     """Append the held rows of the days before ``as_of`` and delete them where they were held."""
-    layout = T.StructType([*schema.fields, T.StructField(HELD[0], T.LongType()), T.StructField(HELD[1], T.DateType())])
+    given = [f for f in schema.fields if f.name in LANDED_COLUMNS or f.name == "league"]
+    layout = T.StructType([*given, T.StructField(HELD[0], T.LongType()), T.StructField(HELD[1], T.DateType())])
     try:
         stored = spark.read.schema(layout).parquet(held)
     except AnalysisException as e:
@@ -116,6 +119,6 @@ def _release(
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-    append_pitches(due, table_path, load=name, columns=schema.names)
+    append_pitches(due, table_path, name, columns=[f.name for f in given], derive=lambda placed: completed(placed, schema))
     for r in places:
         _delete(spark, f"{held}/{HELD[0]}={r[HELD[0]]}/{HELD[1]}={r[HELD[1]]}")

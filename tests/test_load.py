@@ -332,3 +332,49 @@ def test_derived_columns_are_added_to_rows_in_their_place(spark, frame, tmp_path
     for f in files:
         days = pq.read_table(str(f), columns=["game_date"], partitioning=None)["game_date"].to_pylist()
         assert days == sorted(days)
+
+
+def test_only_landed_columns_travel_to_their_place(spark, landed, tmp_path, monkeypatch):
+    """Derived columns and those that no file has are added to rows in their place."""
+    travelled, laid_out = [], tables._laid_out
+    monkeypatch.setattr(tables, "_laid_out", lambda rows, *by: travelled.append(set(rows.columns)) or laid_out(rows, *by))
+    headers = {"major": HEADER, "minor": HEADER[::-1]}
+    source = load.Landing(str(landed), landing.landed_schema(), headers)
+    table, kept = str(tmp_path / "t"), {*HEADER, "game_year", "game_date", "league", tables.LOAD}
+    load.incremental_append(spark, source, table, "2001-07-01", SEASONS)
+    before = sorted(map(str, tables.read_pitches(spark, table).collect()))
+    load.refresh_metrics(spark, table)
+    stream_append(spark, str(landed), "major", HEADER, str(tmp_path / "s"), str(tmp_path / "p"), "2001-07-01", landing.landed_schema(), SEASONS)
+    assert travelled[0] <= kept and travelled[2] <= kept
+    assert not any(set(S.DERIVED_SCHEMA.names) & columns for columns in travelled)
+    assert before == sorted(map(str, tables.read_pitches(spark, table).collect()))
+    assert spark.read.parquet(str(tmp_path / "s")).columns == spark.read.parquet(tables.current_path(spark, table)).columns
+
+
+def test_a_stream_picks_its_days_by_a_filter(spark, landed, tmp_path, monkeypatch):
+    """Days of the calendar are a few ranges, so rows need not move to be compared with them."""
+    from pitchlytics.streaming import append
+
+    plans, added = [], append.append_pitches
+
+    def watched(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().toString())
+        return added(df, *args, **kwargs)
+
+    monkeypatch.setattr(append, "append_pitches", watched)
+    stream_append(spark, str(landed), "major", HEADER, str(tmp_path / "t"), str(tmp_path / "p"), "2001-07-01", landing.landed_schema(), SEASONS)
+    assert plans and not any("Join" in p or "LeftSemi" in p for p in plans)
+    assert spark.read.parquet(str(tmp_path / "t")).where("game_date = DATE'2000-03-31'").count() == 0
+
+
+def test_refreshed_rows_lie_in_order_of_their_day(spark, landed, tmp_path):
+    import pyarrow.parquet as pq
+
+    source = load.Landing(str(landed), landing.landed_schema(), {"major": HEADER, "minor": HEADER[::-1]})
+    load.incremental_append(spark, source, str(tmp_path / "t"), "2001-07-01", SEASONS)
+    load.refresh_metrics(spark, str(tmp_path / "t"))
+    files = list((tmp_path / "t.versions").rglob("*.parquet"))
+    assert files
+    for f in files:
+        days = pq.read_table(str(f), columns=["game_date"], partitioning=None)["game_date"].to_pylist()
+        assert days == sorted(days)
