@@ -16,7 +16,7 @@ from ..operators.aggregates import metric_coverage
 from ..operators.derive import advanced_metrics, flip_player_name, round_doubles
 from ..operators.joins import anti_join_new
 from ..schema import DERIVED_SCHEMA, LANDED_COLUMNS, SEASONS
-from ..sources.landing import DayRange, in_ranges, landed_schema, read_pitch_csv, read_player_csv
+from ..sources.landing import DayRange, landed_schema, on_days, read_pitch_csv, read_player_csv
 from ..operators.players import player_hand
 from ..sources.tables import (
     LOAD, PARTITIONS, TABLES, append_pitches, conform_to_schema, current_path, newest_seasons, overwrite_table, read_pitches,
@@ -93,7 +93,7 @@ class Landing:
     def pitches(self, spark: SparkSession, league: str, ranges: Sequence[DayRange]) -> DataFrame:
         header = self.headers.get(league)
         rows = read_pitch_csv(spark, f"{self.path}/{league}", self.schema, ranges, header)
-        return rows.where(in_ranges("game_date", ranges)).withColumn("league", F.lit(league))
+        return rows.where(on_days("game_date", ranges)).withColumn("league", F.lit(league))
 
 
 def table_schema(landed: T.StructType) -> T.StructType:

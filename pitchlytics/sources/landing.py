@@ -25,24 +25,42 @@ NULL_TOKENS = (
 DayRange = tuple[dt.date, dt.date]
 
 
-def in_ranges(day: str, ranges: Sequence[DayRange]) -> Column:
+def in_ranges(day: str | Column, ranges: Sequence[DayRange]) -> Column:
     """Whether a day lies in one of the ranges."""
-    hits = (F.col(day).between(F.lit(first), F.lit(last)) for first, last in ranges)
+    day = F.col(day) if isinstance(day, str) else day
+    hits = (day.between(F.lit(first), F.lit(last)) for first, last in ranges)
     return reduce(lambda a, b: a | b, hits, F.lit(False))
 
 
+def on_days(day: str, ranges: Sequence[DayRange]) -> Column:
+    """``in_ranges`` for a day that is read from a text: bound in a lambda, so it is read once and
+    not once per bound when the planner moves the filter below the reading."""
+    return F.exists(F.array(day), lambda d: in_ranges(d, ranges))
+
+
+def readable(name: str, text: Column, dtype: T.DataType) -> Column:
+    """A text that is not plainly written as its type: a token, a whole number with a decimal point, or wrong."""
+    value = text.try_cast(dtype)
+    if isinstance(dtype, T.IntegralType):
+        value = F.coalesce(value, F.round(text.try_cast("double"), 0).try_cast(dtype))
+    wrong = F.raise_error(F.concat(F.lit(f"{name}: unreadable "), text)).cast(dtype)
+    return F.when(F.trim(text).isin(*NULL_TOKENS), F.lit(None).cast(dtype)).otherwise(F.coalesce(value, wrong))
+
+
 def typed(name: str, dtype: T.DataType) -> Column:
     """A text column as its table type. A missing-value token is NULL, any other text that the
-    type can't hold fails the read. Whole numbers may be written with a decimal point."""
+    type can't hold fails the read. Whole numbers may be written with a decimal point.
+
+    The rare texts are read in a lambda: Spark then generates a small method per column, which the JVM
+    compiles, where all of a file's columns in line make one method that it only interprets."""
     text = F.col(f"`{name}`")
     if isinstance(dtype, T.StringType):
         return F.when(~text.isin(*NULL_TOKENS), text).alias(name)
-    value = text.try_cast(dtype)
-    if isinstance(dtype, T.IntegralType):
-        value = F.coalesce(value, F.round(text.try_cast("double"), 0).try_cast(dtype))
-    wrong = F.raise_error(F.concat(F.lit(f"{name}: unreadable "), text)).cast(dtype)
-    value = F.when(text.isNull() | F.trim(text).isin(*NULL_TOKENS), F.lit(None).cast(dtype)).otherwise(F.coalesce(value, wrong))
-    return value.alias(name)
+    plain = text.try_cast(dtype)
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        plain = F.nanvl(plain, F.lit(None).cast(dtype))
+    rare = F.get(F.transform(F.array(text), lambda t: readable(name, t, dtype)), F.lit(0))
+    return F.when(text.isNotNull(), F.coalesce(plain, rare)).alias(name)
 
 
 def file_headers(spark: SparkSession, path: str, days: Sequence[DayRange] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..plans.load import completed, landed_rows, ranges_to_load, season_calendar, table_schema
 from ..schema import LANDED_COLUMNS, SEASONS
-from ..sources.landing import as_schema, in_ranges, texts
+from ..sources.landing import as_schema, on_days, texts
 from ..sources.tables import LOAD, append_pitches, current_path
 
 #: A day after all seasons.
@@ -62,7 +62,7 @@ def stream_append(
     unmarked = spark.createDataFrame([], "league string, latest_date date")
     # one range per season, so rows are picked by a filter and do not move
     ranges = ranges_to_load(season_calendar(spark, seasons), unmarked, NEVER).where(F.col("league") == league)
-    in_season = in_ranges("game_date", [(r["first"], r["last"]) for r in ranges.collect()])
+    in_season = on_days("game_date", [(r["first"], r["last"]) for r in ranges.collect()])
     schema = table_schema(landed)
     rows = landed_stream(spark, f"{landing}/{league}", header, landed).withColumn("league", F.lit(league))
     stream = hashlib.sha256(progress_path.encode()).hexdigest()[:16]

@@ -1,8 +1,10 @@
 import datetime as dt
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitchlytics import schema as S
 from pitchlytics.plans import load
@@ -55,6 +57,30 @@ def test_unreadable_cells_fail(spark, tmp_path, bad):
         landing.read_pitch_csv(spark, str(tmp_path)).collect()
 
 
+def test_texts_are_read_as_their_type(spark, frame):
+    cells = ["7", " 7 ", "7.0", "1e2", "", " ", "NA", " NULL ", "NaN", "-nan", "Infinity", None]
+    df = frame("i string", [(c,) for c in cells]).select(
+        landing.typed("i", T.DoubleType()).alias("d"), F.when(F.col("i") != "Infinity", landing.typed("i", T.IntegerType())).alias("n"))
+    nothing = [None] * 6
+    assert [r["d"] for r in df.collect()] == [7.0, 7.0, 7.0, 100.0, *nothing, float("inf"), None]
+    assert [r["n"] for r in df.collect()] == [7, 7, 7, 100, *nothing, None, None]
+
+
+def test_a_read_of_all_columns_is_compiled_and_reads_a_day_once(spark, tmp_path):
+    """The JVM only interprets methods of more than 8,000 bytes, however often they run."""
+    header = S.LANDED_COLUMNS
+    write(tmp_path / "major" / "a.csv", header, [["" if c != "game_date" else "2000-04-01" for c in header]])
+    source = load.Landing(str(tmp_path), landing.landed_schema(), {"major": header})
+    days = [(dt.date(y, 4, 1), dt.date(y, 9, 30)) for y in range(1995, 2002)]
+    rows = load.landed_rows(source.pitches(spark, "major", days), load.table_schema(source.schema), header)
+    assert rows.count() == 1
+    plan = rows._jdf.queryExecution()
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.PythonSQLUtils.explainString(plan, "codegen"))
+    assert sizes and max(map(int, sizes)) < 8000
+    [day] = [x for x in plan.optimizedPlan().toString().splitlines() if " Filter " in x]
+    assert day.count("unreadable") == 1
+
+
 def test_files_without_the_key_keep_their_rows(spark, rows, tmp_path):
     write(tmp_path / "a.csv", HEADER, [line("2000-04-01", 1), [*line("2000-04-01", 1)[:6], "game_pk", "5", "2000"]])
     write(tmp_path / "b.csv", ["GAME_PK", *HEADER[1:]], [line("2000-04-02", 2)])
