@@ -404,3 +404,14 @@ def test_refreshed_rows_lie_in_order_of_their_day(spark, landed, tmp_path):
     for f in files:
         days = pq.read_table(str(f), columns=["game_date"], partitioning=None)["game_date"].to_pylist()
         assert days == sorted(days)
+
+
+def test_created_tables_take_their_rows_season_by_season(spark, rows, tmp_path):
+    name = tables.create_tables(spark, str(tmp_path / "base"), f"seasons_{os.getpid()}")[2]
+    df = spark.range(30).selectExpr("cast(id as int) AS game_pk", "IF(id % 3 = 2, NULL, 2000 + cast(id % 3 as int)) AS game_year")
+    schema = spark.table(name).schema
+    for season in (2000, 2001, None):
+        mine = df.where(F.col("game_year").eqNullSafe(F.lit(season)))
+        tables.insert_rows(tables.conform_to_schema(mine, schema, schema.names), name)
+    tables.insert_rows(tables.conform_to_schema(df, schema, schema.names), name)
+    assert rows(spark.table(name), "game_pk", "game_year") == sorted(rows(df.unionAll(df)), key=lambda t: tuple((v is None, v) for v in t))
