@@ -282,3 +282,56 @@ def test_score_of_cells_without_a_player_is_null(frame):
     got = M.score(df, frame(PARAMS, known), M.ENHANCED).collect()
     assert len(got) == 30
     assert all((r.score is None) == (r.batter_idx == 3 or r.zone_idx is None) for r in got)
+
+
+def test_a_sweep_meets_no_cells_in_joins(cells, monkeypatch):
+    """The sums of a player's cells come in the order of the cells: one exchange by part, and no join."""
+    plans = []
+
+    def watched(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return settle(df, label)
+
+    monkeypatch.setattr(P, "settle", watched)
+    with pytest.raises(RuntimeError, match="did not rest"):
+        P.fit(cells, M.TWO_WAY[:2] + M.TWO_WAY[4:6], max_sweeps=2)
+    solved = [plan for label, plan in plans if label == "solved"]
+    assert len(solved) == 6
+    for plan in solved:
+        assert "Join" not in plan
+        assert plan.count("Exchange hashpartitioning") <= 1
+
+
+def test_a_fit_does_not_depend_on_the_pieces(frame, rows, monkeypatch):
+    """Many small pieces, and a batter of several, give the effects of a single piece."""
+    terms = (*M.ENHANCED[1:3], *M.ENHANCED[4:6], M.ENHANCED[9])
+    keys, data = frame_rows(terms, 2500, seed=5)
+    at, rng = keys.index("batter_idx"), random.Random(2)
+    data = [(*r[:at], 1, *r[at + 1:]) if rng.random() < 0.4 else r for r in data]
+    cells = settle(A.swing_cells(frame(", ".join(f"{k} int" for k in keys) + ", is_whiff int", data), keys), "cells")
+    whole = P.fit(cells, terms, learn=False).collect()
+    packed = []
+
+    def watched(df, label):
+        out = settle(df, label)
+        if label == "pieces":
+            packed.append(out)
+        return out
+
+    monkeypatch.setattr(P, "settle", watched)
+    monkeypatch.setattr(P, "PIECE", 150)
+    cut = {tuple(r[c] for c in ("term", *M.KEY_COLUMNS)): r["draws"][0] for r in P.fit(cells, terms, learn=False).collect()}
+    pieces = [df.groupBy("part").count().agg(F.max("count"), F.count("*")).first() for df in packed]
+    assert pieces[0][0] > 1 and min(p[1] for p in pieces) > 2
+    assert len(whole) == len(cut)
+    for r in whole:
+        assert cut[tuple(r[c] for c in ("term", *M.KEY_COLUMNS))] == pytest.approx(r["draws"][0], abs=1e-4)
+
+
+@pytest.mark.parametrize("terms", [M.ENHANCED[1:3], M.ENHANCED[4:6] + M.ENHANCED[9:], M.ENHANCED[8:]])
+def test_a_fit_of_one_player_or_none_is_stationary(frame, terms):
+    keys, data = frame_rows(terms, 800, seed=6)
+    cells = settle(A.swing_cells(frame(", ".join(f"{k} int" for k in keys) + ", is_whiff int", data), keys), "cells")
+    params = settle(P.fit(cells, terms, learn=False), "params")
+    slopes = P.gradient(cells, params, terms)
+    assert slopes.agg(F.max(F.abs("slope") / F.sqrt("n"))).first()[0] < 0.05
